@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from quillspark.llm import op10_bpe
+from quillspark.llm import op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
+def op9_token_files(spark, sf_dir):
+    manifest = op09_token_files.write(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("word_bpe_49k.json"), end_id=2)
+    return op09_token_files.read(manifest, digest_only=True)
+
+
 def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op10_bpe_round_trip,)}
+QUERIES = {f.__name__: f for f in (op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
