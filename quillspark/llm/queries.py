@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import op09_token_files, op10_bpe
+from quillspark.llm import op01_warc, op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
+def op1_warc_bundles(spark, sf_dir):
+    return op01_warc.read_back(op01_warc.write(table(spark, sf_dir, "pages")))
+
+
 def op9_token_files(spark, sf_dir):
     manifest = op09_token_files.write(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("word_bpe_49k.json"), end_id=2)
     return op09_token_files.read(manifest, digest_only=True)
@@ -15,5 +19,5 @@ def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op9_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
