@@ -29,6 +29,9 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_IDS = "doc_id long, ids binary"
 #: A space after any of these begins no pre-token of its own: white space of one to three UTF-8 bytes.
 UNSAFE = re.compile(rb"[\x00-\x20\x7f] |\xc2[\x80-\xa0] |\xe1\x9a\x80 |\xe1\xa0\x8e |\xe2[\x80-\x81][\x80-\xbf] |\xe3\x80\x80 |\xef\xbb\xbf ")
+#: A letter before a comma, a full stop or a line's end, and a letter after a line's end: pre-tokens end there too.
+LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+INNER = re.compile(rb"(?s)(.*" + LETTER + rb")([.,]?)(?:(\n)(" + LETTER + rb".*))?")
 WINDOW = 16
 
 
@@ -50,9 +53,13 @@ class TwoAges:
             self.put(key, got)
         return got
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.limit:
+    def turn(self, more: int = 1) -> None:
+        """Before `more` entries come."""
+        if self.young and len(self.young) + more > self.limit:
             self.old, self.young = self.young, {}
+
+    def put(self, key, value) -> None:
+        self.turn()
         self.young[key] = value
 
 
@@ -69,48 +76,92 @@ def load(path: str):
 class PieceEncoder:
     """Encodes byte strings that begin and end at safe cuts; distinct pieces go to the library in batches."""
 
-    def __init__(self, tokenizer, limit: int = 120_000):
+    def __init__(self, tokenizer, limit: int = 300_000):
         self.tokenizer, self.pieces = tokenizer, TwoAges(limit)
 
     def library(self, texts: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(c.ids, np.uint32).tobytes() for c in coded]
 
+    @staticmethod
+    def parts(piece: bytes) -> list[bytes] | None:
+        """Keys of the parts of a piece that isn't known, where it can be cut inside; a rarer whole gives commoner parts."""
+        first = piece[-1:] == b" "
+        found = INNER.fullmatch(piece[:-1] if first else piece)
+        if not found or not (found[2] or found[3]):
+            return None
+        word, stop, line, rest = found.groups()
+        parts = [word + b" " if first else word]
+        if stop:
+            parts.append(stop + b" ")
+        if line:
+            parts += [b"\n ", rest + b" "]
+        return parts
+
     def many(self, regions: list[bytes]) -> list[bytes]:
-        """Ids of each region, as little-endian unsigned 32-bit integers."""
-        known: dict[bytes, bytes] = {}
-        split: list[list[bytes] | None] = []
-        missing: dict[bytes, None] = {}
-        get = self.pieces.get
-        for region in regions:
+        """Ids of each region, as little-endian unsigned 32-bit integers.
+
+        The key of a piece is its bytes without the leading space; one without that space has a space at its end.
+        """
+        flat: list[bytes] = []
+        ends = []
+        whole: dict[int, bytes] = {}
+        for k, region in enumerate(regions):
             if UNSAFE.search(region):
-                pieces = [region]
+                whole[k] = region
+            else:
+                pieces = region.split(b" ")
+                if pieces[0]:
+                    pieces[0] += b" "
+                else:
+                    del pieces[0]
+                flat += pieces
+            ends.append(len(flat))
+        cache = self.pieces
+        found = list(map(cache.young.get, flat))
+        holes = [k for k, ids in enumerate(found) if ids is None]
+        if holes:
+            self.learn({flat[k] for k in holes})
+            for k in holes:
+                found[k] = cache.young[flat[k]]
+        ids, begin = [], 0
+        for end in ends:
+            ids.append(b"".join(found[begin:end]))
+            begin = end
+        for k, coded in zip(whole, self.library(list(whole.values())) if whole else (), strict=True):
+            ids[k] = coded
+        return ids
+
+    def learn(self, missing: set[bytes]) -> None:
+        """Makes the pieces known: from the older cache, from their parts, or from the library."""
+        cache = self.pieces
+        cache.turn(len(missing))
+        young, old = cache.young, cache.old
+        inner = {}
+        new = set()
+        for p in missing:
+            if (ids := old.get(p)) is not None:
+                young[p] = ids
+            elif parts := self.parts(p):
+                inner[p] = parts
             else:
-                first, *rest = region.split(b" ")
-                pieces = [b" " + p for p in rest]
-                if first:
-                    pieces.insert(0, first)
-            split.append(pieces)
-            for p in pieces:
-                if p not in known and p not in missing:
-                    if (got := get(p)) is None:
-                        missing[p] = None
-                    else:
-                        known[p] = got
-        if missing:
-            new = list(missing)
-            for p, ids in zip(new, self.library(new), strict=True):
-                known[p] = ids
-                if len(p) <= 64:
-                    self.pieces.put(p, ids)
-        lookup = known.__getitem__
-        return [b"".join(map(lookup, pieces)) for pieces in split]
+                new.add(p)
+        for p in set().union(*inner.values()):
+            if p not in young:
+                if (ids := old.get(p)) is not None:
+                    young[p] = ids
+                else:
+                    new.add(p)
+        named = list(new)
+        young.update(zip(named, self.library([p[:-1] if p[-1:] == b" " else b" " + p for p in named]), strict=True))
+        for p, parts in inner.items():
+            young[p] = b"".join([young[q] for q in parts])
 
 
 class ChunkEncoder:
     """Whole texts through a cache of content-defined chunks; see the module."""
 
-    def __init__(self, tokenizer, mask_bits: int = 7, cached_chunks: int = 40_000):
+    def __init__(self, tokenizer, mask_bits: int = 8, cached_chunks: int = 40_000):
         self.coder, self.mask_bits = PieceEncoder(tokenizer), mask_bits
         self.chunks, self.joins = TwoAges(cached_chunks), TwoAges(cached_chunks)
         self.table = byte_table(10).astype(np.uint32)
