@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.llm import op01_warc, op04_quality, op09_token_files, op10_bpe
+from pyspark.sql import functions as F
+
+from quillspark.llm import op01_warc, op03_topk, op04_quality, op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
@@ -10,6 +12,10 @@ def op1_warc_bundles(spark, sf_dir):
     return op01_warc.read_back(op01_warc.write(table(spark, sf_dir, "pages")))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    return op03_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op4_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return op04_quality.classify(docs, op04_quality.train(docs, table(spark, sf_dir, "labels")))
@@ -24,5 +30,5 @@ def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_bundles, op4_quality_classifier, op9_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
