@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import op01_warc, op03_topk, op04_quality, op09_token_files, op10_bpe
+from quillspark.llm import op01_warc, op03_topk, op04_quality, op08_near_dedup, op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_quality_classifier(spark, sf_dir):
     return op04_quality.classify(docs, op04_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_near_dedup(spark, sf_dir):
+    return op08_near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_token_files(spark, sf_dir):
     manifest = op09_token_files.write(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("word_bpe_49k.json"), end_id=2)
     return op09_token_files.read(manifest, digest_only=True)
@@ -30,5 +34,5 @@ def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op9_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
