@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import op01_warc, op03_topk, op04_quality, op06_decontamination, op08_near_dedup, op09_token_files, op10_bpe
+from quillspark.llm import op01_warc, op03_topk, op04_quality, op06_decontamination, op07_sentence_spans, op08_near_dedup, op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op6_decontamination(spark, sf_dir):
     return op06_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sentence_spans(spark, sf_dir):
+    return op07_sentence_spans.digests(op07_sentence_spans.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op8_near_dedup(spark, sf_dir):
     return op08_near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -38,5 +42,5 @@ def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op6_decontamination, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op6_decontamination, op7_sentence_spans, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
