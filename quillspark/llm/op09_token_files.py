@@ -19,13 +19,16 @@ frames hold 16-bit ids.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,36 +46,103 @@ NO_ID = -(1 << 63)
 SAMPLE_ROWS, DICTIONARY_BYTES = 1000, 32 << 10
 #: At most so many bytes of a text go into the training sample.
 SAMPLE_BYTES = 4096
-LEVEL = 3
+LEVEL = 1
+#: Words of ASCII and Latin-1 letters; a line's end separates words as a space does.
+PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+SPACES = bytes.maketrans(b"\n", b" ")
 
 
 class WordEncoder:
-    """Whole texts, word by word, for a tokenizer that drops white space."""
+    """Whole texts, word by word, for a tokenizer that lowers letters, drops white space and marks the last id of each
+    pre-token.
 
-    def __init__(self, tokenizer, width: np.dtype, limit: int = 150_000):
-        self.tokenizer, self.width, self.cache = tokenizer, width, TwoAges(limit)
+    Words of letters alone are one pre-token each, so many go to the library as one text and its ids are cut after
+    every mark. A comma or full stop after a letter is a pre-token of its own, so such words are put together from
+    their parts. Whatever else there is goes to the library one by one.
+    """
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known: dict[str, bytes] = {}
-        missing: dict[str, None] = {}
-        split, get = [], self.cache.get
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            split.append(words)
-            for w in set(words):
-                if w not in known and w not in missing:
-                    if (got := get(w)) is None:
-                        missing[w] = None
-                    else:
-                        known[w] = got
-        if missing:
-            new = list(missing)
-            for w, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(coded.ids, self.width).tobytes()
-                if len(w) <= 64:
-                    self.cache.put(w, known[w])
-        lookup = known.__getitem__
-        return [b"".join(map(lookup, words)) for words in split]
+    def __init__(self, tokenizer, width: np.dtype, limit: int = 250_000):
+        self.tokenizer, self.width, self.cache = tokenizer, width, TwoAges(limit)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for text, k in vocabulary.items() if text.endswith("</w>")]] = True
+
+    def library(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(c.ids, self.width) for c in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def plain(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters alone."""
+        out = []
+        groups = [words[k : k + 2000] for k in range(0, len(words), 2000)]
+        for group, ids in zip(groups, self.library([b" ".join(g) for g in groups]), strict=True):
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.width.itemsize).tolist()
+            if len(ends) != len(group):
+                out += [x.tobytes() for x in self.library(group)]
+                continue
+            raw, begin = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+    def learn(self, missing: set[bytes]) -> None:
+        cache = self.cache
+        cache.turn(len(missing))
+        young, old = cache.young, cache.old
+        composed, plain, other = [], set(), []
+        for w in missing:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            elif PLAIN.fullmatch(w):
+                plain.add(w)
+            elif w[-1:] in (b",", b".") and PLAIN.fullmatch(w, 0, len(w) - 1):
+                composed.append(w)
+            else:
+                other.append(w)
+        for w in composed:
+            if (base := w[:-1]) not in young:
+                if (ids := old.get(base)) is not None:
+                    young[base] = ids
+                else:
+                    plain.add(base)
+        named = list(plain)
+        young.update(zip(named, self.plain(named), strict=True))
+        stops = {c: x.tobytes() for c, x in zip((b",", b"."), self.library([b",", b"."]), strict=True)}
+        for w in composed:
+            young[w] = young[w[:-1]] + stops[w[-1:]]
+        young.update(zip(other, (x.tobytes() for x in self.library(other)), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, where each text begins and the last one ends)."""
+        lines = pc.replace_substring(texts.fill_null(""), "\n", " ")
+        # The normalizer lowers all letters anyway; only the special tokens' strings are matched before it.
+        if b"<|" not in utf8(lines)[0].tobytes():
+            lines = pc.ascii_lower(lines)
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.cache.young.get, words))
+        holes = [k for k, ids in enumerate(found) if ids is None]
+        if holes:
+            self.learn({words[k] for k in holes})
+            young = self.cache.young
+            for k in holes:
+                found[k] = young[words[k]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width.itemsize
+        place = np.cumsum(size) - size
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        take = np.repeat(place[index] - ends[:-1], n)
+        take += np.arange(len(take))
+        return np.frombuffer(b"".join(found), self.width)[take], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+
+@functools.lru_cache(maxsize=1)
+def worker_encoder(vocabulary: str) -> WordEncoder:
+    """One per Python worker, so that its cache outlives a task."""
+    tokenizer = load(vocabulary)
+    return WordEncoder(tokenizer, id_width(tokenizer))
 
 
 def id_width(tokenizer) -> np.dtype:
@@ -81,11 +151,15 @@ def id_width(tokenizer) -> np.dtype:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
     """A dictionary from the id arrays of a bounded sample: the texts with the smallest hashes of their doc_id."""
-    rows = doc_columns(docs).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.left("text", F.lit(SAMPLE_BYTES)).alias("text")).limit(SAMPLE_ROWS).collect()
+    rows = doc_columns(docs).select("text", F.xxhash64("doc_id").alias("h"))
+    # Only hashes are sorted; texts come up to the largest hash of the sample, and rows that repeat it are cut off.
+    least = [r.h for r in rows.select("h").orderBy("h").limit(SAMPLE_ROWS).collect()]
+    taken = rows.where(F.col("h") <= least[-1]).select(F.left("text", F.lit(SAMPLE_BYTES)).alias("text")).limit(SAMPLE_ROWS).collect() if least else []
     tokenizer = load(vocabulary)
     width = id_width(tokenizer)
     tail = np.array([end_id], width).tobytes()
-    samples = [ids + tail for ids in WordEncoder(tokenizer, width).encode([r.text or "" for r in rows])]
+    ids, ends = WordEncoder(tokenizer, width).encode(pa.array([r.text for r in taken], pa.string()))
+    samples = [ids[a:b].tobytes() + tail for a, b in zip(ends[:-1], ends[1:])]
     total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), samples, level=LEVEL).as_bytes()
@@ -108,6 +182,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
     spark = docs.sparkSession
     docs = doc_columns(docs)
     shards = shards or partitions(spark)
+    width = id_width(load(vocabulary))
     dictionary = train_dictionary(docs, vocabulary, end_id)
     digest = hashlib.sha256(dictionary).digest()
     bounds = np.array(_bounds(docs, shards), np.int64)
@@ -118,13 +193,12 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
     dictionary_uri = keep.uri
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(vocabulary)
-        width = id_width(tokenizer)
-        encoder = WordEncoder(tokenizer, width)
+        encoder = worker_encoder(vocabulary)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         tail = np.array([end_id], width).tobytes()
-        for batch in slices(batches, 2 << 20):
-            ids = [x + tail for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+        for batch in slices(batches, 4 << 20):
+            flat, ends = encoder.encode(batch.column("text"))
+            ids = [flat[a:b].tobytes() + tail for a, b in zip(ends[:-1], ends[1:])]
             key = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.searchsorted(bounds, key, "right").astype(np.int32)), pa.array(key), pa.array([len(x) // width.itemsize for x in ids], pa.int64()), pa.array([packer.compress(x) for x in ids], pa.binary())],
@@ -132,7 +206,6 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
             )
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = id_width(load(vocabulary)).itemsize
         out, shard, index = None, None, []
         rows = []
 
@@ -150,7 +223,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
                     if out:
                         close()
                     out, shard, index = Writer(folder, f"shard-{s:06d}", ".qtok"), s, []
-                    out.write(struct.pack(HEADER, MAGIC, 1, width, digest))
+                    out.write(struct.pack(HEADER, MAGIC, 1, width.itemsize, digest))
                 index.append((doc_id, out.write(frame), len(frame), n))
         if out:
             close()
