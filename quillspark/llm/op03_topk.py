@@ -52,9 +52,9 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     """(query position, vec_id, score) of each query's k best: largest score first, ties to the smaller id."""
     if not len(queries) or not len(vectors):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # Scores below 2**53 are exact in float64; larger ones are worked with Python's own integers.
+    # Scores, and scores made unique by a place, must be exact in float64; else Python's own integers do the work.
     most = np.abs(queries).max(initial=0) * np.abs(vectors).max(initial=0) * queries.shape[1]
-    if most >= 2**53:
+    if (most + 1) * columns >= 2**52:
         return _plain(queries, query_ids, vectors, ids, k)
     found = []
     order = np.argsort(ids, kind="stable")
@@ -65,32 +65,63 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
         at, vec, score = (np.zeros(0, np.int64) for _ in range(3))
         least = np.full(len(own), -np.inf)
         for part_ids, x in parts:
-            margin = 1e-9 * (1 + q.slack[:, None] * x.slack[None, :].max())
-            bound = q.levels[0] @ x.levels[0].T
-            i, j = np.nonzero((bound + margin >= least[:, None]) & (own[:, None] != part_ids[None, :]))
-            for level in (1, 2):
-                # While most pairs survive, one matrix product is cheaper than the pairs one by one.
-                keep = np.empty(len(i), bool)
-                if len(i) * 3 > bound.size:
-                    keep = (q.levels[level] @ x.levels[level].T + margin >= least[:, None])[i, j]
-                else:
-                    for c in range(0, len(i), 1 << 18):
-                        a, b = i[c : c + (1 << 18)], j[c : c + (1 << 18)]
-                        keep[c : c + (1 << 18)] = np.einsum("ij,ij->i", q.levels[level][a], x.levels[level][b]) + margin[a, 0] >= least[a]
-                i, j = i[keep], j[keep]
-            if len(i) * 3 > bound.size:
-                exact = (q.exact @ x.exact.T)[i, j]
-            else:
-                exact = np.concatenate([np.einsum("ij,ij->i", q.exact[i[c : c + (1 << 18)]], x.exact[j[c : c + (1 << 18)]]) for c in range(0, len(i), 1 << 18)] or [np.zeros(0)])
-            at, vec, score = best(np.concatenate([at, i]), np.concatenate([vec, part_ids[j]]), np.concatenate([score, np.rint(exact).astype(np.int64)]), k)
+            # ids rise from part to part, so only a larger score beats the k-th of earlier parts.
+            i, j, exact = _survivors(q, x, least, np.searchsorted(part_ids, own, "left"), np.searchsorted(part_ids, own, "right"), k)
+            at, vec, score = best(np.concatenate([at, i]), np.concatenate([vec, part_ids[j]]), np.concatenate([score, exact.astype(np.int64)]), k)
             n = np.bincount(at, minlength=len(own))
-            last = np.cumsum(n) - 1
             full = n >= k
-            least[full] = score[last[full]]
+            least[full] = score[(np.cumsum(n) - 1)[full]]
         found.append((at + begin, vec, score))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+#: Share of pairs below which they are worked one by one, and not by matrix products.
+FEW = 0.05
+
+
+def _survivors(q: Bounds, x: Bounds, least: np.ndarray, own_from: np.ndarray, own_to: np.ndarray, k: int):
+    """(query, candidate, score) of at least all pairs that belong to a query's k best so far."""
+    need = least - 1e-9 * (1 + q.slack * x.slack.max(initial=0))
+    mask = None
+    if np.isfinite(least).all():
+        for level in range(len(LEVELS)):
+            above = q.levels[level] @ x.levels[level].T > need[:, None]
+            mask = above if mask is None else mask & above
+            if np.count_nonzero(mask) < FEW * mask.size:
+                return _pairs(q, x, least, need, own_from, own_to, mask, level + 1)
+    exact = q.exact @ x.exact.T
+    n = exact.shape[1]
+    # Unique keys: larger score first, then the earlier place, which has the smaller id.
+    key = np.rint(exact) * n - np.arange(n)
+    for r in np.flatnonzero(own_from < own_to):
+        key[r, own_from[r] : own_to[r]] = -np.inf
+    if n > k:
+        j = np.argpartition(key, n - k, axis=1)[:, n - k :]
+    else:
+        j = np.broadcast_to(np.arange(n), exact.shape)
+    i = np.repeat(np.arange(len(exact)), j.shape[1])
+    j = j.reshape(-1)
+    keep = (key[i, j] > -np.inf) & (exact[i, j] > least[i])
+    i, j = i[keep], j[keep]
+    return i, j, np.rint(exact[i, j])
+
+
+def _pairs(q, x, least, need, own_from, own_to, mask, level):
+    i, j = np.nonzero(mask)
+    keep = (j < own_from[i]) | (j >= own_to[i])
+    i, j = i[keep], j[keep]
+
+    def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.einsum("ij,ij->i", a[i[c : c + (1 << 17)]], b[j[c : c + (1 << 17)]]) for c in range(0, len(i), 1 << 17)] or [np.zeros(0)])
+
+    for finer in range(level, len(LEVELS)):
+        keep = product(q.levels[finer], x.levels[finer]) > need[i]
+        i, j = i[keep], j[keep]
+    exact = np.rint(product(q.exact, x.exact))
+    keep = exact > least[i]
+    return i[keep], j[keep], exact[keep]
+
+
 def best(at: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query, in order."""
     order = np.lexsort((vec, -score, at))
