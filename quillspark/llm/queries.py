@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import op01_warc, op03_topk, op04_quality, op06_decontamination, op07_sentence_spans, op08_near_dedup, op09_token_files, op10_bpe
+from quillspark.llm import op01_warc, op03_topk, op04_quality, op05_suffix_dedup, op06_decontamination, op07_sentence_spans, op08_near_dedup, op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_quality_classifier(spark, sf_dir):
     return op04_quality.classify(docs, op04_quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return op05_suffix_dedup.digests(op05_suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), length=200, keep="none"))
+
+
 def op6_decontamination(spark, sf_dir):
     return op06_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,5 +46,5 @@ def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op6_decontamination, op7_sentence_spans, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op5_suffix_dedup, op6_decontamination, op7_sentence_spans, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
