@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import op01_warc, op03_topk, op04_quality, op05_suffix_dedup, op06_decontamination, op07_sentence_spans, op08_near_dedup, op09_token_files, op10_bpe
+from quillspark.llm import op01_warc, op02_secrets, op03_topk, op04_quality, op05_suffix_dedup, op06_decontamination, op07_sentence_spans, op08_near_dedup, op09_token_files, op10_bpe
 from quillspark.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_warc_bundles(spark, sf_dir):
     return op01_warc.read_back(op01_warc.write(table(spark, sf_dir, "pages")))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return op02_secrets.digests(op02_secrets.scan(table(spark, sf_dir, "documents"), op02_secrets.train(spark)))
+
+
 def op3_exact_top_k(spark, sf_dir):
     return op03_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
@@ -46,5 +50,5 @@ def op10_bpe_round_trip(spark, sf_dir):
     return op10_bpe.round_trip(table(spark, sf_dir, "documents"), op10_bpe.default_vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_bundles, op3_exact_top_k, op4_quality_classifier, op5_suffix_dedup, op6_decontamination, op7_sentence_spans, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op2_secret_scan, op3_exact_top_k, op4_quality_classifier, op5_suffix_dedup, op6_decontamination, op7_sentence_spans, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
 ORACLES: dict[str, str] = {}
