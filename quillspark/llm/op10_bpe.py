@@ -14,7 +14,6 @@ rows; an empty table gives an empty result; other columns are not read. One very
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import os
 import re
@@ -268,15 +267,10 @@ class Decoder:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=1)
-def worker_coders(path: str) -> tuple[ChunkEncoder, Decoder]:
-    """One pair per Python worker, so that the caches outlive a task."""
-    tokenizer = load(path)
-    return ChunkEncoder(tokenizer), Decoder(tokenizer)
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes], Decoder]]:
-    encoder, decoder = worker_coders(path)
+    # One pair per task: idle workers would hold their caches while other stages run.
+    tokenizer = load(path)
+    encoder, decoder = ChunkEncoder(tokenizer), Decoder(tokenizer)
     for batch in slices(batches, 2 << 20):
         yield batch.column("doc_id"), encoder.encode(*utf8(batch.column("text"))), decoder
 
