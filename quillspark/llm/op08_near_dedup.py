@@ -4,12 +4,14 @@ Texts become sets of 64-bit hashes of word shingles. SuperMinHash gives each ele
 place, places being drawn by a correlated permutation (Fisher-Yates) rank by rank; a text stops as soon as no later rank
 can lower a value. 128 values make 32 bands of 4. Texts with one and the same set are one class from here on.
 
-Buckets (classes that share a band) are worked in rounds, never by all pairs: in each bucket the few classes that share
-most bands with others are pivots, and every class of another component than the pivot's is verified against it on the
-full sets. A pivot leaves its bucket after its round, links merge components, and a bucket with one component left is
-done. Small buckets are compared whole at once, larger ones with four times as many pivots each round, so every pair
-that shares a bucket is either verified or in one component already. At the thresholds used here (0.8 and more) two
-texts share no band with a probability under 5e-8.
+Buckets (classes that share a band) are never compared by all pairs. In two rounds the class of each bucket that
+shares most bands with others is its pivot, every class of another component is verified against it on the full sets,
+and links merge components. A bucket whose classes are one component is done. The classes of buckets that are still
+open are then joined exactly: each is indexed by its rarest shingles only, so many that two sets above the threshold
+must have one of them in common (prefix filter), pairs must be able to reach the threshold behind that place and by
+their sizes, and pairs within one component aren't made. Every pair that shares a bucket is so either verified, or ruled
+out, or in one component already. At the thresholds used here (0.8 and more) two texts share no band with a
+probability under 5e-8.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A text's set: its distinct runs of `words` words; with fewer
 words the whole sequence is the one element; without words the set is empty and linked with nothing. Links: 100 *
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import byte_table, doc_columns, finish, materialize, slices, utf8
@@ -35,8 +37,8 @@ from quillspark.llm.components import components
 
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
-#: Buckets of so many classes are compared whole.
-SMALL = 24
+#: Rounds of pivots before the exact join of what is left.
+ROUNDS = 2
 BASE = 0x9E3779B97F4A7C17
 SIGNED = "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"
 
@@ -172,6 +174,55 @@ def _verify(percent: int):
     return run
 
 
+def _open(members: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, rep, n, root, size) of the keys whose classes are in two components or more."""
+    placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = placed.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high").select(key, "size")
+    return placed.join(several, key)
+
+
+def _sizes_fit(n, m, percent: int):
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
+
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each bucket's classes with its pivot, the class that shares most bands with others."""
+    degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
+    pivots = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("p"))
+    pivots = pivots.select("key", (-F.col("p.least")).alias("pivot"), F.col("p.m").alias("m"), F.col("p.to").alias("to"))
+    return pivots.join(members, "key").where((F.col("root") != F.col("to")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components among the classes of open buckets that may reach the threshold.
+
+    Shingles are ordered by how many of these classes have them, and then by hash.
+    """
+    active = members.select(F.col("rep").alias("doc_id")).distinct()
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                h = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc_id))], ["token", "rep"])
+
+    tokens = materialize(sets.join(active, "doc_id", "left_semi").mapInArrow(unpack, "token long, rep long"), "tokens")
+    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token")
+    # One text's shingles are gathered, no more.
+    own = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("all")).withColumn("n", F.size("all").cast("long"))
+    first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int"))
+    # A shingle of one class alone holds its place, but can't be in common.
+    index = own.select("rep", "n", F.posexplode(first).alias("place", "t")).where("t.c > 1").select(F.col("t.token").alias("token"), "rep", "n", "place")
+    rows = _open(materialize(index, "prefixes"), roots, "token")
+    rows = materialize(rows, "open-prefixes")
+    # All but the largest component of a token's classes meet all of them.
+    most = rows.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
+    few = rows.join(most, "token").where("root != most").select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("to"))
+    least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-9)
+    reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= least
+    return few.join(rows, "token").where((F.col("root") != F.col("to")) & _sizes_fit(F.col("n"), F.col("m"), percent) & reach).select(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     docs = doc_columns(docs)
@@ -186,29 +237,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = spark.createDataFrame([], "a long, b long")
     tested, roots = links, spark.createDataFrame([], "node long, root long")
     copies = taking.join(classes.select("class_a", "class_b", "rep"), ["class_a", "class_b"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pivots_each = 1
-    while True:
-        placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
-        active = placed.join(open_keys, "key")
-        degree = active.groupBy("rep").agg(F.sum("size").alias("degree"))
-        active = materialize(active.join(degree, "rep"), "active")
-        if active.isEmpty():
+    for turn in range(ROUNDS + 1):
+        members = materialize(_open(members, roots, "key"), "members")
+        if members.isEmpty():
             break
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "rep"))
-        # Up to SMALL classes a bucket are compared whole; SMALL bounds the window's rows a key before the shuffle.
-        limit = max(SMALL, pivots_each)
-        pivots = active.withColumn("place", place).where(F.col("place") <= limit).where(f"size <= {SMALL} or place <= {pivots_each}").select("key", F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("root").alias("pivot_root"))
-        pivots = materialize(pivots, "pivots")
-        near = (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
-        pairs = pivots.join(active, "key").where((F.col("root") != F.col("pivot_root")) & near).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+        pairs = _star_pairs(members, percent) if turn < ROUNDS else _prefix_pairs(members, sets, roots, percent)
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").mapInArrow(_verify(percent), "a long, b long")
         links = links.unionByName(materialize(found, "found"))
         tested = tested.unionByName(pairs)
-        roots = components(links, turns=2)
-        members = active.select("rep", "n", "key").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        pivots_each *= 4
+        if turn < ROUNDS:
+            roots = components(links, turns=2)
+        members = members.select("key", "rep", "n")
     final = components(links.unionByName(copies))
     # Few nodes hang on another; both sides of this join are one row per doc_id or more.
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
