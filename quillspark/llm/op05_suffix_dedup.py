@@ -40,7 +40,8 @@ LENGTH, GRAM = 200, 32
 #: Bits of a window key that hold the place; texts are worked in pieces of less than this.
 PLACE_BITS = 22
 PIECE = 1 << 21
-HOT = 256
+#: Different blocks of an anchor that one suffix array takes: about 1 MB of bytes.
+HOT = 4096
 BUCKET_BYTES = 1 << 20
 BLOCKS = "anchor long, digest long, doc_id long, row long, begin long, n int"
 RANGES = "doc_id long, row long, begin long, end long"

@@ -24,7 +24,7 @@ def prefix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(text)
     key = head_keys(text)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     head = np.append(True, sorted_key[1:] != sorted_key[:-1]) if n else np.zeros(0, bool)
     start = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else np.zeros(0, np.int64)
@@ -41,7 +41,7 @@ def prefix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
         suffix = order[places]
         after = suffix + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        by = np.lexsort((second, rank[suffix]))
+        by = np.argsort(_pair(rank[suffix], second + 1))
         suffix, second = suffix[by], second[by]
         order[places] = suffix
         # A group's places stay together, so a new head is where the old group or the second key changes.
@@ -55,6 +55,11 @@ def prefix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One word that sorts by both; numpy sorts such words several times faster than by two keys."""
+    return (high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
+
+
 def nearest_smaller(values: np.ndarray) -> np.ndarray:
     """For each place the nearest earlier place with a smaller value, or -1; by pointer jumping."""
     at = np.arange(-1, len(values) - 1)
@@ -72,7 +77,7 @@ def has_earlier(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
     In suffix order (rank, then position) the longest match with an earlier position is that with the previous or the
     next smaller position, so it has the full depth where one of the two has an equal rank.
     """
-    order = np.lexsort((position, rank))
+    order = np.argsort(_pair(rank, position - position.min())) if len(rank) else np.zeros(0, np.int64)
     p, r = position[order], rank[order]
     before = nearest_smaller(p)
     after = len(p) - 1 - nearest_smaller(p[::-1])[::-1]
@@ -88,7 +93,7 @@ def longest_previous_factors(text: np.ndarray, depth: int) -> np.ndarray:
     """LPF values cut off at `depth`: the longest match of each suffix with one that begins earlier."""
     n = len(text)
     rank = prefix_ranks(text, depth)
-    order = np.lexsort((np.arange(n), rank))
+    order = np.argsort(_pair(rank, np.arange(n)))
     before = nearest_smaller(order)
     after = n - 1 - nearest_smaller(order[::-1])[::-1]
     out = np.zeros(n, np.int64)
