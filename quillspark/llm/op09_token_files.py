@@ -61,7 +61,7 @@ class WordEncoder:
     their parts. Whatever else there is goes to the library one by one.
     """
 
-    def __init__(self, tokenizer, width: np.dtype, limit: int = 250_000):
+    def __init__(self, tokenizer, width: np.dtype, limit: int = 400_000):
         self.tokenizer, self.width, self.cache = tokenizer, width, TwoAges(limit)
         vocabulary = tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -194,9 +194,11 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         tail = np.array([end_id], width).tobytes()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, 8 << 20):
             flat, ends = encoder.encode(batch.column("text"))
             ids = [flat[a:b].tobytes() + tail for a, b in zip(ends[:-1], ends[1:])]
             key = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
@@ -252,10 +254,19 @@ class Shard:
         self.index = np.frombuffer(self.file.read(at, n * ENTRY.itemsize), ENTRY)
         self.unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
 
+    def documents(self, begin: int, stop: int) -> list[np.ndarray]:
+        """Ids of documents by position; their frames are read at once, as they lie one after the other."""
+        rows = self.index[begin:stop]
+        if not len(rows):
+            return []
+        first = int(rows["begin"][0])
+        body = memoryview(self.file.read(first, int(rows["begin"][-1] + rows["length"][-1]) - first))
+        places = (rows["begin"].astype(np.int64) - first).tolist()
+        raw = (self.unpacker.decompress(body[a : a + n], max_output_size=size * self.width) for a, n, size in zip(places, rows["length"].tolist(), rows["n"].tolist()))
+        return [np.frombuffer(x, f"<u{self.width}").astype("<u4") for x in raw]
+
     def document(self, k: int) -> np.ndarray:
-        entry = self.index[k]
-        raw = self.unpacker.decompress(self.file.read(int(entry["begin"]), int(entry["length"])), max_output_size=int(entry["n"]) * self.width)
-        return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
+        return self.documents(k, k + 1)[0]
 
 
 def read_dictionary(uri: str) -> bytes:
@@ -280,7 +291,7 @@ def read(manifest: DataFrame, digest_only: bool = False) -> DataFrame:
                 start = row["base"] + np.cumsum(n) - n
                 for begin in range(0, len(n), 256):
                     stop = min(begin + 256, len(n))
-                    docs = [shard.document(k) for k in range(begin, stop)]
+                    docs = shard.documents(begin, stop)
                     key = shard.index["doc_id"][begin:stop]
                     last = pa.array([zlib.crc32(d) for d in docs], pa.int64()) if digest_only else pa.array([d.tobytes() for d in docs], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64), mask=key == NO_ID), pa.array(start[begin:stop]), pa.array(n[begin:stop]), last], ["doc_id", "start", "n_tokens", "last"])
