@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_columns, slices, utf8
+from quillspark.llm.common import doc_columns, slices, small_batches, utf8
 
 CHUNK, WIDTH, FILTERS = 256, 5, 16
 STEP = CHUNK - WIDTH + 1
@@ -211,6 +211,7 @@ def classify(docs: DataFrame, network: Network | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, network: Network | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that score `threshold` or more, with all their columns."""
+    small_batches(docs.sparkSession)
     score = scorer(network)
     names = docs.columns
 

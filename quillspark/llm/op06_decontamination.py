@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_columns, finish, slices, utf8
+from quillspark.llm.common import doc_columns, finish, slices, small_batches, utf8
 from quillspark.llm.words import hashed_words
 
 SCHEMA = "doc_id long, n_passages long, item_ids array<long>, best_overlap double"
@@ -190,6 +190,7 @@ def _scanner(index: Index, overlap: float):
 
 def keep_clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, text_col: str = "text", **columns) -> DataFrame:
     """The rows in which no item is found, with all their columns."""
+    small_batches(docs.sparkSession)
     for part in shards(items, shard_items, **columns):
         docs = docs.mapInArrow(_filter(Index(part), overlap, docs.columns, text_col), docs.schema)
     return docs

@@ -76,7 +76,7 @@ def load(path: str):
 class PieceEncoder:
     """Encodes byte strings that begin and end at safe cuts; distinct pieces go to the library in batches."""
 
-    def __init__(self, tokenizer, limit: int = 300_000):
+    def __init__(self, tokenizer, limit: int = 240_000):
         self.tokenizer, self.pieces = tokenizer, TwoAges(limit)
 
     def library(self, texts: list[bytes]) -> list[bytes]:
@@ -161,7 +161,7 @@ class PieceEncoder:
 class ChunkEncoder:
     """Whole texts through a cache of content-defined chunks; see the module."""
 
-    def __init__(self, tokenizer, mask_bits: int = 8, cached_chunks: int = 40_000):
+    def __init__(self, tokenizer, mask_bits: int = 8, cached_chunks: int = 25_000):
         self.coder, self.mask_bits = PieceEncoder(tokenizer), mask_bits
         self.chunks, self.joins = TwoAges(cached_chunks), TwoAges(cached_chunks)
         self.table = byte_table(10).astype(np.uint32)
