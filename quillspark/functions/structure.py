@@ -105,7 +105,8 @@ def breadcrumbs(chunks: DataFrame, path: str = "path", chunk: str = "chunk", tex
     rows = with_structure(lines(chunks, path, chunk, text))
     so_far = Window.partitionBy(path).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     filled = F.when(F.trim("line") != "", F.struct("at", "line", "is_table"))
-    before = F.last(filled, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    # A header line stands in the same chunk as its rule.
+    before = F.last(filled, ignorenulls=True).over(Window.partitionBy(path, chunk).orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     state = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct("at", F.col("title").alias("t"))), ignorenulls=True).over(so_far) for k in range(1, 7)}
     state["m"] = F.last(F.when(F.col("marker").isNotNull(), F.col("marker")), ignorenulls=True).over(so_far)
     state["prior"] = before
@@ -136,11 +137,21 @@ def context_prefix(identifier: Column, summary: Column, trail: Column, header: C
 
 def source_quality(text: Column, section: Column, recorded: Column) -> Column:
     """structured, ocr or document; a recorded class wins."""
-    body, sec = T.search_normal(text), T.search_normal(section)
     known = F.lower(F.trim(F.coalesce(recorded, F.lit(""))))
-    any_in = lambda c, marks: F.reduce(F.array(*map(F.lit, marks)), F.lit(False), lambda a, m: a | F.contains(c, m))
-    merged = F.contains(sec, F.lit("anexo -")) & ~F.contains(sec, F.lit("ocr")) & T.has_table(text) & (F.contains(text, F.lit("| ---")) | F.contains(F.replace(text, F.lit(" "), F.lit("")), F.lit("|---|")))
-    return F.when(known.isin("structured", "ocr", "document"), known).when(any_in(body, STRUCTURED_MARKS), "structured").when(merged, "structured").when(any_in(sec, OCR_MARKS) | any_in(body, OCR_MARKS), "ocr").otherwise("document")
+
+    def any_in(c: Column, marks: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for m in marks:
+            out = out | F.contains(c, F.lit(m))
+        return out
+
+    def by_marks(x: Column) -> Column:
+        body, sec = x["body"], x["sec"]
+        merged = F.contains(sec, F.lit("anexo -")) & ~F.contains(sec, F.lit("ocr")) & T.has_table(text) & (F.contains(text, F.lit("| ---")) | F.contains(F.replace(text, F.lit(" "), F.lit("")), F.lit("|---|")))
+        return F.when(any_in(body, STRUCTURED_MARKS), "structured").when(merged, "structured").when(any_in(sec, OCR_MARKS) | any_in(body, OCR_MARKS), "ocr").otherwise("document")
+
+    folded = F.struct(T.search_normal(text).alias("body"), T.search_normal(section).alias("sec"))
+    return F.when(known.isin("structured", "ocr", "document"), known).otherwise(T.let(folded, by_marks))
 
 
 def table_runs(rows: DataFrame, keys: list[str], order: str = "n", line: str = "line") -> DataFrame:

@@ -52,7 +52,14 @@ def fold_accents(text: Column, form: str = "NFKD") -> Column:
     replaced = out
     for c, folded in several:
         replaced = F.replace(replaced, F.lit(c), F.lit(folded))
-    return F.when(out.rlike("[" + "".join(c for c, _ in several) + "]"), replaced).otherwise(out) if several else out
+    full = F.when(out.rlike("[" + "".join(c for c, _ in several) + "]"), replaced).otherwise(out) if several else out
+    # Most texts have nothing to fold.
+    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(text)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def search_normal(text: Column) -> Column:
@@ -88,15 +95,13 @@ def comparison_plain(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Search tokens in order, repeats kept."""
     found = F.regexp_extract_all(decimal_points(search_normal(text)), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(found, lambda t: ~F.array_contains(stop, t) & ((F.length(t) > 1) | t.rlike("[0-9]")))
+    return F.filter(found, lambda t: ((F.length(t) > 1) | t.between("0", "9")) & ~t.isin(*STOPWORDS))
 
 
 def keywords(text: Column) -> Column:
     """Lower-case words without outer punctuation; accents stay."""
     words = F.transform(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), lambda w: F.regexp_replace(F.lower(w), r"^[.,;:!?()]+|[.,;:!?()]+$", ""))
-    stop = F.array(*map(F.lit, KEYWORD_STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*KEYWORD_STOPWORDS))
 
 
 def simplified(text: Column) -> Column:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 
-def coverage(cases: DataFrame, hits: DataFrame, empty: float = 1.0) -> DataFrame:
+def coverage(cases: DataFrame, hits: DataFrame, empty: float = 1.0, normal: bool = False) -> DataFrame:
     """(case_id, n_expected, n_found, coverage): expected values that occur in any retrieved text, after folding.
 
-    cases: case_id, expected (array); hits: case_id, text. Without expected values the coverage is `empty`.
+    cases: case_id, expected (array); hits: case_id, text, which is in normal form already where `normal` is set. Without expected values the coverage is `empty`.
     """
-    values = cases.select("case_id", F.explode_outer(F.array_distinct("expected")).alias("value"))
-    texts = hits.select("case_id", T.comparison_normal(F.col("text")).alias("t"))
-    found = values.join(texts, "case_id").where(F.contains("t", T.comparison_normal(F.col("value")))).select("case_id", "value", F.lit(1).alias("hit")).distinct()
+    values = cases.select("case_id", F.explode_outer(F.array_distinct("expected")).alias("value")).withColumn("v", T.comparison_normal(F.col("value")))
+    texts = hits.select("case_id", (F.col("text") if normal else T.comparison_normal(F.col("text"))).alias("t"))
+    # One row per text: its values that are found, so that texts aren't multiplied by them.
+    asked = values.where("value is not null").groupBy("case_id").agg(F.collect_list(F.struct("value", "v")).alias("asked"))
+    hit = texts.join(asked, "case_id").select("case_id", F.explode(F.filter("asked", lambda a: F.contains(F.col("t"), a["v"]))).alias("a"))
+    found = hit.select("case_id", "a.value", F.lit(1).alias("hit")).distinct()
     per = values.join(found, ["case_id", "value"], "left").groupBy("case_id").agg(F.count("value").alias("n_expected"), F.count("hit").alias("n_found"))
     return per.withColumn("coverage", F.when(F.col("n_expected") == 0, F.lit(empty)).otherwise(F.round(F.col("n_found") / F.col("n_expected"), 6)))
 

@@ -13,7 +13,7 @@ from quillspark.operators import context as K
 from quillspark.operators import evaluate as E
 from quillspark.operators import search as R
 from quillspark.plans import corpus as P
-from quillspark.session import table
+from quillspark.session import spread, table
 
 QUERIES = {}
 
@@ -28,7 +28,7 @@ def digest(c) -> Column:
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def questions(spark, sf_dir):
@@ -170,7 +170,12 @@ def recursive_chunks(spark, sf_dir):
 
 
 def index(spark, sf_dir):
-    return R.postings(docs(spark, sf_dir), "doc_id")
+    """The lexical index, kept by the session: later queries over the same tables find it by its plan."""
+    return R.postings(docs(spark, sf_dir), "doc_id").persist()
+
+
+def weights(spark, sf_dir):
+    return R.bm25_weights(index(spark, sf_dir), "doc_id").persist()
 
 
 @query
@@ -187,13 +192,13 @@ def bm25_terms(spark, sf_dir):
 
 @query
 def bm25_topk(spark, sf_dir):
-    return R.bm25_search(questions(spark, sf_dir), R.bm25_weights(index(spark, sf_dir), "doc_id"), "doc_id", 20)
+    return R.bm25_search(questions(spark, sf_dir), weights(spark, sf_dir), "doc_id", 20)
 
 
 @query
 def bm25_filtered(spark, sf_dir):
     allowed = docs(spark, sf_dir).where(R.metadata_filter(lang="en", source="src1")).select("doc_id")
-    return R.bm25_search(questions(spark, sf_dir), R.bm25_weights(index(spark, sf_dir), "doc_id"), "doc_id", 20, allowed)
+    return R.bm25_search(questions(spark, sf_dir), weights(spark, sf_dir), "doc_id", 20, allowed)
 
 
 def query_vectors(spark, sf_dir):
@@ -224,9 +229,9 @@ def keyword_fallback(spark, sf_dir):
 
 
 def fused_lists(spark, sf_dir):
-    asked, weights = questions(spark, sf_dir), R.bm25_weights(index(spark, sf_dir), "doc_id")
-    full = R.bm25_search(asked, weights, "doc_id", 30)
-    short = R.bm25_search(asked.withColumn("text", T.simplified(F.col("text"))), weights, "doc_id", 30)
+    asked, weighed = questions(spark, sf_dir), weights(spark, sf_dir)
+    full = R.bm25_search(asked, weighed, "doc_id", 30)
+    short = R.bm25_search(asked.withColumn("text", T.simplified(F.col("text"))), weighed, "doc_id", 30)
     return [full, short, keyword_fallback(spark, sf_dir)]
 
 
@@ -444,8 +449,8 @@ def keep_generations(spark, sf_dir):
 def coverage(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     cases = items.select(F.col("item_id").alias("case_id"), F.slice(T.keywords(F.col("text")), 1, 8).alias("expected"))
-    hits = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 40).alias("m")).join(docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("m"), "text"), "m").select("case_id", "text")
-    return E.coverage(cases, hits)
+    hits = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 40).alias("m")).join(docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("m"), T.comparison_normal(F.col("text")).alias("text")), "m").select("case_id", "text")
+    return E.coverage(cases, hits, normal=True)
 
 
 @query

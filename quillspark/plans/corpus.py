@@ -28,17 +28,24 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(path.alias("path"), F.col("c_mktsegment").alias("type"), number.alias("number"), year.alias("year"), F.col("c_name").alias("summary"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_acctbal").alias("balance"), F.concat_ws("\n", F.concat(F.lit("# Customer "), number), "body").alias("text"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus by structural blocks, with chunk numbers and source class."""
-    rows = corpus(spark, sf_dir).select("*", F.posexplode(S.blocks(F.col("text"))).alias("n", "b"))
-    total = F.max("n").over(Window.partitionBy("path")) + 1
-    rows = rows.withColumns({"chunk": F.col("n") + 1, "total_chunks": total}).drop("n").withColumn("text", F.col("b")).drop("b")
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by structural blocks, with chunk numbers."""
+    rows = corpus(spark, sf_dir).withColumn("bs", S.blocks(F.col("text"))).select("*", F.posexplode("bs").alias("n", "b"))
+    return rows.withColumns({"chunk": F.col("n") + 1, "total_chunks": F.size("bs"), "text": F.col("b")}).drop("n", "b", "bs")
+
+
+def _quality(rows: DataFrame) -> DataFrame:
     return rows.withColumn("quality", S.source_quality(F.col("text"), F.lit(""), F.lit(None).cast("string")))
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their source class."""
+    return _quality(blocks(spark, sf_dir))
+
+
 def hits(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
     """A ranked list of chunks for each nation: those of its richest customers first."""
-    rows = chunks(spark, sf_dir).withColumnRenamed("nation", "query_id")
+    rows = blocks(spark, sf_dir).withColumnRenamed("nation", "query_id")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("balance"), "path", "chunk"))).where(F.col("rank") <= k)
     number = F.col("number").cast("long")
-    return rows.withColumns({"priority": number % 11 == 0, "source_id": T.source_id(F.col("type"), F.col("number"), F.col("year")), "key": T.chunk_key(F.col("path"), F.col("chunk"))})
+    return _quality(rows).withColumns({"priority": number % 11 == 0, "source_id": T.source_id(F.col("type"), F.col("number"), F.col("year")), "key": T.chunk_key(F.col("path"), F.col("chunk"))})

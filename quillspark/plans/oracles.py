@@ -117,6 +117,23 @@ merged as (select query_id, doc_id, round(sum(weight::double / (60 + rank)), 9)
 fused as (select query_id, doc_id, score_rrf, row_number() over (partition by query_id order by score_rrf desc, seen) as rank from merged)
 """
 
+_HEADING = r"'^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$'"
+_MARKER = r"'^\s*(?:anexo\b|apendice\b|capitulo\s+[ivxlcdm0-9]|secao\s+[ivxlcdm0-9]|subsecao\s+[ivxlcdm0-9]|titulo\s+[ivxlcdm0-9]|tabela\s+[0-9ivxlcdm]|quadro\s+[0-9ivxlcdm])'"
+_LEVELS = range(1, 7)
+LINES = CHUNKS + f""",
+raw_lines as (select path, chunk, unnest(string_split(text, {NL})) as line, generate_subscripts(string_split(text, {NL}), 1) as n from chunks),
+parsed as (select *, chunk * 1000000 + n as pos, length(regexp_extract(line, {_HEADING}, 1)) as lv, trim(regexp_extract(line, {_HEADING}, 2)) as title, {table_line('line')} as is_table, regexp_matches(line, {RULE}) as is_rule, last_value(case when trim(line) <> '' then line end ignore nulls) over (partition by path, chunk order by n rows between unbounded preceding and 1 preceding) as prior from raw_lines),
+said as (select *, case when lv > 0 then title else line end as said from parsed),
+marked as (select *, case when regexp_matches({fold('said')}, {_MARKER}) then {truncated("regexp_replace(said, '^[# ]+|[# ]+$', '', 'g')", 90)} end as marker, case when is_rule and {table_line('prior')} then {truncated("replace(regexp_replace(trim(prior), '^[|]+|[|]+$', '', 'g'), '|', '; ')", 220)} end as opened from said)
+"""
+TRAILS = LINES + f""",
+per_chunk as (select path, chunk, {', '.join(f'max(pos) filter (where lv = {k}) as p{k}, arg_max(title, pos) filter (where lv = {k}) as t{k}' for k in _LEVELS)}, arg_max(marker, pos) filter (where marker is not null) as m, arg_max(opened, pos) filter (where opened is not null) as o, arg_min(is_table, pos) filter (where trim(line) <> '') as first_table from marked group by 1, 2),
+carried as (select path, chunk, o is null as unopened, first_table, {', '.join(f'last_value(p{k} ignore nulls) over w as p{k}, last_value(t{k} ignore nulls) over w as t{k}' for k in _LEVELS)}, last_value(m ignore nulls) over w as m, last_value(o ignore nulls) over w as header from per_chunk window w as (partition by path order by chunk rows between unbounded preceding and current row)),
+listed as (select *, list_filter([{', '.join('case when ' + ' and '.join([f'p{k} is not null', *(f'p{k} > coalesce(p{j}, -1)' for j in range(1, k))]) + f' then t{k} end' for k in _LEVELS)}, m], lambda x: x is not null) as every from carried),
+distinct_parts as (select *, list_filter(every, lambda x, i: list_position(every, x) = i) as parts from listed),
+joined as (select path, chunk, coalesce(header, '') as header, coalesce(first_table and unopened, false) as continues, array_to_string(list_slice(parts, greatest(len(parts) - 3, 1), len(parts)), ' > ') as whole from distinct_parts),
+trails as (select path, chunk, header, continues, {truncated('whole', 240)} as trail from joined)
+"""
 _ENTRIES = f"entries as (select c_custkey as ord, c_mktsegment as type, case when c_custkey % 3 = 0 then c_mktsegment else c_mktsegment || ' ' || (c_custkey % 4) end as name, [lower(c_mktsegment), 'seg ' || (c_custkey % 6)] as aliases from customer), types as (select type, arg_max(name, (case when upper(name) <> type then length(name) else 0 end) * 10000000000 - ord) as name, list_sort(list_distinct(flatten(list(aliases)))) as aliases, count(*) as n_docs from entries group by 1), winners as (select alias, type from (select type, n_docs, {collapse(fold('a'))} as alias from (select type, n_docs, unnest(aliases) as a from types)) where alias <> '' qualify row_number() over (partition by alias order by n_docs desc, type) = 1)"
 
 ORACLES: dict[str, str] = {
@@ -181,4 +198,9 @@ ORACLES: dict[str, str] = {
     "scientific_repair": "select l_orderkey, l_linenumber, v, case when regexp_matches(v, '^[0-9]{6,8}$') and regexp_matches(v, '0[6-9]$') then left(v, 1) || ',' || substr(v, 2, 2) || 'E+' || right(v, 2) else v end as repaired from (select l_orderkey, l_linenumber, l_partkey || '000' || (l_linenumber + 4) as v from lineitem)",
     "decimal_repair": "select p_partkey, case when p_size > 10 then left(p_size::varchar, 1) || ',' || right(p_size::varchar, 1) else p_size::varchar end || ' m/km; ' || (p_size * 100 + 1) // 10 || ' units >0,5' as fixed from part",
     "best_of_n": "select o_custkey, arg_min(o_orderkey, struct_pack(s := -o_totalprice, o := o_orderkey)) as best from orders group by 1",
+    "image_extraction": "select p_partkey, 'https://host/' || p_partkey || '.png' as url, left(sha256('https://host/' || p_partkey || '.png'), 16) as key from part",
+    "parse_headings": f"with {LINES} select case when lv > 0 then lv end as level, coalesce(marker, '') as marker, count(*) as n, min(nullif(title, '')) as first_title from marked where lv > 0 or marker is not null group by 1, 2",
+    "breadcrumbs": f"with {TRAILS} select path, chunk::bigint as chunk, trail, header, continues from trails",
+    "contextual_chunks": f"with {TRAILS}, p as (select c.path, c.chunk, text, '[' || concat_ws(' | ', 'Document: ' || type || ' ' || number || '/' || year, 'Subject: ' || summary, case when trail <> '' then 'Section: ' || trail end, case when continues and header <> '' then 'Table continued: ' || header end) || ']' || {NL} as prefix from chunks c join trails t on c.path = t.path and c.chunk = t.chunk) select path, chunk::bigint as chunk, prefix, md5(prefix || text) as digest from p",
+    "fallback_ladder": f"with {FUSED}, steps as (select query_id, doc_id, rank, 0 as step from full_list where score > 40 union all select query_id, doc_id, rank, 1 from full_list where score > 20 union all select query_id, doc_id, rank, 2 from short_list), c as (select *, count(*) over (partition by query_id, step) as n from steps), d as (select *, min(case when n >= 2 or step = 2 then step end) over (partition by query_id) as chosen from c) select query_id, doc_id, rank, step from d where step = chosen",
 }

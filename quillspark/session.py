@@ -15,3 +15,9 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **config) -> Sp
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals a table that comes in fewer parts than there are cores to all of them; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
