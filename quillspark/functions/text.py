@@ -149,8 +149,8 @@ def bare_number(number: Column) -> Column:
 
 
 def document_identifier(kind: Column, number: Column, year: Column) -> Column:
-    """Type, number without leading zeros and /year, as far as there are any."""
-    number = F.nullif(F.regexp_replace(F.coalesce(number, F.lit("")), "^0+", ""), F.lit(""))
+    """Type, number without leading zeros (zeros alone stay) and /year, as far as there are any."""
+    number = F.nullif(F.trim(F.coalesce(F.nullif(F.regexp_replace(number, "^0+", ""), F.lit("")), number, F.lit(""))), F.lit(""))
     year = F.nullif(F.trim(F.coalesce(year, F.lit(""))), F.lit(""))
     return F.concat(F.concat_ws(" ", F.nullif(F.trim(F.coalesce(kind, F.lit(""))), F.lit("")), number), F.coalesce(F.concat(F.lit("/"), year), F.lit("")))
 

@@ -124,7 +124,7 @@ def split_structure(spark, sf_dir):
 @query
 def parse_headings(spark, sf_dir):
     rows = S.with_structure(S.lines(P.chunks(spark, sf_dir)))
-    return rows.where("level is not null or marker is not null").groupBy("level", F.coalesce("marker", F.lit("")).alias("marker")).agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
+    return rows.where("level is not null or marker is not null").groupBy(F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.coalesce("marker", F.lit("")).alias("marker")).agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
 
 
 @query

@@ -145,7 +145,7 @@ ORACLES: dict[str, str] = {
     "digit_density": f"select doc_id, round({density('text')}, 9) as density, {numbers('text')} as has_numbers from documents",
     "strip_front_matter": "select doc_id, md5(text) as body from documents",
     "safe_filename": "select p_partkey, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(string_split(replace(p_type || '\\' || p_name || ' ' || p_size || '%.md', '\\', '/'), '/')[-1], '[^A-Za-z0-9._-]', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'document') as name from part",
-    "identifiers": "select c_custkey, trim(concat_ws(' ', c_mktsegment, nullif(ltrim(n, '0'), ''))) || '/' || y as identifier, " + source_id("c_mktsegment", "n", "y") + " as source_id, 'p' || c_custkey || '|' || (c_custkey % 9) as chunk_key, case when c_custkey % 2 = 0 then 'p' || c_custkey else c_mktsegment || '|' || n || '|' || y end as standard_key, c_mktsegment || '-' || lpad(n, 8, '0') || '-' || y as regulatory_id, regexp_replace(n, '^0+(.)', '\\1') as bare from (select *, lpad(c_custkey::varchar, 6, '0') as n, (1990 + c_custkey % 30)::varchar as y from customer)",
+    "identifiers": "select c_custkey, trim(concat_ws(' ', c_mktsegment, coalesce(nullif(ltrim(n, '0'), ''), n))) || '/' || y as identifier, " + source_id("c_mktsegment", "n", "y") + " as source_id, 'p' || c_custkey || '|' || (c_custkey % 9) as chunk_key, case when c_custkey % 2 = 0 then 'p' || c_custkey else c_mktsegment || '|' || n || '|' || y end as standard_key, c_mktsegment || '-' || lpad(n, 8, '0') || '-' || y as regulatory_id, regexp_replace(n, '^0+(.)', '\\1') as bare from (select *, lpad(c_custkey::varchar, 6, '0') as n, (1990 + c_custkey % 30)::varchar as y from customer)",
     "first_filled": "select s_suppkey, coalesce(nullif(trim(case when s_suppkey % 3 = 0 then ' ' end), ''), nullif(trim(case when s_suppkey % 2 = 0 then s_name end), ''), '') as first, case when s_suppkey % 4 = 0 then null when s_suppkey % 4 = 1 then null else trim(s_name) end as filter from supplier",
     "render_markdown_tables": f"select l_orderkey, '| line | flags | price |' || {NL} || '| --- | --- | --- |' || {NL} || string_agg('| ' || l_linenumber || ' | ' || l_returnflag || '\\|' || l_linestatus || ' | ' || cast(l_extendedprice as decimal(12,2)) || ' |', {NL} order by l_linenumber, l_partkey, l_returnflag, l_linestatus, l_extendedprice) as markdown from lineitem group by 1",
     "split_structure": f"with {CHUNKS} select path, chunk::bigint as chunk, total_chunks::bigint as total_chunks, md5(text) as digest, length(text)::bigint as n_chars from chunks",
@@ -199,7 +199,7 @@ ORACLES: dict[str, str] = {
     "decimal_repair": "select p_partkey, case when p_size > 10 then left(p_size::varchar, 1) || ',' || right(p_size::varchar, 1) else p_size::varchar end || ' m/km; ' || (p_size * 100 + 1) // 10 || ' units >0,5' as fixed from part",
     "best_of_n": "select o_custkey, arg_min(o_orderkey, struct_pack(s := -o_totalprice, o := o_orderkey)) as best from orders group by 1",
     "image_extraction": "select p_partkey, 'https://host/' || p_partkey || '.png' as url, left(sha256('https://host/' || p_partkey || '.png'), 16) as key from part",
-    "parse_headings": f"with {LINES} select case when lv > 0 then lv end as level, coalesce(marker, '') as marker, count(*) as n, min(nullif(title, '')) as first_title from marked where lv > 0 or marker is not null group by 1, 2",
+    "parse_headings": f"with {LINES} select lv::bigint as level, coalesce(marker, '') as marker, count(*) as n, min(nullif(title, '')) as first_title from marked where lv > 0 or marker is not null group by 1, 2",
     "breadcrumbs": f"with {TRAILS} select path, chunk::bigint as chunk, trail, header, continues from trails",
     "contextual_chunks": f"with {TRAILS}, p as (select c.path, c.chunk, text, '[' || concat_ws(' | ', 'Document: ' || type || ' ' || number || '/' || year, 'Subject: ' || summary, case when trail <> '' then 'Section: ' || trail end, case when continues and header <> '' then 'Table continued: ' || header end) || ']' || {NL} as prefix from chunks c join trails t on c.path = t.path and c.chunk = t.chunk) select path, chunk::bigint as chunk, prefix, md5(prefix || text) as digest from p",
     "fallback_ladder": f"with {FUSED}, steps as (select query_id, doc_id, rank, 0 as step from full_list where score > 40 union all select query_id, doc_id, rank, 1 from full_list where score > 20 union all select query_id, doc_id, rank, 2 from short_list), c as (select *, count(*) over (partition by query_id, step) as n from steps), d as (select *, min(case when n >= 2 or step = 2 then step end) over (partition by query_id) as chosen from c) select query_id, doc_id, rank, step from d where step = chosen",
