@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import op01_warc, op02_secrets, op03_topk, op04_quality, op05_suffix_dedup, op06_decontamination, op07_sentence_spans, op08_near_dedup, op09_token_files, op10_bpe
 from quillspark.llm.common import table
+from quillspark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_warc_bundles(spark, sf_dir):
@@ -30,7 +33,8 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_decontamination(spark, sf_dir):
-    return op06_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = op06_decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ","))
 
 
 def op7_sentence_spans(spark, sf_dir):
@@ -51,9 +55,3 @@ def op10_bpe_round_trip(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_bundles, op2_secret_scan, op3_exact_top_k, op4_quality_classifier, op5_suffix_dedup, op6_decontamination, op7_sentence_spans, op8_near_dedup, op9_token_files, op10_bpe_round_trip)}
-_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * g}, 5))::bigint >> {15 - 5 * k}) & 31) + 1)::int, 1)" for g in range(8) for k in range(4))
-
-ORACLES: dict[str, str] = {
-    "op1_warc_bundles": f"with p as (select page_id, coalesce(html, '') as b from pages), f as (select b, min(page_id) as first from p group by 1), r as (select page_id, strlen(b) as payload_bytes, sha1(b) as h, case when page_id <> first then first end as refers_to from p join f using (b)) select page_id, payload_bytes, {_BASE32} as payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to, case when refers_to is null then payload_bytes else 0 end as stored_bytes from r",
-    "op3_exact_top_k": "with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id) select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 20",
-}
