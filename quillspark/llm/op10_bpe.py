@@ -32,6 +32,7 @@ UNSAFE = re.compile(rb"[\x00-\x20\x7f] |\xc2[\x80-\xa0] |\xe1\x9a\x80 |\xe1\xa0\
 #: A letter before a comma, a full stop or a line's end, and a letter after a line's end: pre-tokens end there too.
 LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 INNER = re.compile(rb"(?s)(.*" + LETTER + rb")([.,]?)(?:(\n)(" + LETTER + rb".*))?")
+WORD = re.compile(LETTER + rb"+")
 WINDOW = 16
 
 
@@ -76,8 +77,27 @@ def load(path: str):
 class PieceEncoder:
     """Encodes byte strings that begin and end at safe cuts; distinct pieces go to the library in batches."""
 
-    def __init__(self, tokenizer, limit: int = 240_000):
+    def __init__(self, tokenizer, limit: int = 180_000):
         self.tokenizer, self.pieces = tokenizer, TwoAges(limit)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        #: Ids whose bytes begin with a space, which the vocabulary writes as U+0120.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[k for text, k in vocabulary.items() if text[:1] == "\u0120"]] = True
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, each after a space: many go to the library as one text, whose ids are cut at spaces."""
+        out = []
+        groups = [words[k : k + 2000] for k in range(0, len(words), 2000)]
+        coded = self.tokenizer.encode_batch_fast([b"".join([b" " + w for w in g]).decode() for g in groups], add_special_tokens=False)
+        for group, c in zip(groups, coded, strict=True):
+            ids = np.array(c.ids, np.uint32)
+            ends = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
+            if len(ends) != len(group) + 1 or ends[0]:
+                out += self.library([b" " + w for w in group])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
     def library(self, texts: list[bytes]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -152,7 +172,9 @@ class PieceEncoder:
                     young[p] = ids
                 else:
                     new.add(p)
-        named = list(new)
+        plain = [p for p in new if WORD.fullmatch(p)]
+        young.update(zip(plain, self.words(plain), strict=True))
+        named = list(new.difference(plain))
         young.update(zip(named, self.library([p[:-1] if p[-1:] == b" " else b" " + p for p in named]), strict=True))
         for p, parts in inner.items():
             young[p] = b"".join([young[q] for q in parts])
@@ -161,7 +183,7 @@ class PieceEncoder:
 class ChunkEncoder:
     """Whole texts through a cache of content-defined chunks; see the module."""
 
-    def __init__(self, tokenizer, mask_bits: int = 8, cached_chunks: int = 25_000):
+    def __init__(self, tokenizer, mask_bits: int = 8, cached_chunks: int = 15_000):
         self.coder, self.mask_bits = PieceEncoder(tokenizer), mask_bits
         self.chunks, self.joins = TwoAges(cached_chunks), TwoAges(cached_chunks)
         self.table = byte_table(10).astype(np.uint32)
@@ -271,7 +293,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.
     # One pair per task: idle workers would hold their caches while other stages run.
     tokenizer = load(path)
     encoder, decoder = ChunkEncoder(tokenizer), Decoder(tokenizer)
-    for batch in slices(batches, 2 << 20):
+    for batch in slices(batches, 1 << 20):
         yield batch.column("doc_id"), encoder.encode(*utf8(batch.column("text"))), decoder
 
 
