@@ -59,7 +59,8 @@ class Generations:
         """Writes a new generation and makes it the current one; `batch` marks a stream's batch, so a replay adds nothing."""
         if batch is not None and self.manifest().get("batch") == batch:
             return self.current()
-        generation = f"{time.strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:8]}"
+        # Names sort by time, also within a second.
+        generation = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         folder = self.folder(generation)
         try:
             for name, table in tables.items():
