@@ -23,6 +23,27 @@ def coverage(cases: DataFrame, hits: DataFrame, empty: float = 1.0, normal: bool
     return per.withColumn("coverage", F.when(F.col("n_expected") == 0, F.lit(empty)).otherwise(F.round(F.col("n_found") / F.col("n_expected"), 6)))
 
 
+def coverage_everywhere(cases: DataFrame, texts: DataFrame) -> DataFrame:
+    """As `coverage`, with every text (column text) searched for every case.
+
+    A value without spaces occurs in a text where it is a word or lies within one, so values meet the distinct words of
+    all texts: by an equi-join first, those left as substrings. Only values with spaces that are no word meet whole texts.
+    """
+    values = cases.select("case_id", F.explode_outer(F.array_distinct("expected")).alias("value")).withColumn("v", T.comparison_normal(F.col("value")))
+    asked = values.where("value is not null").select("v").distinct()
+    normal = texts.select(T.comparison_normal(F.col("text")).alias("t"))
+    words = normal.select(F.explode(F.array_distinct(F.split("t", " "))).alias("word")).where("word is not null").distinct()
+    whole = asked.join(words, F.col("v") == F.col("word")).select("v")
+    left = asked.join(whole, "v", "left_anti")
+    spaced = F.contains(F.col("v"), F.lit(" "))
+    # The right sides are values of the cases.
+    within = words.join(F.broadcast(left.where(~spaced)), F.contains(F.col("word"), F.col("v"))).select("v")
+    phrases = normal.join(F.broadcast(left.where(spaced)), F.contains(F.col("t"), F.col("v"))).select("v")
+    found = whole.unionByName(within).unionByName(phrases).distinct().withColumn("hit", F.lit(1))
+    per = values.join(found, "v", "left").groupBy("case_id").agg(F.count("value").alias("n_expected"), F.count_if(F.col("value").isNotNull() & F.col("hit").isNotNull()).alias("n_found"))
+    return per.withColumn("coverage", F.when(F.col("n_expected") == 0, F.lit(1.0)).otherwise(F.round(F.col("n_found") / F.col("n_expected"), 6)))
+
+
 def case_metrics(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """(case_id, hit, n_structured, n_ocr, ok) from hits (case_id, path, quality) and cases (case_id, doc, min_structured)."""
     per = cases.join(hits, "case_id", "left").groupBy("case_id", "doc", "min_structured").agg(F.max(F.col("path") == F.col("doc")).alias("hit"), F.count_if(F.col("quality") == "structured").alias("n_structured"), F.count_if(F.col("quality") == "ocr").alias("n_ocr"))

@@ -448,9 +448,8 @@ def keep_generations(spark, sf_dir):
 @query
 def coverage(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
-    cases = items.select(F.col("item_id").alias("case_id"), F.slice(T.keywords(F.col("text")), 1, 8).alias("expected"))
-    hits = items.select(F.col("item_id").alias("case_id"), (F.col("item_id") % 40).alias("m")).join(docs(spark, sf_dir).select((F.col("doc_id") % 40).alias("m"), T.comparison_normal(F.col("text")).alias("text")), "m").select("case_id", "text")
-    return E.coverage(cases, hits, normal=True)
+    cases = items.select(F.col("item_id").alias("case_id"), T.keywords(F.col("text")).alias("expected"))
+    return E.coverage_everywhere(cases, docs(spark, sf_dir).select("text"))
 
 
 @query
