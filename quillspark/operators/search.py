@@ -9,6 +9,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ RRF_K, RRF_WEIGHTS = 60, (1.0, 0.7, 1.0)
 CAP = 40
 #: Query vectors that are held in one block.
 QUERY_BLOCK = 2048
+#: Questions whose keywords are held in one block, and words that a worker remembers.
+KEYWORD_BLOCK, KNOWN_WORDS = 512, 200_000
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -222,14 +226,71 @@ def prioritize_sources(hits: DataFrame, quality: str = "quality", norm: str = "n
     return ranked(rows, None, [F.col("__g"), F.col("__before")]).drop("__g", "__before")
 
 
+class Holders(dict):
+    """Word -> places of the terms that lie within it; terms have no blanks."""
+
+    def __init__(self, terms: list[bytes]):
+        self.place = {t: n for n, t in enumerate(terms)}
+        self.lengths = sorted({len(t) for t in terms})
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = {self.place.get(word[i : i + n]) for n in self.lengths for i in range(len(word) - n + 1)} - {None}
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = out = tuple(found)
+        return out
+
+
 def keyword_search(questions: DataFrame, catalog: DataFrame, key: str, fields: list[str], k: int, condition: Column | None = None) -> DataFrame:
-    """Without vectors: rows that hold keywords of the question in their fields, most keywords first."""
-    # Questions and a catalog are small sides of a theta join; each keyword is matched as a substring.
-    asked = questions.select("query_id", F.explode(F.array_distinct(T.keywords(F.col("text")))).alias("word"))
+    """Without vectors: rows that hold keywords of the question in their fields, most keywords first.
+
+    A keyword counts where it is a substring of the whole fields. Keywords have no blanks, so a row's distinct words say which
+    it holds. Questions come in blocks of bounded size, and each partition keeps its own k best of every question.
+    catalog: one row a key, which isn't null.
+    """
+    asked = questions.select("query_id", F.array_distinct(T.keywords(F.col("text"))).alias("words"))
     rows = catalog.where(condition) if condition is not None else catalog
-    rows = rows.select(key, F.lower(F.concat_ws(" ", *fields)).alias("__text"))
-    hits = asked.join(rows, F.contains("__text", F.col("word"))).groupBy("query_id", key).agg(F.count("*").alias("score"))
-    return ranked(hits, k, [F.desc("score"), F.col(key)])
+    # Bytes: a UTF-8 substring is one of characters too, and bytes.split() knows the same blanks as the keywords' \s.
+    rows = rows.select(key, F.lower(F.concat_ws(" ", *fields)).cast("binary").alias("__text"))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score long"
+    blocks = max(1, -(-asked.count() // KEYWORD_BLOCK))
+    out = []
+    for block in range(blocks):
+        held = [r for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect() if r.words]
+        if not held:
+            continue
+        ids, terms = list(dict.fromkeys(r.query_id for r in held)), sorted({w.encode() for r in held for w in r.words})
+        column, place = {q: n for n, q in enumerate(ids)}, {t: n for n, t in enumerate(terms)}
+        matrix = np.zeros((len(terms), len(ids)), np.float32)
+        for r in held:
+            for w in r.words:
+                matrix[place[w.encode()], column[r.query_id]] += 1
+
+        def search(batches, ids=ids, terms=terms, matrix=matrix):
+            holders, names, step = Holders(terms), pd.Series(ids), max(1, (4 << 20) // len(terms))
+            kept = None
+            for batch in batches:
+                for begin in range(0, batch.num_rows, step):
+                    piece = batch.slice(begin, step)
+                    piece = piece.take(pc.sort_indices(piece.column(key)))
+                    has = np.zeros((piece.num_rows, len(terms)), np.float32)
+                    for n, text in enumerate(piece.column("__text").to_pylist()):
+                        has[n, list({t for word in set(text.split()) for t in holders[word]})] = 1
+                    score = (has @ matrix).astype(np.int32)
+                    # Rows are in the order of their keys, which a stable sort keeps among equals.
+                    best = np.argsort(-score, axis=0, kind="stable")[:k]
+                    top = np.take_along_axis(score, best, 0)
+                    i, j = np.nonzero(top > 0)
+                    found = pd.DataFrame({"query": j, key: piece.column(key).to_pandas().to_numpy()[best[i, j]], "score": top[i, j].astype(np.int64)})
+                    kept = found if kept is None else pd.concat([kept, found])
+                    kept = kept.sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query").head(k)
+            if kept is not None and len(kept):
+                yield pa.RecordBatch.from_pandas(pd.DataFrame({"query_id": names.iloc[kept["query"]].to_numpy(), key: kept[key].to_numpy(), "score": kept["score"].to_numpy()}), preserve_index=False)
+
+        out.append(rows.mapInArrow(search, schema))
+    if not out:
+        return asked.select("query_id").crossJoin(rows.select(key)).select("query_id", key, F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
+    return ranked(reduce(DataFrame.unionByName, out), k, [F.desc("score"), F.col(key)])
 
 
 def with_fallback(primary: DataFrame, fallbacks: list[DataFrame], least: int = 2) -> DataFrame:

@@ -224,8 +224,8 @@ def mmr_topk(spark, sf_dir):
 
 @query
 def keyword_fallback(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", "lang", "source", F.left("text", F.lit(300)).alias("head"))
-    return R.keyword_search(questions(spark, sf_dir), rows, "doc_id", ["lang", "source", "head"], 30)
+    rows = docs(spark, sf_dir).select("doc_id", "lang", "source", "text")
+    return R.keyword_search(questions(spark, sf_dir), rows, "doc_id", ["lang", "source", "text"], 30)
 
 
 def fused_lists(spark, sf_dir):
