@@ -1,7 +1,8 @@
 """Operator 7: substring deduplication over sliding spans of sentences.
 
 A span begins at every sentence and takes as many consecutive sentences as give it `min_sentences` sentences and
-`min_words` words, so chance repeats of very short sentences don't count. Every span is hashed to 128 bits; spans of all
+`min_words` words, so chance repeats of very short sentences don't count. With `ends`, one also ends at every sentence and
+takes as many before it, so that a repeated run which holds a span is covered from its first sentence to its last. Every span is hashed to 128 bits; spans of all
 texts meet by hash; the span with the smallest (doc_id, sentence) is the first, and every sentence that any other span of
 that hash covers is removed, whether in another text or further down the same one.
 
@@ -51,9 +52,9 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, first, owner, np.searchsorted(owner, np.arange(len(offsets)))
 
 
-def span_rows(data: np.ndarray, offsets: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+def span_rows(data: np.ndarray, offsets: np.ndarray, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, ends: bool = False) -> tuple[np.ndarray, ...]:
     """(hash, second hash, text, first sentence within the text, sentences) of every span."""
-    starts, ends, first, owner, before = sentences(data, offsets)
+    starts, stops, first, owner, before = sentences(data, offsets)
     if not len(first):
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     bounds = np.append(first, len(starts))
@@ -61,40 +62,48 @@ def span_rows(data: np.ndarray, offsets: np.ndarray, min_sentences: int = MIN_SE
     stop = np.maximum(np.arange(len(first)) + min_sentences, np.searchsorted(bounds, first + min_words, "left"))
     fits = stop <= before[owner + 1]
     at = np.flatnonzero(fits)
-    a, b = bounds[at], bounds[stop[at]]
+    to = stop[at]
+    if ends:
+        # For each sentence as the last: the latest sentence edge that leaves enough, within the text, unless that span is there already.
+        edge = np.arange(1, len(first) + 1)
+        start = np.minimum(edge - min_sentences, np.searchsorted(bounds, bounds[edge] - min_words, "right") - 1)
+        new = start >= before[owner]
+        new[new] = stop[start[new]] != edge[new]
+        at, to = np.append(at, start[new]), np.append(to, edge[new])
+    a, b = bounds[at], bounds[to]
     low = LOWER[data]
     power, inverse = powers(1 << max(12, int(len(starts)).bit_length()))
     out = []
     for seed in (71, 72):
-        word = span_hashes(prefix_sums(low, seed), starts, ends)
+        word = span_hashes(prefix_sums(low, seed), starts, stops)
         total = np.append(np.uint64(0), np.cumsum(word * power[: len(word)], dtype=np.uint64))
         out.append(finish((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)))
-    return out[0], out[1], owner[at], at - before[owner[at]], stop[at] - at
+    return out[0], out[1], owner[at], at - before[owner[at]], to - at
 
 
-def spans_of(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+def spans_of(docs: DataFrame, min_sentences: int, min_words: int, ends: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2 << 20):
-            a, b, owner, begin, n = span_rows(*utf8(batch.column("text")), min_sentences, min_words)
+            a, b, owner, begin, n = span_rows(*utf8(batch.column("text")), min_sentences, min_words, ends)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "doc_id", "begin", "n"])
 
     return docs.mapInArrow(run, SPANS)
 
 
-def removed_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
     """(doc_id, begin, n): spans that are not the first of their hash; sentence numbers within the text, from 0."""
-    rows = materialize(spans_of(docs.where("doc_id is not null"), min_sentences, min_words), "spans")
+    rows = materialize(spans_of(docs.where("doc_id is not null"), min_sentences, min_words, ends), "spans")
     twice = rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
     repeated = materialize(rows.join(twice, "a"), "repeated")
     firsts = repeated.groupBy("a", "b").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"))
     return repeated.join(firsts, ["a", "b"]).where((F.col("doc_id") != F.col("first_doc")) | (F.col("begin") != F.col("first_begin"))).select("doc_id", "begin", "n")
 
 
-def deduplicate(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
     """(doc_id, n_sentences, n_removed, kept_text) of every row."""
     docs = doc_columns(docs)
     # At most one range for each sentence of a text: the list is no larger than the text that it is joined to.
-    ranges = removed_spans(docs, min_sentences, min_words).groupBy("doc_id", "begin").agg(F.max("n").alias("n")).groupBy("doc_id").agg(F.collect_list("begin").alias("begins"), F.collect_list("n").alias("sizes"))
+    ranges = removed_spans(docs, min_sentences, min_words, ends).groupBy("doc_id", "begin").agg(F.max("n").alias("n")).groupBy("doc_id").agg(F.collect_list("begin").alias("begins"), F.collect_list("n").alias("sizes"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):

@@ -38,7 +38,7 @@ def op6_decontamination(spark, sf_dir):
 
 
 def op7_sentence_spans(spark, sf_dir):
-    return op07_sentence_spans.digests(op07_sentence_spans.deduplicate(table(spark, sf_dir, "documents")))
+    return op07_sentence_spans.digests(op07_sentence_spans.deduplicate(table(spark, sf_dir, "documents"), ends=True))
 
 
 def op8_near_dedup(spark, sf_dir):
