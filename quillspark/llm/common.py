@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all is one machine."""
     root = spark.sparkContext.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -55,6 +59,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives the memory that a task has freed back to the system, as workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # other C libraries have no such call and give back memory by themselves
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow whose workers hold nothing once a task is over."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+#: A key is hot with more than this share of all rows, so there are fewer hot keys than HOT_SHARES, and with HOT_ROWS at least.
+HOT_SHARES, HOT_ROWS = 1000, 1000
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], count: str = "c") -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose column `count` has the key's number of rows.
+
+    Rows of hot keys are dealt out by `spread_by`, and the key's one row is repeated for each part, so no task gets more
+    than about a thousandth of the rows of one key. Only the hot keys are broadcast. `per_key` is read several times, so it
+    should be a written table.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    limit = max(total // HOT_SHARES, HOT_ROWS)
+    hot = per_key.where(F.col(count) > limit).select(*keys, F.ceil(F.col(count) / limit).cast("int").alias("__parts"))
+    if hot.isEmpty():
+        return rows.join(per_key, keys)
+    part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__parts")), F.lit(0)).cast("int")
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", part).drop("__parts")
+    every = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    per_key = per_key.join(F.broadcast(hot), keys, "left").withColumn("__part", F.explode(every)).drop("__parts")
+    return rows.join(per_key, [*keys, "__part"]).drop("__part")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

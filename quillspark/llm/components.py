@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import arrow_map, materialize
 
 SCHEMA = "node long, root long"
 
@@ -67,7 +67,7 @@ def components(links: DataFrame, turns: int = 100) -> DataFrame:
     components in several parts, but never join what isn't linked."""
     a, b = links.columns
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
-    edges = materialize(edges.mapInArrow(_contract, SCHEMA).distinct(), "links")
+    edges = materialize(arrow_map(edges, _contract, SCHEMA).distinct(), "links")
     state = _sum(edges)
     for _ in range(turns):
         edges = materialize(_star(_star(edges, True), False), "stars")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, scratch
+from quillspark.llm.common import arrow_map, materialize, scratch
 from quillspark.llm.files import Reader, Writer
 
 #: Fixed values of the seekable format and of skippable frames.
@@ -131,7 +131,7 @@ def write(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int = FRAME
         if bundle:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bundle.close()), types)], names)
 
-    return materialize(mark(pages, min_revisit_bytes).mapInArrow(save, INDEX), "warc-index")
+    return materialize(arrow_map(mark(pages, min_revisit_bytes), save, INDEX), "warc-index")
 
 
 def seek_table(file: Reader) -> list[tuple[int, int]]:
@@ -172,7 +172,7 @@ def read_back(index: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                 file.close()
 
-    return work.mapInArrow(load, READ)
+    return arrow_map(work, load, READ)
 
 
 def _row(x: dict) -> tuple:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_columns, slices, small_batches, utf8
+from quillspark.llm.common import arrow_map, doc_columns, slices, small_batches, utf8
 
 CHUNK, WIDTH, FILTERS = 256, 5, 16
 STEP = CHUNK - WIDTH + 1
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chun
                 out.append(rows.astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "rows"])
 
-    sample = doc_columns(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").mapInArrow(chunks, "doc_id long, label int, rows binary")
+    sample = arrow_map(doc_columns(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label"), chunks, "doc_id long, label int, rows binary")
     got = sorted(sample.limit(2 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, r.rows))
     if not got:
         return None
@@ -206,7 +206,7 @@ def classify(docs: DataFrame, network: Network | None) -> DataFrame:
             p = score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return doc_columns(docs).withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, SCHEMA)
+    return arrow_map(doc_columns(docs).withColumn("held_out", held_out(F.col("doc_id"))), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, network: Network | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -221,4 +221,4 @@ def keep_good(docs: DataFrame, network: Network | None, threshold: float = 0.5,
             for part in slices(iter([batch.rename_columns([f"c{k}" for k in range(len(names))])]), 4 << 20, f"c{place}"):
                 yield part.filter(pa.array(score(part.column(place)) >= threshold)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -1,25 +1,40 @@
-"""Operator 6: benchmark decontamination by a BM25 index of test items with block-max WAND bounds.
+"""Operator 6: benchmark decontamination by a BM25 inverted index of test items with block-max WAND.
 
-The test items are indexed: for each term and item the BM25 contribution, divided by the item's threshold (a share of
-the score that the item gives for its own terms), so that an item is found at a sum of 1. Training texts are queried
-passage by passage: windows of twice the longest item's words, stepping by that length, so every run of an item's length
-lies whole in a window. A window's terms are first summed over block maxima (blocks of items); only blocks whose bound
-reaches 1 are scored item by item. This is what block-max WAND does, for many windows at once. All items that reach 1
-are then verified: of an item's five-word shingles at least `overlap` must be in the window, and of its question's and
-its answer's shingles at least half each. Where an item has no answer column its last third is the answer.
+The test items are indexed in posting lists: for each term the items that hold it, in order, with the term's BM25
+contribution divided by the item's threshold, so that an item is found at a sum of 1. Each list is cut into blocks at
+fixed item numbers; a block knows its largest contribution and a list its own. Training texts are queried passage by
+passage: windows of twice the longest item's words, stepping by that length, so every run of an item's length lies whole
+in a window. For each window, as WAND does,
 
-Only items are held in memory, at most `shard_items` at a time; more items make more passes over the texts, each shard
-an index of its own, whose results are merged per document.
+1. terms are ordered by their lists' maxima, and those whose maxima together stay below 1 open no block by themselves;
+   a window whose maxima sum to less than 1 is skipped whole,
+2. blocks that the other terms reach get the sum of the block maxima of all the window's terms; a block below 1 is skipped,
+3. the postings of the remaining blocks are summed by item.
+
+Many windows go through each step together. All items that reach 1 are then verified: of an item's five-word shingles at
+least `overlap` must be in the window, and of its question's and its answer's shingles at least half each. Where an item
+has no answer column its last third is the answer.
+
+The threshold loses nothing. A passage that holds at least `overlap` of an item's shingles lacks at most m of them, and
+a term can be lacking only with all shingles that hold it; if each term's contribution is shared out evenly to its
+shingles, the terms that are lacking weigh at most what the m heaviest shingles have together. An item's threshold is
+its own score without that.
+
+Shards of at most `shard_items` items or SHARD_BYTES of text are built on the driver one at a time and written to the
+shared folder; tasks read them from there, hold HELD of them, and take every batch of texts through all shards in one
+pass, so a row stays one row.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, after lower-casing A-Z. An item of fewer
 than five words is one shingle. Defined cases: null or empty texts have no passage; items without words are never
-found; a null doc_id stays null; rows that repeat give repeated rows; of items that repeat each is reported; ties don't
-matter, as every item above the threshold is taken; empty tables give no findings; other columns are not read. One very
-long text is held by one task.
+found and a null item_id is no item; a null doc_id stays null; rows that repeat give repeated rows; of items that repeat
+each id is reported once, with its best overlap; ties don't matter, as every item above the threshold is taken; empty
+tables give no findings; other columns are kept by `keep_clean` and not read by `contamination`, whatever their names.
+One very long text is held by one task, but its windows are worked in parts.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +42,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_columns, finish, slices, small_batches, utf8
+from quillspark.llm.common import arrow_map, doc_columns, finish, scratch, slices, small_batches, utf8
+from quillspark.llm.files import Reader, Writer
 from quillspark.llm.words import hashed_words
 
 SCHEMA = "doc_id long, n_passages long, item_ids array<long>, best_overlap double"
-K1, B, SHARE, OVERLAP, PART_OVERLAP, BLOCK, SHINGLE = 1.5, 0.75, 0.5, 0.8, 0.5, 8, 5
-SHARD_ITEMS = 4096
+K1, B, OVERLAP, PART_OVERLAP, BLOCK, SHINGLE = 1.5, 0.75, 0.8, 0.5, 16, 5
+SHARD_ITEMS, SHARD_BYTES, HELD = 4096, 8 << 20, 2
+SLICE, WINDOWS = 512 << 10, 2048
+#: Pairs of a block and a term that are worked together, about.
+PAIRS = 1 << 20
+#: Sums of 64-bit floats are compared with 1 less this.
+SLACK = 1e-9
+PARTS = ("question", "answer", "whole")
 _FACTORS = np.random.default_rng(66).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -47,13 +69,31 @@ def runs(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return finish(h)
 
 
+def expand(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, place) of every place of ranges begin..begin+size."""
+    which = np.repeat(np.arange(len(begin)), size)
+    return which, np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(which))
+
+
+def needed(words: np.ndarray, weight: dict[int, float], overlap: float) -> float:
+    """The least score of a passage that holds `overlap` of an item's shingles; see the module."""
+    size = min(SHINGLE, len(words))
+    shingles, first = np.unique(runs(words), return_index=True)
+    holds = [np.unique(words[a : a + size]).tolist() for a in first]
+    among: dict[int, int] = {}
+    for own in holds:
+        for t in own:
+            among[t] = among.get(t, 0) + 1
+    share = sorted((sum(weight[t] / among[t] for t in own) for own in holds), reverse=True)
+    lacking = len(shingles) - int(np.ceil(overlap * len(shingles) - 1e-9))
+    return sum(share[lacking:])
+
+
 class Index:
-    """items: (item_id, question, answer) of texts."""
+    """Posting lists and shingles of items, (item_id, question, answer) of texts; arrays only, so it is saved as one file."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]]):
-        self.ids, self.question, self.answer, self.whole, bags = [], [], [], [], []
-        #: Shingle length of each part: five words, or all of a shorter part.
-        self.sizes = {"question": [], "answer": [], "whole": []}
+    def __init__(self, items: list[tuple[int, str, str | None]], overlap: float = OVERLAP):
+        ids, bags, parts_of = [], [], []
         for item_id, question, answer in items:
             parts = [hashed_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in (question or "", answer or "")]
             words = np.concatenate(parts)
@@ -62,147 +102,247 @@ class Index:
             if not len(parts[1]):
                 cut = len(words) - len(words) // 3
                 parts = [words[:cut], words[cut:]]
-            self.ids.append(item_id)
+            ids.append(item_id)
             bags.append(words)
-            for name, part in zip(self.sizes, (*parts, words)):
-                self.sizes[name].append(max(1, min(SHINGLE, len(part))))
-                getattr(self, name).append(np.unique(runs(part)))
+            parts_of.append((*parts, words))
+        self.ids, n = np.array(ids, np.int64), len(ids)
         self.longest = max(map(len, bags), default=0)
-        n = len(bags)
-        self.terms = np.unique(np.concatenate(bags)) if bags else np.zeros(0, np.uint64)
-        width = -(-n // BLOCK) * BLOCK
-        self.impact = np.zeros((len(self.terms) + 1, width), np.float32)
-        if not n:
-            return
-        tf = np.zeros((len(self.terms), n), np.float32)
-        for k, words in enumerate(bags):
-            np.add.at(tf[:, k], np.searchsorted(self.terms, words), 1)
-        df = (tf > 0).sum(1)
+        #: Shingle length of each part (five words, or all of a shorter part), and its shingles, one item after the other.
+        for k, name in enumerate(PARTS):
+            own = [np.unique(runs(p[k])) for p in parts_of]
+            setattr(self, f"{name}_size", np.array([max(1, min(SHINGLE, len(p[k]))) for p in parts_of], np.int64))
+            setattr(self, f"{name}_ends", np.cumsum([0, *map(len, own)]))
+            setattr(self, name, np.concatenate([np.zeros(0, np.uint64), *own]))
+        counted = [np.unique(words, return_counts=True) for words in bags]
+        item = np.repeat(np.arange(n), [len(t) for t, _ in counted])
+        term = np.concatenate([np.zeros(0, np.uint64), *(t for t, _ in counted)])
+        tf = np.concatenate([np.zeros(0), *(c for _, c in counted)])
+        self.terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        size = tf.sum(0)
-        scored = idf[:, None] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / size.mean()))
-        # An item is found where its contributions sum to 1; the last row is that of unknown words.
-        self.impact[:-1, :n] = scored / (SHARE * scored.sum(0))
-        self.block_most = self.impact.reshape(len(self.impact), -1, BLOCK).max(2)
-
-    def windows(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, end, text) of passages in terms of word positions; `doc` is each word's text."""
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(edges, len(doc)))
-        n = np.maximum(1, -(-sizes // self.longest) - 1)
-        first = np.repeat(np.cumsum(n) - n, n)
-        begin = np.repeat(edges, n) + (np.arange(len(first)) - first) * self.longest
-        return begin, np.minimum(begin + 2 * self.longest, np.repeat(edges + sizes, n)), doc[begin]
+        size = np.array([len(b) for b in bags], np.float64)
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(size.mean() if n else 1.0, 1.0)))
+        edges = np.searchsorted(item, np.arange(n + 1))
+        for k in range(n):
+            own = slice(edges[k], edges[k + 1])
+            impact[own] /= needed(bags[k], dict(zip(self.terms[term[own]].tolist(), impact[own].tolist())), overlap)
+        order = np.lexsort((item, term))
+        self.items, self.impacts, term = item[order].astype(np.int32), impact[order], term[order]
+        # Blocks of postings: one term and BLOCK item numbers each.
+        self.n_ranges = -(-n // BLOCK)
+        key = term.astype(np.int64) * max(1, self.n_ranges) + self.items // BLOCK
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.block_key = key[heads]
+        self.block_at = np.append(heads, len(key))
+        self.block_most = np.maximum.reduceat(self.impacts, heads) if len(heads) else np.zeros(0)
+        first = np.searchsorted(self.block_key, np.arange(len(self.terms) + 1) * max(1, self.n_ranges))
+        self.term_blocks = first
+        self.term_most = np.maximum.reduceat(self.block_most, first[:-1]) if len(self.terms) else np.zeros(0)
+
+    def save(self, folder: str, stem: str) -> str:
+        """The file's place."""
+        body = io.BytesIO()
+        np.savez(body, **vars(self))
+        out = Writer(folder, stem, ".npz")
+        out.write(body.getvalue())
+        out.close()
+        return out.uri
+
+    @classmethod
+    def load(cls, uri: str) -> Index:
+        file = Reader(uri)
+        got = np.load(io.BytesIO(file.read(0, file.size)))
+        file.close()
+        index = cls.__new__(cls)
+        for name in got.files:
+            setattr(index, name, got[name])
+        return index
 
     def candidates(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all items that reach their threshold in a window."""
+        """(window, item) of all items that reach their threshold in a window; begin and end in words."""
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.terms) or not len(words):
+            return nothing
         term = np.searchsorted(self.terms, words)
-        term[(term == len(self.terms)) | (self.terms[np.minimum(term, len(self.terms) - 1)] != words)] = len(self.terms)
-        known = np.flatnonzero(term < len(self.terms))
-        a, b = np.searchsorted(known, begin), np.searchsorted(known, end)
-        n = b - a
-        window = np.repeat(np.arange(len(begin)), n)
-        place = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(window))
+        known = np.flatnonzero(self.terms[np.minimum(term, len(self.terms) - 1)] == words)
+        a = np.searchsorted(known, begin)
+        window, place = expand(a, np.searchsorted(known, end) - a)
         pair = np.unique(window * np.int64(len(self.terms)) + term[known[place]])
         window, term = pair // len(self.terms), pair % len(self.terms)
         if not len(pair):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return nothing
+        # 1. Terms by their lists' maxima; the light ones below a sum of 1 open no block, light windows fall.
+        most = self.term_most[term]
+        order = np.lexsort((most, window))
+        window, term, most = window[order], term[order], most[order]
         heads = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
-        bound = np.add.reduceat(self.block_most[term], heads, axis=0)
-        w, block = np.nonzero(bound >= 1 - 1e-4)
-        tails = np.append(heads[1:], len(window))
-        found_w, found_i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for b in np.unique(block):
-            rows = w[block == b]
-            sizes = tails[rows] - heads[rows]
-            at = np.repeat(heads[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            total = np.add.reduceat(self.impact[term[at], b * BLOCK : (b + 1) * BLOCK], np.cumsum(sizes) - sizes, axis=0)
-            r, i = np.nonzero(total >= 1 - 1e-4)
-            found_w.append(window[heads[rows[r]]])
-            found_i.append(i + b * BLOCK)
-        return np.concatenate(found_w), np.concatenate(found_i)
-
-    def overlap(self, words: np.ndarray, item: int) -> float:
+        sizes = np.diff(np.append(heads, len(window)))
+        upto = np.cumsum(most)
+        upto -= np.repeat(upto[heads] - most[heads], sizes)
+        # One running sum over all windows: its rounding error is far below this.
+        heavy = np.flatnonzero(upto >= 1 - 1e-6)
+        if not len(heavy):
+            return nothing
+        of = np.repeat(np.arange(len(heads)), sizes)
+        blocks = np.diff(self.term_blocks)[term]
+        cost = np.minimum(np.bincount(of[heavy], blocks[heavy], len(heads)), self.n_ranges) * sizes
+        found = [nothing]
+        # Some windows at a time, so that memory has a bound.
+        for group in np.split(np.arange(len(heads)), np.flatnonzero(np.diff(np.cumsum(cost) // PAIRS)) + 1):
+            mine = heavy[np.searchsorted(of[heavy], group[0]) : np.searchsorted(of[heavy], group[-1], "right")]
+            if len(mine):
+                found.append(self._blocks(window, term, of, heads, sizes, mine))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _blocks(self, window, term, of, heads, sizes, heavy) -> tuple[np.ndarray, np.ndarray]:
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # 2. Blocks of heavy terms, each with the sum of the block maxima of all terms of its window.
+        which, block = expand(self.term_blocks[term[heavy]], np.diff(self.term_blocks)[term[heavy]])
+        opened = np.unique(of[heavy[which]] * np.int64(self.n_ranges) + self.block_key[block] % self.n_ranges)
+        row = opened // self.n_ranges
+        which, place = expand(heads[row], sizes[row])
+        key = term[place] * np.int64(self.n_ranges) + (opened % self.n_ranges)[which]
+        block = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+        there = np.flatnonzero(self.block_key[block] == key)
+        which, block = which[there], block[there]
+        bound = np.bincount(which, self.block_most[block], len(opened))
+        still = np.flatnonzero((bound >= 1 - SLACK)[which])
+        if not len(still):
+            return nothing
+        # 3. Postings of what is left.
+        owner, place = expand(self.block_at[block[still]], np.diff(self.block_at)[block[still]])
+        pair, at = np.unique(window[heads[row[which[still]]]][owner] * np.int64(len(self.ids)) + self.items[place], return_inverse=True)
+        full = pair[np.bincount(at, self.impacts[place]) >= 1 - SLACK]
+        return full // len(self.ids), full % len(self.ids)
+
+    def overlap(self, passage: Passage, item: int) -> float:
         """Share of the item's shingles among a passage's; 0 where question or answer falls short."""
-        def share(own: np.ndarray, size: int) -> float:
-            return float(np.isin(own, passage[size]).mean()) if len(own) else 1.0
+        shares = []
+        for name in PARTS:
+            size, ends = int(getattr(self, f"{name}_size")[item]), getattr(self, f"{name}_ends")
+            own = getattr(self, name)[ends[item] : ends[item + 1]]
+            if size > len(passage.words):
+                return 0.0
+            shares.append(passage.share(own, size))
+        return shares[2] if min(shares[:2]) >= PART_OVERLAP else 0.0
+
+
+class Passage:
+    """A window's words, and its shingles of each length that is asked for."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.known = words, {}
+
+    def share(self, own: np.ndarray, size: int) -> float:
+        if not len(own):
+            return 1.0
+        if size not in self.known:
+            self.known[size] = np.unique(runs(self.words, size))
+        has = self.known[size]
+        return float((has[np.minimum(np.searchsorted(has, own), len(has) - 1)] == own).mean())
+
+
+def windows(doc: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of passages in terms of word positions; `doc` is each word's text."""
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(edges, len(doc)))
+    n = np.maximum(1, -(-sizes // longest) - 1)
+    first = np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(edges, n) + (np.arange(len(first)) - first) * longest
+    return begin, np.minimum(begin + 2 * longest, np.repeat(edges + sizes, n)), doc[begin]
+
+
+class Shards:
+    """Indexes of all items: `uris` of files and the longest item's words. A task loads what it needs."""
+
+    def __init__(self, uris: list[str], longest: int):
+        self.uris, self.longest = uris, longest
+
+    def scan(self, data: np.ndarray, offsets: np.ndarray, held: dict[str, Index], overlap: float = OVERLAP) -> list[tuple[int, dict[int, float]]]:
+        """For each text: number of passages, and overlap by item_id of the items found in it."""
+        out: list[tuple[int, dict[int, float]]] = [(0, {}) for _ in range(len(offsets) - 1)]
+        if not self.longest or not len(out):
+            return out
+        words, doc = hashed_words(data, offsets)
+        begin, end, owner = windows(doc, self.longest)
+        for d, n in zip(*(c.tolist() for c in np.unique(owner, return_counts=True))):
+            out[d] = (n, {})
+        for uri in self.uris:
+            index = held.get(uri)
+            if index is None:
+                while len(held) >= HELD:
+                    held.pop(next(iter(held)))
+                index = held[uri] = Index.load(uri)
+            for at in range(0, len(begin), WINDOWS):
+                passage, last = None, -1
+                first, to = begin[at : at + WINDOWS], end[at : at + WINDOWS]
+                base = int(first[0])
+                for w, item in zip(*(c.tolist() for c in index.candidates(words[base : int(to.max())], first - base, to - base))):
+                    if w != last:
+                        passage, last = Passage(words[first[w] : to[w]]), w
+                    share = index.overlap(passage, item)
+                    if share >= overlap:
+                        found, name = out[owner[at + w]][1], int(index.ids[item])
+                        found[name] = max(share, found.get(name, 0.0))
+        return out
 
-        passage = {n: runs(words, n) for n in range(1, SHINGLE + 1) if len(words) >= n}
-        sizes = [self.sizes[part][item] for part in ("question", "answer", "whole")]
-        if max(sizes) > len(words):
-            return 0.0
-        question, answer, whole = (share(getattr(self, p)[item], n) for p, n in zip(("question", "answer", "whole"), sizes))
-        return whole if question >= PART_OVERLAP and answer >= PART_OVERLAP else 0.0
 
+def build(items: DataFrame, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, shard_bytes: int = SHARD_BYTES, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None) -> Shards:
+    """Indexes every item; the driver holds one shard's texts at a time."""
+    answer = F.col(f"`{answer_col}`").cast("string") if answer_col else F.lit(None).cast("string")
+    rows = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{question_col}`").cast("string").alias("q"), answer.alias("a")).where("i is not null")
+    folder, uris, longest, held, size = scratch(items.sparkSession, "items"), [], 0, [], 0
 
-def scan(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float = OVERLAP) -> list[tuple[int, dict[int, float]]]:
-    """For each text: number of passages, and overlap by item_id of the items found in it."""
-    out = [(0, {}) for _ in range(len(offsets) - 1)]
-    if not index.ids:
-        return out
-    words, doc = hashed_words(data, offsets)
-    begin, end, owner = index.windows(doc)
-    for d, n in zip(*np.unique(owner, return_counts=True)):
-        out[d] = (int(n), {})
-    for w, item in zip(*index.candidates(words, begin, end)):
-        share = index.overlap(words[begin[w] : end[w]], item)
-        if share >= overlap:
-            found = out[owner[w]][1]
-            found[index.ids[item]] = max(share, found.get(index.ids[item], 0.0))
-    return out
-
-
-def shards(items: DataFrame, shard_items: int, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None) -> Iterator[list[tuple]]:
-    """Items in parts of a bounded number; ranges of row numbers by hash, counted first."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(question_col).cast("string").alias("q"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("a")).where("i is not null")
-    n = max(1, -(-rows.count() // max(1, shard_items // 2)))
-    for k in range(n):
-        yield sorted(map(tuple, rows.where(F.pmod(F.xxhash64("i", "q"), F.lit(n)) == k).collect()), key=str)
-
-
-def contamination(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, **columns) -> DataFrame:
+    def close() -> None:
+        nonlocal longest, held, size
+        index = Index(sorted(held, key=str), overlap)
+        longest = max(longest, index.longest)
+        if len(index.ids):
+            uris.append(index.save(folder, f"shard-{len(uris)}"))
+        held, size = [], 0
+
+    for r in rows.toLocalIterator():
+        held.append(tuple(r))
+        size += len(r.q or "") + len(r.a or "")
+        if len(held) >= shard_items or size >= shard_bytes:
+            close()
+    if held:
+        close()
+    return Shards(uris, longest)
+
+
+def contamination(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, **settings) -> DataFrame:
     """(doc_id, n_passages, item_ids, best_overlap, contaminated) of every row."""
-    texts, parts = doc_columns(docs), []
-    for k, part in enumerate(shards(items, shard_items, **columns)):
-        parts.append(texts.mapInArrow(_scanner(Index(part), overlap), SCHEMA))
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        # Rows that repeat a doc_id become one row here, as shards are merged by it.
-        found = every.groupBy("doc_id").agg(F.max("n_passages").alias("n_passages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best_overlap").alias("best_overlap"))
-    return found.withColumn("contaminated", F.size("item_ids") > 0)
-
-
-def _scanner(index: Index, overlap: float):
+    shards = build(items, overlap, **settings)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2 << 20):
-            found = scan(index, *utf8(batch.column("text")), overlap)
+        held: dict[str, Index] = {}
+        for batch in slices(batches, _slice(shards)):
+            found = shards.scan(*utf8(batch.column("text")), held, overlap)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([sorted(x) for _, x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for _, x in found])],
+                [batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([sorted(x) for _, x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for _, x in found], pa.float64())],
                 ["doc_id", "n_passages", "item_ids", "best_overlap"],
             )
 
-    return run
+    return arrow_map(doc_columns(docs), run, SCHEMA).withColumn("contaminated", F.size("item_ids") > 0)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, text_col: str = "text", **columns) -> DataFrame:
-    """The rows in which no item is found, with all their columns."""
-    small_batches(docs.sparkSession)
-    for part in shards(items, shard_items, **columns):
-        docs = docs.mapInArrow(_filter(Index(part), overlap, docs.columns, text_col), docs.schema)
-    return docs
+def _slice(shards: Shards) -> int:
+    """Bytes of text that go through the shards together: more where shards have to be read again for each."""
+    return SLICE if len(shards.uris) <= HELD else 8 * SLICE
 
 
-def _filter(index: Index, overlap: float, names: list[str], text_col: str):
+def keep_clean(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP, text_col: str = "text", **settings) -> DataFrame:
+    """The rows in which no item is found, with all their columns."""
+    small_batches(docs.sparkSession)
+    shards = build(items, overlap, **settings)
+    names = docs.columns
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Index] = {}
         for batch in batches:
-            for part in slices(iter([batch.rename_columns([f"c{k}" for k in range(len(names))])]), 2 << 20, f"c{place}"):
-                found = scan(index, *utf8(part.column(place)), overlap)
+            for part in slices(iter([batch.rename_columns([f"c{k}" for k in range(len(names))])]), _slice(shards), f"c{place}"):
+                found = shards.scan(*utf8(part.column(place)), held, overlap)
                 yield part.filter(pa.array([not x for _, x in found], pa.bool_())).rename_columns(names)
 
-    return run
+    return arrow_map(docs, run, docs.schema)

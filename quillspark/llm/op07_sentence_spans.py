@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_columns, finish, materialize, slices, utf8
-from quillspark.llm.words import LOWER, byte_mask, powers, prefix_sums, span_hashes, spans
+from quillspark.llm.common import arrow_map, doc_columns, finish, materialize, slices, utf8
+from quillspark.llm.words import LOWER, byte_mask, powers, spans, word_hashes
 
 BLANK = byte_mask([0x20, *range(9, 14)])
 STOP, CLOSING = byte_mask(b".!?"), byte_mask(b"\"')]}")
@@ -72,11 +72,11 @@ def span_rows(data: np.ndarray, offsets: np.ndarray, min_sentences: int = MIN_SE
         at, to = np.append(at, start[new]), np.append(to, edge[new])
     a, b = bounds[at], bounds[to]
     low = LOWER[data]
-    power, inverse = powers(1 << max(12, int(len(starts)).bit_length()))
+    power, inverse = powers(len(starts))
     out = []
     for seed in (71, 72):
-        word = span_hashes(prefix_sums(low, seed), starts, stops)
-        total = np.append(np.uint64(0), np.cumsum(word * power[: len(word)], dtype=np.uint64))
+        word = word_hashes(low, starts, stops, seed)
+        total = np.append(np.uint64(0), np.cumsum(word * power, dtype=np.uint64))
         out.append(finish((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64)))
     return out[0], out[1], owner[at], at - before[owner[at]], to - at
 
@@ -87,7 +87,7 @@ def spans_of(docs: DataFrame, min_sentences: int, min_words: int, ends: bool = F
             a, b, owner, begin, n = span_rows(*utf8(batch.column("text")), min_sentences, min_words, ends)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(begin.astype(np.int32)), pa.array(n.astype(np.int32))], ["a", "b", "doc_id", "begin", "n"])
 
-    return docs.mapInArrow(run, SPANS)
+    return arrow_map(docs, run, SPANS)
 
 
 def removed_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
@@ -127,7 +127,7 @@ def deduplicate(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
                 kept.append(body[offsets[d] : cuts[0]] + b"".join(body[cuts[k] : cuts[k + 1]] for k in np.flatnonzero(~gone)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_sentences, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())], ["doc_id", "n_sentences", "n_removed", "kept_text"])
 
-    return docs.join(ranges, "doc_id", "left").mapInArrow(rebuild, SCHEMA)
+    return arrow_map(docs.join(ranges, "doc_id", "left"), rebuild, SCHEMA)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ long text is held by one task.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,44 +31,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import byte_table, doc_columns, finish, materialize, slices, utf8
+from quillspark.llm.common import arrow_map, doc_columns, finish, materialize, slices, utf8
 from quillspark.llm.components import components
+from quillspark.llm.words import LOWER, byte_mask, spans, word_hashes
 
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 #: Rounds of pivots before the exact join of what is left.
 ROUNDS = 2
-BASE = 0x9E3779B97F4A7C17
+WORD = ~byte_mask([0x20, *range(9, 14)])
 SIGNED = "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>"
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers 0..n-1, and its inverse's, modulo 2**64."""
-    def chain(x: int) -> np.ndarray:
-        out = np.full(n, x, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-    return chain(BASE), chain(pow(BASE, -1, 1 << 64))
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): each text's distinct shingle hashes, sorted."""
     n_docs = len(offsets) - 1
-    low = np.arange(256, dtype=np.uint8)
-    low[65:91] += 32
-    blank = np.zeros(256, bool)
-    blank[[0x20, *range(9, 14)]] = True
-    inside = ~blank[data]
-    # Words end at a text's end too.
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside[:-1]))) if len(data) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1 if len(data) else starts
-    power, inverse = _powers(1 << max(12, int(len(data)).bit_length()))
-    total = np.append(np.uint64(0), np.cumsum(byte_table(8)[low[data]] * power[: len(data)], dtype=np.uint64))
-    word = finish((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    starts, ends = spans(WORD[data], offsets)
+    word = word_hashes(LOWER[data], starts, ends, seed=8)
     doc = np.searchsorted(offsets, starts, "right") - 1
     count = np.bincount(doc, minlength=n_docs)
     factors = np.random.default_rng(88).integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,7 +124,7 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), lists], ["doc_id", "n_shingles", "class_a", "class_b", "bands"])
 
-    return docs.mapInArrow(run, SIGNED)
+    return arrow_map(docs, run, SIGNED)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -156,7 +134,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             raw, edges = h.tobytes(), (ends * 8).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["doc_id", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
+    return arrow_map(docs, run, "doc_id long, hashes binary")
 
 
 def _verify(percent: int):

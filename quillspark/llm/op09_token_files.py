@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import doc_columns, materialize, partitions, scratch, slices, utf8
+from quillspark.llm.common import arrow_map, doc_columns, materialize, partitions, scratch, slices, utf8
 from quillspark.llm.files import Reader, Writer
 from quillspark.llm.op10_bpe import TwoAges, load
 
@@ -235,9 +235,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
         docs.mapInArrow(encode, "shard int, doc_id long, n long, frame binary")
         .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "doc_id", "n", "frame")
-        .mapInArrow(save, "shard int, uri string, n_docs long, n_ids long, dictionary string")
     )
-    return materialize(manifest, "token-manifest")
+    return materialize(arrow_map(manifest, save, "shard int, uri string, n_docs long, n_ids long, dictionary string"), "token-manifest")
 
 
 class Shard:

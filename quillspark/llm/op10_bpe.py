@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import byte_table, doc_columns, slices, utf8
+from quillspark.llm.common import arrow_map, byte_table, doc_columns, slices, utf8
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_IDS = "doc_id long, ids binary"
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         for doc_id, ids, _ in _encoded(batches, vocabulary):
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return doc_columns(docs).mapInArrow(run, SCHEMA_IDS)
+    return arrow_map(doc_columns(docs), run, SCHEMA_IDS)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -315,4 +315,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
             back = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return doc_columns(docs).mapInArrow(run, SCHEMA)
+    return arrow_map(doc_columns(docs), run, SCHEMA)
