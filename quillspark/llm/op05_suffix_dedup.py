@@ -8,18 +8,22 @@ window of `length` bytes has an anchor: the 32-byte string in it with the smalle
 windows have equal anchors at equal places, so only windows with one anchor need a common suffix array. Neighbouring
 windows with the same anchor are a block. Steps:
 
-1. Anchors that occur once drop out. Whole blocks that occur twice (by a 128-bit digest) repeat in all their windows.
-2. Of the other blocks with a repeated anchor, and one copy of each repeated block beside them, the bytes are fetched.
-   Buckets of anchors become texts of bounded size; their suffixes are ranked by prefix doubling to `length` bytes, and
-   previous and next smaller positions in suffix order tell which windows have an earlier (or, from the other end, a
-   later) match of `length` bytes or more.
-3. Anchors with more different blocks than `HOT` are not gathered: each of their windows is hashed to 128 bits and counted
-   by a groupBy with partial aggregation. That is exact as well, and no task holds such a group.
-
-Ranges go back to their texts by one join. Defined cases: null text is the empty text and has nothing to remove; rows
-are told apart by doc_id and content; rows that repeat both are copies of each other, and with `keep="first"` all of
-them stay or go alike (they have one place); a null doc_id is a doc_id of its own before all others; empty tables give
-no rows; other columns are not read. One very long text is held by one task.
+1. Anchors that occur once drop out. Equal blocks become one with a weight, the number of its copies (by a digest of 64
+   bits beside the anchor's 64).
+2. The bytes of one copy of every block whose anchor repeats are fetched. Buckets of anchors become texts of bounded size;
+   their suffixes are ranked by prefix doubling to `length` bytes, and previous and next smaller positions in suffix order
+   tell which windows have an earlier (or, from the other end, a later) match of `length` bytes or more. A block of weight
+   two or more takes part with two positions. All copies of a block get what was found for it.
+3. Anchors with more different blocks than `DIFFERENT` don't fit one suffix array. Their blocks are cut by the place of the
+   anchor in the window into cells of CELLS[1] windows, later of one, and each cell gets a longer key: all bytes that its
+   windows share. Equal windows have equal keys, so cells go through steps 1 and 2 like blocks; a cell of one window has
+   a key of `length` bytes, under which nothing differs.
+
+Copies of a hot block, and blocks of a hot anchor, are joined in parts (`join_counted`). Ranges go back to their texts by
+one join. Defined cases: null text is the empty text and has nothing to remove; rows are told apart by doc_id and
+content; rows that repeat both are copies of each other, and with `keep="first"` all of them stay or go alike (they have
+one place); a null doc_id is a doc_id of its own before all others; empty tables give no rows; other columns are not
+read. One very long text is held by one task.
 """
 
 from __future__ import annotations
@@ -28,23 +32,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import byte_table, doc_columns, finish, materialize, partitions, slices, utf8
+from quillspark.llm.common import arrow_map, byte_table, doc_columns, finish, join_counted, materialize, partitions, slices, utf8
 from quillspark.llm.suffixes import has_earlier, prefix_ranks
-from quillspark.llm.words import prefix_sums, span_hashes
 
 LENGTH, GRAM = 200, 32
 #: Bits of a window key that hold the place; texts are worked in pieces of less than this.
 PLACE_BITS = 22
 PIECE = 1 << 21
 #: Different blocks of an anchor that one suffix array takes: about 1 MB of bytes.
-HOT = 4096
+DIFFERENT = 4096
+#: Windows of a cell by turn; the first turn takes whole blocks.
+CELLS = (None, 11, 1)
 BUCKET_BYTES = 1 << 20
-BLOCKS = "anchor long, digest long, doc_id long, row long, begin long, n int"
-RANGES = "doc_id long, row long, begin long, end long"
+#: `at`: how far behind the first window's begin the anchor lies.
+BLOCKS = "anchor long, digest long, doc_id long, row long, begin long, n int, at int"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -66,9 +72,9 @@ def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return h, (low - (least & low)).astype(np.int64)
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of the blocks of texts that lie one after the other."""
-    hashes, begins, sizes = [], [], []
+def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, windows, anchor's place behind the first window) of the blocks of texts that lie one after the other."""
+    hashes, begins, sizes, places = [], [], [], []
     for at in range(0, max(1, len(data) - length + 1), piece):
         part = data[at : at + piece + length - 1]
         if len(part) < length:
@@ -84,9 +90,10 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, piece: i
         hashes.append(h[anchor[new]])
         begins.append(start[new])
         sizes.append(np.diff(np.append(new, len(start))))
+        places.append(anchor[new] + at - start[new])
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(begins), np.concatenate(sizes)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
+    return tuple(map(np.concatenate, (hashes, begins, sizes, places)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -94,89 +101,123 @@ def _rows(docs: DataFrame) -> DataFrame:
     return doc_columns(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
+def _batch(anchor, body: bytes, begin, n, at, length: int, owner, offsets, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of BLOCKS; begin is a place in `body`, where all texts of the batch lie one after the other."""
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(body[a:b], 5) for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist())), np.uint64, len(begin))
+    of = pa.array(owner)
+    columns = [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), batch.column("doc_id").take(of), batch.column("row").take(of), pa.array(begin - offsets[owner]), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCKS.split(", ")])
+
+
 def _blocks(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512 << 10):
             data, offsets = utf8(batch.column("text"))
-            anchor, begin, n = blocks(data, offsets, length)
+            anchor, begin, n, at = blocks(data, offsets, length)
+            yield _batch(anchor, data.tobytes(), begin, n, at, length, np.searchsorted(offsets, begin, "right") - 1, offsets, batch)
+
+    return arrow_map(rows, run, BLOCKS)
+
+
+def cells(begin: np.ndarray, n: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(block, first window, windows, anchor's place, cell) of the cells of blocks; in a cell the anchor's place, divided by `width`, is one."""
+    low, high = (at - n + 1) // width, at // width
+    count = high - low + 1
+    block = np.repeat(np.arange(len(begin)), count)
+    cell = np.repeat(high, count) - (np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count))
+    # Places fall from window to window: the cell's first window has the largest.
+    first = np.minimum(at[block], (cell + 1) * width - 1)
+    last = np.maximum((at - n + 1)[block], cell * width)
+    return block, begin[block] + at[block] - first, first - last + 1, first, cell
+
+
+def _cells(rows: DataFrame, found: DataFrame, width: int, length: int) -> DataFrame:
+    """BLOCKS of the cells of blocks, under keys of all bytes that a cell's windows share."""
+    per_row = found.groupBy("doc_id", "row").agg(*(F.collect_list(c).alias(c) for c in ("begin", "n", "at")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512 << 10):
+            data, offsets = utf8(batch.column("text"))
             body = data.tobytes()
-            digest = np.fromiter((xxhash.xxh3_64_intdigest(body[a:b], 5) for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist())), np.uint64, len(begin))
-            owner = np.searchsorted(offsets, begin, "right") - 1
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(begin - offsets[owner]), pa.array(n.astype(np.int32))],
-                ["anchor", "digest", "doc_id", "row", "begin", "n"],
-            )
+            lists = [batch.column(c) for c in ("begin", "n", "at")]
+            begin, n, at = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists[0]).to_numpy())
+            block, first, size, place, cell = cells(begin + offsets[owner], n, at, width)
+            anchor = first + place
+            shared = anchor - cell * width, anchor + length - np.minimum((cell + 1) * width - 1, length - GRAM)
+            key = np.fromiter((xxhash.xxh3_64_intdigest(body[a:b], c) for a, b, c in zip(*(x.tolist() for x in (*shared, cell)))), np.uint64, len(cell))
+            yield _batch(key, body, first, size, place, length, owner[block], offsets, batch)
 
-    return rows.mapInArrow(run, BLOCKS)
+    return arrow_map(_with_text(rows, per_row, "begin", "n", "at"), run, BLOCKS)
+
+
+def _with_text(rows: DataFrame, per_row: DataFrame, *columns: str) -> DataFrame:
+    """Texts with what belongs to them; null doc_ids match too."""
+    key = rows.doc_id.eqNullSafe(per_row.doc_id) & (rows.row == per_row.row)
+    return rows.join(per_row, key).select(rows.doc_id, rows.row, "text", *(per_row[c] for c in columns))
 
 
 ORDER = ("doc_id", "row", "begin")
-FETCHED = "anchor long, second long, doc_id long, row long, begin long, n int, bytes binary"
+FETCHED = "anchor long, digest long, c long, doc_id long, row long, begin long, bytes binary"
+HITS = "anchor long, digest long, c long, begins array<int>, ends array<int>"
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted blocks; for hot anchors a row for each window, by two hashes, instead."""
-    per_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "begin", "n", "hot")).alias("blocks"))
+    """Bytes of the wanted blocks."""
+    per_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "digest", "c", "begin", "n")).alias("blocks"))
+    kinds = (pa.int64(),) * 6 + (pa.binary(),)
+    names = [x.split()[0] for x in FETCHED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, 512 << 10):
             data, offsets = utf8(batch.column("text"))
+            lists = batch.column("blocks")
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
+            flat = lists.flatten()
+            anchor, digest, c, begin, n = (flat.field(k) for k in range(5))
+            first = begin.to_numpy() + offsets[owner]
             body = data.tobytes()
-            cold, hot = [], []
-            for d, r, at, found in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), offsets.tolist(), batch.column("blocks").to_pylist()):
-                for b in found:
-                    if b["hot"]:
-                        hot.append((d, r, at, b["begin"], b["n"]))
-                    else:
-                        cold.append((b["anchor"], None, d, r, b["begin"], b["n"], body[at + b["begin"] : at + b["begin"] + b["n"] + length - 1]))
-            if hot:
-                starts = np.concatenate([np.arange(at + begin, at + begin + n) for _, _, at, begin, n in hot])
-                a, b = (span_hashes(prefix_sums(data, seed), starts, starts + length).view(np.int64) for seed in (51, 52))
-                size = [n for *_, n in hot]
-                who = np.repeat(np.arange(len(hot)), size)
-                base = np.array([at for _, _, at, _, _ in hot])[who]
-                yield _batch([a, b, [hot[k][0] for k in who], [hot[k][1] for k in who], starts - base, np.ones(len(a), np.int32), [None] * len(a)])
-            if cold:
-                yield _batch(list(zip(*cold)))
-
-    # Every column of every matched row is needed; null doc_ids match too.
-    key = rows.doc_id.eqNullSafe(per_row.doc_id) & (rows.row == per_row.row)
-    return rows.join(per_row, key).select(rows.doc_id, rows.row, "text", "blocks").mapInArrow(run, FETCHED)
-
+            bytes_of = pa.array([body[a:b] for a, b in zip(first.tolist(), (first + n.to_numpy() + length - 1).tolist())], pa.binary())
+            of = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip((anchor, digest, c, batch.column("doc_id").take(of), batch.column("row").take(of), begin, bytes_of), kinds)], names)
 
-def _batch(columns) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in FETCHED.split(", ")])
+    return arrow_map(_with_text(rows, per_row, "blocks"), run, FETCHED)
 
 
-def repeated_windows(texts: list[bytes], length: int, keep: str) -> list[np.ndarray]:
-    """For each text, which of its windows also occurs elsewhere among them (`none`) or earlier (`first`)."""
+def repeated_windows(texts: list[bytes], weights: list[int], length: int, keep: str) -> list[np.ndarray]:
+    """For each text, which of its windows also occurs elsewhere among them (`none`) or earlier (`first`); with `none` a
+    text of weight two or more is there twice."""
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes) - sizes
     n = np.maximum(sizes - length + 1, 0)
     place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
     rank = prefix_ranks(np.frombuffer(b"".join(texts), np.uint8), length)[place]
-    hit = has_earlier(rank, place)
-    if keep == "none":
-        hit |= has_earlier(rank, -place)
+    if keep == "first":
+        hit = has_earlier(rank, place)
+    else:
+        twice = np.flatnonzero(np.repeat(np.array(weights) > 1, n))
+        ranks, places = np.append(rank, rank[twice]), np.append(place, place[twice] + int(sizes.sum()))
+        hit = (has_earlier(ranks, places) | has_earlier(ranks, -places))[: len(rank)]
     return np.split(hit, np.cumsum(n)[:-1])
 
 
-def _cold(length: int, keep: str):
-    """Ranges of repeated windows from rows that are sorted by anchor and place."""
+def _suffixes(length: int, keep: str):
+    """HITS of blocks that come sorted by anchor and place; ranges count from the block's begin."""
+    kinds = (pa.int64(),) * 3 + (pa.list_(pa.int32()),) * 2
+    names = [x.split()[0] for x in HITS.split(", ")]
 
     def work(rows: list[dict]) -> pa.RecordBatch:
         out = []
-        for r, hit in zip(rows, repeated_windows([r["bytes"] for r in rows], length, keep), strict=True):
+        for r, hit in zip(rows, repeated_windows([r["bytes"] for r in rows], [r["c"] for r in rows], length, keep), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            out += [(r["doc_id"], r["row"], r["begin"] + a, r["begin"] + b + length - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([],) * 4)], ["doc_id", "row", "begin", "end"])
+            if len(edge) or r["c"] > 1:
+                out.append((r["anchor"], r["digest"], r["c"], edge[::2], edge[1::2] + length - 1))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([],) * 5, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, size, anchor = [], [], 0, None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in batch.select(["anchor", "digest", "c", "bytes"]).to_pylist():
                 if r["anchor"] != anchor:
                     held += group
                     if size > BUCKET_BYTES:
@@ -191,30 +232,45 @@ def _cold(length: int, keep: str):
     return run
 
 
+def _repeated(found: DataFrame) -> DataFrame:
+    """The blocks whose anchor occurs twice or more."""
+    counts = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    return materialize(join_counted(found, counts, ["anchor"], list(ORDER)).drop("c"), "blocks")
+
+
 def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
     """(doc_id, row, begin, end) of bytes to remove; ranges may overlap."""
     if keep not in ("none", "first") or length < 2 * GRAM:
         raise ValueError(f'keep is "none" or "first", length at least {2 * GRAM}')
-    rows = _rows(docs)
-    found = _blocks(rows, length)
-    twice = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    found = materialize(found.join(twice, "anchor"), "blocks")
-    copies = materialize(found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER, "n")).alias("first")), "copies")
-    # Anchors whose blocks differ, unless each block is repeated as a whole and no copy is to stay.
-    differ = copies.groupBy("anchor").agg(F.count("*").alias("different"), F.min("c").alias("least")).where("different > 1" + (" and least = 1" if keep == "none" else ""))
-    wanted = copies.join(differ, "anchor").select("anchor", "first.*", (F.col("different") > HOT).alias("hot"))
-    fetched = materialize(_fetch(rows, wanted, length), "fetched")
-    cold = fetched.where("bytes is not null").repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", *ORDER).mapInArrow(_cold(length, keep), RANGES)
-    hot = fetched.where("bytes is null").select(F.col("anchor").alias("a"), F.col("second").alias("b"), *ORDER)
-    seen = hot.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER)).alias("first")).where("c > 1")
-    hot = hot.join(seen, ["a", "b"])
-    whole = found.join(copies.where("c > 1").select("anchor", "digest", "first"), ["anchor", "digest"])
-    if keep == "first":
-        hot = hot.where(~F.struct(*ORDER).eqNullSafe(F.col("first")))
-        whole = whole.where(~F.struct(*ORDER).eqNullSafe(F.struct(*(F.col(f"first.{c}") for c in ORDER))))
-    hot = hot.select("doc_id", "row", "begin", (F.col("begin") + length).alias("end"))
-    whole = whole.select("doc_id", "row", "begin", (F.col("begin") + F.col("n") + (length - 1)).alias("end"))
-    return cold.unionByName(hot).unionByName(whole)
+    rows, ranges = _rows(docs), None
+    parts = partitions(docs.sparkSession)
+    for width in CELLS:
+        found = _repeated(_blocks(rows, length) if width is None else _cells(rows, found, width, length))
+        copies = materialize(found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER, "n")).alias("first")), "copies")
+        differ = materialize(copies.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("c").alias("every")), "anchors")
+        wide = differ.where(F.col("different") > DIFFERENT)
+        several = width != CELLS[-1] and not wide.isEmpty()
+        wanted = copies
+        if several:
+            wanted = join_counted(copies, differ, ["anchor"], ["digest"], "different").where(F.col("different") <= DIFFERENT)
+        fetched = _fetch(rows, wanted.select("anchor", "digest", "c", "first.*"), length)
+        hits = arrow_map(fetched.repartition(parts, "anchor").sortWithinPartitions("anchor", *ORDER), _suffixes(length, keep), HITS)
+        hits = materialize(hits, "hits")
+        if keep == "first":
+            hits = hits.join(copies.where("c > 1").select("anchor", "digest", "first"), ["anchor", "digest"], "left")
+        taken = join_counted(found, hits, ["anchor", "digest"], list(ORDER))
+        begins, ends = F.col("begins"), F.col("ends")
+        if keep == "first":
+            other = F.col("first").isNotNull() & ~F.struct(*ORDER).eqNullSafe(F.struct(*(F.col(f"first.{c}") for c in ORDER)))
+            begins = F.when(other, F.array(F.lit(0))).otherwise(begins)
+            ends = F.when(other, F.array(F.col("n") + (length - 1))).otherwise(ends)
+        taken = taken.select("doc_id", "row", "begin", F.explode(F.arrays_zip(begins.alias("b"), ends.alias("e"))).alias("r"))
+        taken = taken.select("doc_id", "row", (F.col("begin") + F.col("r.b")).alias("begin"), (F.col("begin") + F.col("r.e")).alias("end"))
+        ranges = taken if ranges is None else ranges.unionByName(taken)
+        if not several:
+            break
+        found = join_counted(found, wide.withColumnRenamed("every", "c"), ["anchor"], list(ORDER)).drop("different", "c")
+    return ranges
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
@@ -243,7 +299,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(),) * 4 + (pa.binary(),))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     key = rows.doc_id.eqNullSafe(ranges.doc_id) & (rows.row == ranges.row)
-    return rows.join(ranges, key, "left").select(rows.doc_id, "text", "begins", "ends").mapInArrow(run, SCHEMA)
+    return arrow_map(rows.join(ranges, key, "left").select(rows.doc_id, "text", "begins", "ends"), run, SCHEMA)
 
 
 def digests(found: DataFrame) -> DataFrame:

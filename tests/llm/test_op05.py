@@ -64,7 +64,7 @@ def corpus(seed):
 @pytest.mark.parametrize("hot", [256, 3])
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_same_as_brute_force(spark, monkeypatch, keep, hot):
-    monkeypatch.setattr(D, "HOT", hot)
+    monkeypatch.setattr(D, "DIFFERENT", hot)
     monkeypatch.setattr(D, "BUCKET_BYTES", 5000)
     rows = corpus(hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as row", "1 as begin").repartition(6)
@@ -77,10 +77,29 @@ def test_pieces_and_repeats(spark):
     data = r.integers(97, 100, 6000).astype(np.uint8)
     data[4000:4500] = data[100:600]
     offsets = np.array([0, 0, 1500, 1600, 6000])
-    h, begin, n = D.blocks(data, offsets)
-    h2, begin2, n2 = D.blocks(data, offsets, piece=333)
+    h, begin, n, at = D.blocks(data, offsets)
+    h2, begin2, n2, at2 = D.blocks(data, offsets, piece=333)
     flat = lambda h, b, n: {int(x) + k: int(y) for y, x, m in zip(h, b, n) for k in range(m)}
     assert flat(h, begin, n) == flat(h2, begin2, n2) and len(flat(h, begin, n)) == 1301 + 4201
+    # Cells of any width hold each window once, and the anchor's place falls by one from window to window.
+    for width in (11, 1, 500):
+        block, first, size, place, cell = D.cells(begin, n, at, width)
+        assert sorted((int(b), int(f) + k, int(p) - k) for b, f, m, p in zip(block, first, size, place) for k in range(m)) == sorted((b, int(f) + k, int(p) - k) for b, (f, m, p) in enumerate(zip(begin, n, at)) for k in range(m))
+        assert ((place // width == cell) & ((place - size + 1) // width == cell)).all()
     docs = spark.createDataFrame([(1, "q" * 50 + "w" * 300), (1, "q" * 50 + "w" * 300), (None, "a")], "doc_id long, text string")
     assert sorted(map(tuple, D.deduplicate(docs).select("doc_id", "n_removed").collect()), key=str) == [(1, 350), (1, 350), (None, 0)]
     assert D.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_text_above_a_megabyte_and_hot_groups(spark, monkeypatch):
+    """A long text shares a passage with itself; a third of the rows are one text, and many more hold one passage."""
+    monkeypatch.setattr("quillspark.llm.common.HOT_ROWS", 5)
+    monkeypatch.setattr(D, "DIFFERENT", 16)
+    r = random.Random(8)
+    prose = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, copy = prose(260), prose(900)
+    rows = [(0, prose(530_000) + passage + prose(530_000) + passage)] + [(k, copy) for k in range(1, 40)] + [(k, prose(r.randrange(50)) + passage + prose(r.randrange(50))) for k in range(40, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len(rows[0][1]) > 1 << 20
+    for keep in ("none", "first"):
+        assert sorted(map(tuple, D.digests(D.deduplicate(docs, keep=keep)).collect()), key=str) == brute(rows, 200, keep)
