@@ -7,7 +7,8 @@ texts meet by hash; the span with the smallest (doc_id, sentence) is the first,
 that hash covers is removed, whether in another text or further down the same one.
 
 The hash table keeps, in this order, only 64-bit hashes that occur twice, then their spans; both steps are groupBys
-with partial aggregation and equi-joins, so a span that a third of all texts share is never gathered in one task.
+with partial aggregation, whose result is joined to the spans in parts where a hash is hot (`join_counted`), so a span
+that a third of all texts share is never gathered in one task.
 
 A sentence ends after a word that ends in `.`, `!` or `?` (closing quotes or brackets may follow), and at a line's end;
 words are what white space separates; spans compare by their words after lower-casing A-Z. A text without room for a
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, doc_columns, finish, materialize, slices, utf8
+from quillspark.llm.common import arrow_map, doc_columns, finish, join_counted, materialize, slices, utf8
 from quillspark.llm.words import LOWER, byte_mask, powers, spans, word_hashes
 
 BLANK = byte_mask([0x20, *range(9, 14)])
@@ -93,10 +94,12 @@ def spans_of(docs: DataFrame, min_sentences: int, min_words: int, ends: bool = F
 def removed_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
     """(doc_id, begin, n): spans that are not the first of their hash; sentence numbers within the text, from 0."""
     rows = materialize(spans_of(docs.where("doc_id is not null"), min_sentences, min_words, ends), "spans")
-    twice = rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    repeated = materialize(rows.join(twice, "a"), "repeated")
-    firsts = repeated.groupBy("a", "b").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"))
-    return repeated.join(firsts, ["a", "b"]).where((F.col("doc_id") != F.col("first_doc")) | (F.col("begin") != F.col("first_begin"))).select("doc_id", "begin", "n")
+    order = ["doc_id", "begin"]
+    twice = materialize(rows.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "hashes")
+    repeated = materialize(join_counted(rows, twice, ["a"], order).drop("c"), "repeated")
+    firsts = repeated.groupBy("a", "b").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("c")).where("c > 1")
+    firsts = materialize(firsts.select("a", "b", "c", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin")), "firsts")
+    return join_counted(repeated, firsts, ["a", "b"], order).where((F.col("doc_id") != F.col("first_doc")) | (F.col("begin") != F.col("first_begin"))).select("doc_id", "begin", "n")
 
 
 def deduplicate(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, ends: bool = False) -> DataFrame:
