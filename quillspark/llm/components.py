@@ -62,9 +62,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return joined.where("root > m").select(F.col("root").alias("node"), F.col("m").alias("root")).unionByName(least.withColumnRenamed("m", "root")).distinct()
 
 
-def components(links: DataFrame, turns: int = 100) -> DataFrame:
-    """(node, root) of every node that hangs on a smaller one; `links` has two columns of node ids. Fewer turns may leave
-    components in several parts, but never join what isn't linked."""
+def components(links: DataFrame, turns: int = 100, whole: bool = True) -> DataFrame:
+    """(node, root) of every node that hangs on a smaller one; `links` has two columns of node ids.
+
+    The number of turns grows with the logarithm of the longest path; with `whole` an error is raised where `turns` don't
+    do. Without, components may be left in several parts, but what isn't linked is never joined.
+    """
     a, b = links.columns
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
     edges = materialize(arrow_map(edges, _contract, SCHEMA).distinct(), "links")
@@ -73,5 +76,7 @@ def components(links: DataFrame, turns: int = 100) -> DataFrame:
         edges = materialize(_star(_star(edges, True), False), "stars")
         before, state = state, _sum(edges)
         if state == before:
-            break
+            return edges
+    if whole:
+        raise RuntimeError(f"components are not whole after {turns} turns")
     return edges

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, doc_columns, finish, materialize, slices, utf8
+from quillspark.llm.common import arrow_map, doc_columns, finish, join_counted, materialize, slices, utf8
 from quillspark.llm.components import components
 from quillspark.llm.words import LOWER, byte_mask, spans, word_hashes
 
@@ -156,7 +156,7 @@ def _open(members: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """(key, rep, n, root, size) of the keys whose classes are in two components or more."""
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     several = placed.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low != high").select(key, "size")
-    return placed.join(several, key)
+    return join_counted(placed, materialize(several, "several"), [key], ["rep"], "size")
 
 
 def _sizes_fit(n, m, percent: int):
@@ -166,9 +166,10 @@ def _sizes_fit(n, m, percent: int):
 def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each bucket's classes with its pivot, the class that shares most bands with others."""
     degree = members.groupBy("rep").agg(F.sum("size").alias("degree"))
-    pivots = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("p"))
-    pivots = pivots.select("key", (-F.col("p.least")).alias("pivot"), F.col("p.m").alias("m"), F.col("p.to").alias("to"))
-    return pivots.join(members, "key").where((F.col("root") != F.col("to")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    pivots = members.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("least"), F.col("n").alias("m"), F.col("root").alias("to"))).alias("p"), F.first("size").alias("size"))
+    pivots = materialize(pivots.select("key", "size", (-F.col("p.least")).alias("pivot"), F.col("p.m").alias("m"), F.col("p.to").alias("to")), "pivots")
+    met = join_counted(members.drop("size"), pivots, ["key"], ["rep"], "size")
+    return met.where((F.col("root") != F.col("to")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -185,7 +186,7 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc_id))], ["token", "rep"])
 
     tokens = materialize(sets.join(active, "doc_id", "left_semi").mapInArrow(unpack, "token long, rep long"), "tokens")
-    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")), "token")
+    counted = join_counted(tokens, materialize(tokens.groupBy("token").agg(F.count("*").alias("c")), "token-counts"), ["token"], ["rep"])
     # One text's shingles are gathered, no more.
     own = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("all")).withColumn("n", F.size("all").cast("long"))
     first = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).cast("int"))
@@ -208,8 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     taking = signed.where("doc_id is not null and n_shingles > 0")
     classes = taking.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(rows.join(shared, "key"), "members")
+    shared = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    members = materialize(join_counted(rows, shared, ["key"], ["rep"]).drop("c"), "members")
     sets = materialize(_sets(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), "sets")
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -225,7 +226,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = links.unionByName(materialize(found, "found"))
         tested = tested.unionByName(pairs)
         if turn < ROUNDS:
-            roots = components(links, turns=2)
+            roots = components(links, turns=2, whole=False)
         members = members.select("key", "rep", "n")
     final = components(links.unionByName(copies))
     # Few nodes hang on another; both sides of this join are one row per doc_id or more.
