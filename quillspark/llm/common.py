@@ -104,6 +104,15 @@ def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by
     return rows.join(per_key, [*keys, "__part"]).drop("__part")
 
 
+def reads_files(df: DataFrame) -> bool:
+    """Whether the rows come straight from files: no shuffle, join or local rows below projections and filters."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    name = plan.getClass().getSimpleName()
+    return name == "LogicalRelation" and "HadoopFsRelation" in plan.relation().getClass().getSimpleName() or name == "DataSourceV2ScanRelation" and bool(df.inputFiles())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

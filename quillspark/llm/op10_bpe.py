@@ -1,12 +1,23 @@
 """Operator 10: byte-level BPE with reuse of content-defined chunks.
 
 A rolling hash over the last 16 bytes cuts a text into chunks, so equal passages of different documents give equal
-chunks, whatever precedes them. Each worker encodes a chunk once and keeps, per chunk, the bytes before its first
-safe cut, the ids between its first and last safe cut, and the bytes after the last one. Chunk joins are repaired by
-re-encoding everything from the last safe cut before a join to the first one after it; where a chunk has no safe cut
-the repair region grows over it. A safe cut lies before a space that follows a character which isn't white space. No
-rule of the pre-tokenizer reaches over such a place and none looks back, so both sides agree exactly with the
-encoding of the whole text.
+chunks, whatever precedes them. Every chunk that occurs twice or more is encoded once in the whole table:
+
+1. each task writes the 128-bit digests of its chunks with the input split they come from, its cell;
+2. digests are counted; a chunk that repeats is encoded in the smallest of its cells;
+3. the ids go to all cells that hold the chunk: a folder for each cell, which is never larger than the cell's texts;
+4. the texts are read again and put together, from their cell's chunks and from chunks that occur once.
+
+Only digests and ids of repeated chunks move, never texts. A cell is a file and the place where a split of it begins;
+a table that doesn't come straight from files is written first. Should Spark split the files otherwise the next time, the
+folders don't fit and chunks are encoded anew: the result is the same.
+
+Of a chunk, the ids between its first and its last safe cut are reused. Joins are repaired by re-encoding everything from
+the last safe cut before a join to the first one after it, together with one more piece on either side: the library's
+ids must begin and end with the ids of these pieces. Where they don't, the region takes in its neighbours, twice as many
+each time, until both agree or it is the whole text. A safe cut lies before a space that follows a character which isn't
+white space. No rule of the pre-tokenizer reaches over such a place and none looks back. That holds for byte-level BPE as
+`exact` tests it; with any other tokenizer whole texts go to the library.
 
 Defined cases: null text is the empty text, which has no ids; a null doc_id stays null; repeated rows give repeated
 rows; an empty table gives an empty result; other columns are not read. One very long text is held by one task.
@@ -15,15 +26,20 @@ rows; an empty table gives an empty result; other columns are not read. One very
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, byte_table, doc_columns, slices, utf8
+from quillspark.llm.common import arrow_map, byte_table, doc_columns, join_counted, materialize, partitions, reads_files, scratch, slices, utf8
+from quillspark.llm.files import store
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_IDS = "doc_id long, ids binary"
@@ -180,13 +196,61 @@ class PieceEncoder:
             young[p] = b"".join([young[q] for q in parts])
 
 
+class Known:
+    """Ids of the chunks of a cell, by digest: sorted arrays, so that a chunk takes little more than its ids."""
+
+    def __init__(self, digests: np.ndarray, ids: list[bytes]):
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        self.digests = digests[order]
+        self.body = b"".join(ids[k] for k in order.tolist())
+        self.ends = np.concatenate([[0], np.cumsum([len(ids[k]) for k in order.tolist()])]).astype(np.int64)
+
+    @classmethod
+    def none(cls) -> Known:
+        return cls(np.zeros((0, 2), np.int64), [])
+
+    def places(self, digests: np.ndarray) -> np.ndarray:
+        """Where each digest is; -1: nowhere."""
+        if not len(self.digests) or not len(digests):
+            return np.full(len(digests), -1)
+        at = np.minimum(np.searchsorted(self.digests[:, 0], digests[:, 0]), len(self.digests) - 1)
+        return np.where((self.digests[at] == digests).all(1), at, -1)
+
+    def ids(self, place: int) -> bytes:
+        return self.body[self.ends[place] : self.ends[place + 1]]
+
+
+class Chunks:
+    """The chunks of texts that lie one after the other, with their safe cuts."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray, safe: np.ndarray):
+        self.body = data.tobytes()
+        self.safe = safe
+        self.bounds = np.unique(np.concatenate([cuts, offsets]))
+        self.first = np.searchsorted(safe, self.bounds[:-1], "right")
+        self.last = np.searchsorted(safe, self.bounds[1:], "left") - 1
+        #: Chunks with two safe cuts or more, between which ids are reused.
+        self.usable = np.flatnonzero(self.last > self.first)
+        self.chunk_of = np.searchsorted(self.bounds, offsets)
+
+    def digests(self) -> np.ndarray:
+        """128 bits of each usable chunk."""
+        ends = zip(self.bounds[self.usable].tolist(), self.bounds[self.usable + 1].tolist())
+        return np.frombuffer(b"".join(xxhash.xxh3_128_digest(self.body[a:b]) for a, b in ends), np.int64).reshape(-1, 2)
+
+    def middle(self, k: int) -> bytes:
+        return self.body[self.safe[self.first[k]] : self.safe[self.last[k]]]
+
+
 class ChunkEncoder:
-    """Whole texts through a cache of content-defined chunks; see the module."""
+    """Whole texts by content-defined chunks; see the module."""
 
-    def __init__(self, tokenizer, mask_bits: int = 8, cached_chunks: int = 15_000):
+    def __init__(self, tokenizer, mask_bits: int = 8, cached_joins: int = 15_000):
         self.coder, self.mask_bits = PieceEncoder(tokenizer), mask_bits
-        self.chunks, self.joins = TwoAges(cached_chunks), TwoAges(cached_chunks)
+        self.joins = TwoAges(cached_joins)
         self.table = byte_table(10).astype(np.uint32)
+        #: Joins whose first repair did not agree.
+        self.widened = 0
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Positions where a chunk may begin: the hash of the 16 bytes before fits the mask, and a character begins."""
@@ -209,68 +273,96 @@ class ChunkEncoder:
         plain = (before > 0x20) & (before < 0x7F)
         return p[plain | ((before >= 0x80) & (second >= 0xC3) & (second <= 0xDF))]
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> Chunks:
+        return Chunks(data, offsets, self.cuts(data), self.safe(data))
+
+    def middles(self, chunks: Chunks, wanted: np.ndarray) -> dict[int, bytes]:
+        """Ids between the safe cuts of chunks by number; equal ones are encoded once."""
+        bytes_of = {k: chunks.middle(k) for k in wanted.tolist()}
+        distinct = list(set(bytes_of.values()))
+        coded = dict(zip(distinct, self.coder.many(distinct), strict=True))
+        return {k: coded[x] for k, x in bytes_of.items()}
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, known: Known | None = None) -> list[bytes]:
         """Ids of every text of a batch, as little-endian unsigned 32-bit integers."""
-        body = data.tobytes()
-        bounds = np.unique(np.concatenate([self.cuts(data), offsets]))
-        safe = self.safe(data)
-        first = np.searchsorted(safe, bounds[:-1], "right")
-        last = np.searchsorted(safe, bounds[1:], "left") - 1
-        chunk_of = np.searchsorted(bounds, offsets)
-        got: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
-        todo: dict[bytes, tuple[int, int]] = {}
-        keys = []
-        edges = bounds.tolist()
-        for k in range(len(edges) - 1):
-            key = body[edges[k] : edges[k + 1]]
-            keys.append(key)
-            if key in got:
+        chunks = self.chunks(data, offsets)
+        known = known or Known.none()
+        at = known.places(chunks.digests()) if len(known.digests) else np.full(len(chunks.usable), -1)
+        ids = self.middles(chunks, chunks.usable[at < 0])
+        ids.update((k, known.ids(p)) for k, p in zip(chunks.usable.tolist(), at.tolist()) if p >= 0)
+        # Regions between the reused middles, of all texts: (begin, end, cut before, cut after), all of them safe or a text's edge.
+        middles = chunks.usable
+        text = np.searchsorted(offsets, chunks.bounds[middles], "right") - 1
+        begins, ends = chunks.safe[chunks.first[middles]], chunks.safe[chunks.last[middles]]
+        documents, regions = [], []
+        edges = np.searchsorted(text, np.arange(len(offsets))).tolist()
+        starts, stops, names = begins.tolist(), ends.tolist(), middles.tolist()
+        before = chunks.safe[np.maximum(chunks.last[middles] - 1, 0)].tolist()
+        after = chunks.safe[np.minimum(chunks.first[middles] + 1, max(len(chunks.safe) - 1, 0))].tolist() if len(middles) else []
+        for d, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            own = range(edges[d], edges[d + 1])
+            mine, at_, left = [], low, low
+            for m in own:
+                mine.append((at_, starts[m], left, after[m]))
+                at_, left = stops[m], before[m]
+            mine.append((at_, high, left, high))
+            documents.append(own)
+            regions.append(mine)
+        coded = self._repair(chunks.body, [r for mine in regions for r in mine])
+        out, at_ = [], 0
+        for d, (own, mine) in enumerate(zip(documents, regions)):
+            joins = coded[at_ : at_ + len(mine)]
+            at_ += len(mine)
+            if any(j is None for j in joins):
+                out.append(self._widen(chunks, int(offsets[d]), int(offsets[d + 1])))
                 continue
-            if (entry := self.chunks.get(key)) is not None:
-                got[key] = entry
-            elif last[k] >= first[k]:
-                todo[key] = (int(safe[first[k]]) - edges[k], int(safe[last[k]]) - edges[k])
-                got[key] = ()
-            else:
-                got[key] = None
-        for (key, (a, b)), ids in zip(todo.items(), self.coder.many([key[a:b] for key, (a, b) in todo.items()]), strict=True):
-            got[key] = (key[:a], ids, key[b:])
-            if len(key) <= 4096:
-                self.chunks.put(key, got[key])
-        # Each document as alternating parts: repaired joins (by their bytes) and ids of chunk middles.
-        documents, repair = [], {}
-        for d in range(len(offsets) - 1):
-            parts, pending = [], []
-            for k in range(chunk_of[d], chunk_of[d + 1]):
-                entry = got[keys[k]]
-                if entry is None:
-                    pending.append(keys[k])
-                    continue
-                head, ids, tail = entry
-                pending.append(head)
-                join = b"".join(pending)
-                repair[join] = None
-                parts.append(join)
-                parts.append(ids)
-                pending = [tail]
-            join = b"".join(pending)
-            repair[join] = None
-            parts.append(join)
-            documents.append(parts)
-        coded: dict[bytes, bytes] = {}
+            parts = [b""] * (2 * len(own) + 1)
+            parts[::2] = joins
+            parts[1::2] = [ids[names[m]] for m in own]
+            out.append(b"".join(parts))
+        return out
+
+    def _repair(self, body: bytes, regions: list[tuple[int, int, int, int]]) -> list[bytes | None]:
+        """Ids of each region; None where the ids with one more piece on either side don't agree."""
+        keys = [(body[left:begin], body[begin:end], body[end:right]) for begin, end, left, right in regions]
+        coded: dict[tuple, bytes | None] = {}
         unknown = []
-        for join in repair:
-            if (ids := self.joins.get(join)) is None:
-                unknown.append(join)
+        for key in set(keys):
+            ids = self.joins.get(key)
+            if ids is None:
+                unknown.append(key)
             else:
-                coded[join] = ids
-        for join, ids in zip(unknown, self.coder.many(unknown), strict=True):
-            coded[join] = ids
-            if len(join) <= 256:
-                self.joins.put(join, ids)
-        for parts in documents:
-            parts[::2] = [coded[j] for j in parts[::2]]
-        return [b"".join(parts) for parts in documents]
+                coded[key] = ids
+        pieces = list({p for key in unknown for p in key})
+        ids_of = dict(zip(pieces, self.coder.many(pieces), strict=True))
+        for key, wide in zip(unknown, self.coder.library([b"".join(key) for key in unknown]), strict=True):
+            left, own, right = (ids_of[p] for p in key)
+            agrees = wide == left + own + right
+            coded[key] = own if agrees else None
+            if agrees and sum(map(len, key)) <= 256:
+                self.joins.put(key, own)
+        return [coded[key] for key in keys]
+
+    def _widen(self, chunks: Chunks, low: int, high: int) -> bytes:
+        """Ids of one text whose repairs did not all agree: regions take in their neighbours until they do."""
+        self.widened += 1
+        safe = chunks.safe[(chunks.safe > low) & (chunks.safe < high)]
+        edges = np.concatenate([[low], safe, [high]])
+        pieces = [chunks.body[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        alone = self.coder.library(pieces)
+        out, at = [], 0
+        while at < len(pieces):
+            size = 1
+            while True:
+                # Pieces at..stop as one region, and with as many behind it: both must agree on what the region gives.
+                stop, more = min(at + size, len(pieces)), min(at + 2 * size, len(pieces))
+                wide = self.coder.library([b"".join(pieces[at:stop]), b"".join(pieces[at:more]), b"".join(pieces[stop:more])])
+                if stop == len(pieces) or wide[1] == wide[0] + wide[2] and wide[1].startswith(alone[at]):
+                    break
+                size *= 2
+            out.append(wide[0])
+            at = stop
+        return b"".join(out)
 
 
 class Decoder:
@@ -289,30 +381,133 @@ class Decoder:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[bytes], Decoder]]:
-    # One pair per task: idle workers would hold their caches while other stages run.
-    tokenizer = load(path)
-    encoder, decoder = ChunkEncoder(tokenizer), Decoder(tokenizer)
-    for batch in slices(batches, 1 << 20):
-        yield batch.column("doc_id"), encoder.encode(*utf8(batch.column("text"))), decoder
+def exact(path: str) -> bool:
+    """Whether the safe cuts hold for a tokenizer file: byte-level BPE with the usual pattern, nothing before it, and no added
+    token that reaches over a space."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = told.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    same = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    fine = all(not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) and not re.search(r"\s", t["content"]) for t in told.get("added_tokens", ()))
+    return bool(plain and same and fine)
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row per input row."""
+class WholeEncoder:
+    """Whole texts through the library, for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, known: Known | None = None) -> list[bytes]:
+        body, ends = data.tobytes(), offsets.tolist()
+        return [np.array(c.ids, np.uint32).tobytes() for c in self.tokenizer.encode_batch_fast([body[a:b].decode() for a, b in zip(ends[:-1], ends[1:])], add_special_tokens=False)]
+
+
+def _cells(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, cell): the cell is the split of a file that a row is read from."""
+    docs = doc_columns(docs)
+    if not reads_files(docs):
+        docs = materialize(docs, "texts")
+    return docs.withColumn("cell", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(cell, rows of that cell); rows of a split come together."""
+    for batch in slices(batches, limit):
+        cell = batch.column("cell").to_numpy()
+        edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])).tolist() + [len(cell)]
+        for a, b in zip(edges, edges[1:]):
+            yield int(cell[a]), batch.slice(a, b - a)
+
+
+def _read_cell(folder: str, cell: int, *columns: str) -> list[pa.ChunkedArray]:
+    """Columns of what `_write_cells` wrote for a cell; empty where there is nothing."""
+    system, path = store(f"{folder}/cell={cell}")
+    if not system.get_file_info(path).is_file and system.get_file_info(path).type.name == "NotFound":
+        return [pa.chunked_array([[]], pa.binary() if c == "ids" else pa.int64()) for c in columns]
+    got = ds.dataset(path, format="parquet", filesystem=system).to_table(columns=list(columns))
+    return [got.column(c) for c in columns]
+
+
+def _write_cells(rows: DataFrame, name: str) -> str:
+    """Writes a folder for each cell; a cell's rows never are more than its texts have chunks."""
+    folder = scratch(rows.sparkSession, name)
+    rows.repartition(partitions(rows.sparkSession), "cell").write.partitionBy("cell").parquet(folder)
+    return folder
+
+
+def _digests(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    return np.stack([a.to_numpy(), b.to_numpy()], 1).astype(np.int64, copy=False).reshape(-1, 2)
+
+
+def share_chunks(docs: DataFrame, vocabulary: str, mask_bits: int = 8) -> str | None:
+    """Encodes every chunk that occurs twice or more once; a folder with a cell's chunks and ids. None: no chunk repeats."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(load(vocabulary), mask_bits)
+        for cell, batch in _by_cell(batches, 4 << 20):
+            found, n = np.unique(encoder.chunks(*utf8(batch.column("text"))).digests(), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(np.full(len(found), cell)), pa.array(n.astype(np.int64))], ["a", "b", "cell", "n"])
+
+    every = materialize(arrow_map(docs, digests, "a long, b long, cell long, n long"), "chunks")
+    shared = every.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("cell").alias("first"), F.count("*").alias("c")).where("n > 1").drop("n")
+    shared = materialize(shared, "shared-chunks")
+    if shared.isEmpty():
+        return None
+    todo = _write_cells(shared.select("a", "b", F.col("first").alias("cell")), "chunks-to-encode")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, now, wanted, seen = ChunkEncoder(load(vocabulary), mask_bits), None, Known.none(), np.zeros(0, bool)
+        for cell, batch in _by_cell(batches):
+            if cell != now:
+                keys = _digests(*_read_cell(todo, cell, "a", "b"))
+                now, wanted, seen = cell, Known(keys, [b""] * len(keys)), np.zeros(len(keys), bool)
+            chunks = encoder.chunks(*utf8(batch.column("text")))
+            digests = chunks.digests()
+            places, first = np.unique(wanted.places(digests), return_index=True)
+            new = (places >= 0) & ~seen[places] if len(seen) else np.zeros(len(places), bool)
+            places, first = places[new], first[new]
+            seen[places] = True
+            ids = encoder.middles(chunks, chunks.usable[first])
+            yield pa.RecordBatch.from_arrays([pa.array(digests[first, 0].copy()), pa.array(digests[first, 1].copy()), pa.array([ids[k] for k in chunks.usable[first].tolist()], pa.binary())], ["a", "b", "ids"])
+
+    coded = arrow_map(docs, encode, "a long, b long, ids binary")
+    coded = materialize(coded.join(shared.drop("first"), ["a", "b"]), "coded-chunks")
+    return _write_cells(join_counted(every.select("a", "b", "cell"), coded, ["a", "b"], ["cell"]).select("cell", "a", "b", "ids"), "cell-chunks")
+
+
+def _coded(docs: DataFrame, vocabulary: str, make, schema: str) -> DataFrame:
+    """Rows that `make` gives of (doc_id, ids of each text, decoder)."""
+    whole = not exact(vocabulary)
+    docs = doc_columns(docs).withColumn("cell", F.lit(0).cast("long")) if whole else _cells(docs)
+    folder = None if whole else share_chunks(docs, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load(vocabulary)
+        encoder, decoder = WholeEncoder(tokenizer) if whole else ChunkEncoder(tokenizer), Decoder(tokenizer)
+        now, known = None, Known.none()
+        for cell, batch in _by_cell(batches):
+            if folder and cell != now:
+                a, b, ids = _read_cell(folder, cell, "a", "b", "ids")
+                now, known = cell, Known(_digests(a, b), ids.to_pylist())
+            yield make(batch.column("doc_id"), encoder.encode(*utf8(batch.column("text")), known), decoder)
+
+    return arrow_map(docs, run, schema)
 
-    def run(batches):
-        for doc_id, ids, _ in _encoded(batches, vocabulary):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return arrow_map(doc_columns(docs), run, SCHEMA_IDS)
+def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, one row per input row."""
+    return _coded(docs, vocabulary, lambda doc_id, ids, _: pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], ["doc_id", "ids"]), SCHEMA_IDS)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Encodes and decodes every text; digests of the ids and of the decoded text."""
+    """Encodes and decodes every text; digests of the ids and of the decoded text. Decoding is the byte-level decoder's."""
+    if not exact(vocabulary):
+        raise ValueError(f"{vocabulary} is no byte-level BPE, whose decoder is known here; encode() takes it")
 
-    def run(batches):
-        for doc_id, ids, decoder in _encoded(batches, vocabulary):
-            back = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def digests(doc_id, ids, decoder):
+        back = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids]
+        return pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(doc_columns(docs), run, SCHEMA)
+    return _coded(docs, vocabulary, digests, SCHEMA)
