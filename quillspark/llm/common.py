@@ -161,6 +161,20 @@ def finish(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting takes less time than the hash table of np.unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def places(n: int, *parts: np.ndarray) -> np.ndarray:
+    """Sorted distinct places below n of all parts."""
+    mask = np.zeros(n, bool)
+    for p in parts:
+        mask[p] = True
+    return np.flatnonzero(mask)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 8 MB (one longer row stays whole), so workers hold little besides their own state."""
     now = str(spark.conf.get(BATCH_CONF))

@@ -38,17 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, byte_table, doc_columns, join_counted, materialize, partitions, reads_files, scratch, slices, utf8
+from quillspark.llm.common import arrow_map, byte_table, doc_columns, join_counted, materialize, partitions, places, reads_files, scratch, slices, utf8
 from quillspark.llm.files import store
+from quillspark.llm.words import byte_mask, word_hashes
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SCHEMA_IDS = "doc_id long, ids binary"
-#: A space after any of these begins no pre-token of its own: white space of one to three UTF-8 bytes.
-UNSAFE = re.compile(rb"[\x00-\x20\x7f] |\xc2[\x80-\xa0] |\xe1\x9a\x80 |\xe1\xa0\x8e |\xe2[\x80-\x81][\x80-\xbf] |\xe3\x80\x80 |\xef\xbb\xbf ")
-#: A letter before a comma, a full stop or a line's end, and a letter after a line's end: pre-tokens end there too.
-LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
-INNER = re.compile(rb"(?s)(.*" + LETTER + rb")([.,]?)(?:(\n)(" + LETTER + rb".*))?")
-WORD = re.compile(LETTER + rb"+")
+#: Letters of one byte, and of two bytes by their second byte after 0xC3.
+LETTER = byte_mask([*range(65, 91), *range(97, 123)])
+LATIN = byte_mask([*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
+PRINTED = byte_mask(range(0x21, 0x7F))
 WINDOW = 16
 
 
@@ -90,110 +89,111 @@ def load(path: str):
     return tokenizer
 
 
+def safe_cuts(data: np.ndarray) -> np.ndarray:
+    """Positions of safe cuts: a space after a printable ASCII character or a letter of two bytes."""
+    p = np.flatnonzero(data[1:] == 0x20) + 1
+    before, second = data[p - 1], data[np.maximum(p - 2, 0)]
+    return p[PRINTED[before] | ((before >= 0x80) & (second >= 0xC3) & (second <= 0xDF))]
+
+
+def take(pool: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parts of a pool, one after the other."""
+    ends = np.cumsum(size)
+    at = np.repeat(place - (ends - size), size)
+    at += np.arange(len(at))
+    return pool[at]
+
+
+class Words:
+    """Ids of pieces by two 64-bit hashes: sorted arrays of bounded length, so a piece takes some tens of bytes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.turn = limit, 0
+        self.key, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.end = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, key: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where pieces are; -1: nowhere."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        at = np.where((self.key[at] == key) & (self.second[at] == second), at, -1)
+        self.used[at[at >= 0]] = self.turn
+        return at
+
+    def add(self, key: np.ndarray, second: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Adds pieces that are not there, in order of key."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        new = np.concatenate([np.zeros(0, np.uint32), *ids])
+        while self.end + len(new) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
+        self.pool[self.end : self.end + len(new)] = new
+        at = np.searchsorted(self.key, key)
+        place = self.end + np.cumsum(size, dtype=np.int64) - size
+        self.end += len(new)
+        for name, value in (("key", key), ("second", second), ("place", place), ("size", size), ("used", np.full(len(key), self.turn, np.int32))):
+            setattr(self, name, np.insert(getattr(self, name), at, value))
+
+    def next(self) -> None:
+        """Before a batch: beyond the limit the half that was used last stays."""
+        self.turn += 1
+        if len(self.key) > self.limit:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
+            self.pool = np.append(take(self.pool, self.place[keep], self.size[keep]), np.zeros(1 << 16, np.uint32))
+            self.key, self.second, self.size, self.used = (x[keep] for x in (self.key, self.second, self.size, self.used))
+            self.place = np.cumsum(self.size, dtype=np.int64) - self.size
+            self.end = int(self.size.sum())
+
+
 class PieceEncoder:
-    """Encodes byte strings that begin and end at safe cuts; distinct pieces go to the library in batches."""
-
-    def __init__(self, tokenizer, limit: int = 180_000):
-        self.tokenizer, self.pieces = tokenizer, TwoAges(limit)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        #: Ids whose bytes begin with a space, which the vocabulary writes as U+0120.
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[k for text, k in vocabulary.items() if text[:1] == "\u0120"]] = True
-
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters, each after a space: many go to the library as one text, whose ids are cut at spaces."""
-        out = []
-        groups = [words[k : k + 2000] for k in range(0, len(words), 2000)]
-        coded = self.tokenizer.encode_batch_fast([b"".join([b" " + w for w in g]).decode() for g in groups], add_special_tokens=False)
-        for group, c in zip(groups, coded, strict=True):
-            ids = np.array(c.ids, np.uint32)
-            ends = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4).tolist()
-            if len(ends) != len(group) + 1 or ends[0]:
-                out += self.library([b" " + w for w in group])
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
-        return out
+    """Encodes parts of texts that begin and end where pre-tokens do, piece by piece: a distinct piece goes to the library
+    once for as long as it is remembered."""
+
+    def __init__(self, tokenizer, limit: int = 600_000):
+        self.tokenizer, self.known = tokenizer, Words(limit)
 
-    def library(self, texts: list[bytes]) -> list[bytes]:
+    def library(self, texts: list[bytes]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(c.ids, np.uint32).tobytes() for c in coded]
+        return [np.array(c.ids, np.uint32) for c in coded]
 
     @staticmethod
-    def parts(piece: bytes) -> list[bytes] | None:
-        """Keys of the parts of a piece that isn't known, where it can be cut inside; a rarer whole gives commoner parts."""
-        first = piece[-1:] == b" "
-        found = INNER.fullmatch(piece[:-1] if first else piece)
-        if not found or not (found[2] or found[3]):
-            return None
-        word, stop, line, rest = found.groups()
-        parts = [word + b" " if first else word]
-        if stop:
-            parts.append(stop + b" ")
-        if line:
-            parts += [b"\n ", rest + b" "]
-        return parts
-
-    def many(self, regions: list[bytes]) -> list[bytes]:
-        """Ids of each region, as little-endian unsigned 32-bit integers.
-
-        The key of a piece is its bytes without the leading space; one without that space has a space at its end.
-        """
-        flat: list[bytes] = []
-        ends = []
-        whole: dict[int, bytes] = {}
-        for k, region in enumerate(regions):
-            if UNSAFE.search(region):
-                whole[k] = region
-            else:
-                pieces = region.split(b" ")
-                if pieces[0]:
-                    pieces[0] += b" "
-                else:
-                    del pieces[0]
-                flat += pieces
-            ends.append(len(flat))
-        cache = self.pieces
-        found = list(map(cache.young.get, flat))
-        holes = [k for k, ids in enumerate(found) if ids is None]
-        if holes:
-            self.learn({flat[k] for k in holes})
-            for k in holes:
-                found[k] = cache.young[flat[k]]
-        ids, begin = [], 0
-        for end in ends:
-            ids.append(b"".join(found[begin:end]))
-            begin = end
-        for k, coded in zip(whole, self.library(list(whole.values())) if whole else (), strict=True):
-            ids[k] = coded
-        return ids
-
-    def learn(self, missing: set[bytes]) -> None:
-        """Makes the pieces known: from the older cache, from their parts, or from the library."""
-        cache = self.pieces
-        cache.turn(len(missing))
-        young, old = cache.young, cache.old
-        inner = {}
-        new = set()
-        for p in missing:
-            if (ids := old.get(p)) is not None:
-                young[p] = ids
-            elif parts := self.parts(p):
-                inner[p] = parts
-            else:
-                new.add(p)
-        for p in set().union(*inner.values()):
-            if p not in young:
-                if (ids := old.get(p)) is not None:
-                    young[p] = ids
-                else:
-                    new.add(p)
-        plain = [p for p in new if WORD.fullmatch(p)]
-        young.update(zip(plain, self.words(plain), strict=True))
-        named = list(new.difference(plain))
-        young.update(zip(named, self.library([p[:-1] if p[-1:] == b" " else b" " + p for p in named]), strict=True))
-        for p, parts in inner.items():
-            young[p] = b"".join([young[q] for q in parts])
+    def cuts(data: np.ndarray) -> np.ndarray:
+        """Safe cuts, and further ends of pre-tokens: before a comma or full stop after a letter, before a line's end after a
+        printed character, and after such a line's end before another one."""
+        p = np.flatnonzero((data[1:] == 0x2C) | (data[1:] == 0x2E)) + 1
+        letter = LETTER[data[p - 1]] | (LATIN[data[p - 1]] & (data[np.maximum(p - 2, 0)] == 0xC3) & (p > 1))
+        line = np.flatnonzero(data[1:] == 0x0A) + 1
+        line = line[PRINTED[data[line - 1]]]
+        after = line[line < len(data) - 1] + 1
+        return places(len(data), safe_cuts(data), p[letter], line, after[PRINTED[data[after]]])
+
+    def encode(self, data: np.ndarray, cuts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of regions in turn, where each begins and the last one ends). Regions may be empty and may overlap."""
+        low, high = np.searchsorted(cuts, begins, "right"), np.searchsorted(cuts, ends, "left")
+        inner = np.maximum(high - low, 0)
+        count = np.where(ends > begins, inner + 1, 0)
+        region = np.repeat(np.arange(len(begins)), count)
+        first = np.cumsum(count) - count
+        nth = np.arange(len(region)) - first[region]
+        at = low[region] + nth
+        padded = np.append(cuts, 0)
+        start = np.where(nth == 0, begins[region], padded[np.minimum(np.maximum(at - 1, 0), len(cuts))])
+        stop = np.where(nth == count[region] - 1, ends[region], padded[np.minimum(at, len(cuts))])
+        key, second = word_hashes(data, start, stop, 101), word_hashes(data, start, stop, 102)
+        distinct, where, index = np.unique(key, return_index=True, return_inverse=True)
+        if (second != second[where][index]).any():
+            raise ValueError("two pieces have one hash")
+        found = self.known.find(distinct, second[where])
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            a, b = start[where[missing]].tolist(), stop[where[missing]].tolist()
+            body = data.tobytes()
+            self.known.add(distinct[missing], second[where[missing]], self.library([body[x:y] for x, y in zip(a, b)]))
+            found = self.known.find(distinct, second[where])
+        size = self.known.size[found][index].astype(np.int64)
+        ids = take(self.known.pool, self.known.place[found][index], size)
+        return ids, np.append(0, np.cumsum(size))[np.append(first, len(region))]
 
 
 class Known:
@@ -202,31 +202,29 @@ class Known:
     def __init__(self, digests: np.ndarray, ids: list[bytes]):
         order = np.lexsort((digests[:, 1], digests[:, 0]))
         self.digests = digests[order]
-        self.body = b"".join(ids[k] for k in order.tolist())
-        self.ends = np.concatenate([[0], np.cumsum([len(ids[k]) for k in order.tolist()])]).astype(np.int64)
+        sorted_ids = [ids[k] for k in order.tolist()]
+        self.pool = np.frombuffer(b"".join(sorted_ids), np.uint32)
+        self.size = np.array([len(x) // 4 for x in sorted_ids], np.int64)
+        self.place = np.cumsum(self.size) - self.size
 
     @classmethod
     def none(cls) -> Known:
         return cls(np.zeros((0, 2), np.int64), [])
 
-    def places(self, digests: np.ndarray) -> np.ndarray:
+    def find(self, digests: np.ndarray) -> np.ndarray:
         """Where each digest is; -1: nowhere."""
         if not len(self.digests) or not len(digests):
             return np.full(len(digests), -1)
         at = np.minimum(np.searchsorted(self.digests[:, 0], digests[:, 0]), len(self.digests) - 1)
         return np.where((self.digests[at] == digests).all(1), at, -1)
 
-    def ids(self, place: int) -> bytes:
-        return self.body[self.ends[place] : self.ends[place + 1]]
-
 
 class Chunks:
     """The chunks of texts that lie one after the other, with their safe cuts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray, safe: np.ndarray):
-        self.body = data.tobytes()
-        self.safe = safe
-        self.bounds = np.unique(np.concatenate([cuts, offsets]))
+        self.data, self.body, self.safe = data, data.tobytes(), safe
+        self.bounds = places(len(data) + 1, cuts, offsets)
         self.first = np.searchsorted(safe, self.bounds[:-1], "right")
         self.last = np.searchsorted(safe, self.bounds[1:], "left") - 1
         #: Chunks with two safe cuts or more, between which ids are reused.
@@ -238,18 +236,19 @@ class Chunks:
         ends = zip(self.bounds[self.usable].tolist(), self.bounds[self.usable + 1].tolist())
         return np.frombuffer(b"".join(xxhash.xxh3_128_digest(self.body[a:b]) for a, b in ends), np.int64).reshape(-1, 2)
 
-    def middle(self, k: int) -> bytes:
-        return self.body[self.safe[self.first[k]] : self.safe[self.last[k]]]
+    def middles(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of what is reused of usable chunks, by their places among these."""
+        chunk = self.usable[places]
+        return self.safe[self.first[chunk]], self.safe[self.last[chunk]]
 
 
 class ChunkEncoder:
     """Whole texts by content-defined chunks; see the module."""
 
-    def __init__(self, tokenizer, mask_bits: int = 8, cached_joins: int = 15_000):
-        self.coder, self.mask_bits = PieceEncoder(tokenizer), mask_bits
-        self.joins = TwoAges(cached_joins)
+    def __init__(self, tokenizer, mask_bits: int = 8, pieces: int = 600_000):
+        self.coder, self.mask_bits = PieceEncoder(tokenizer, pieces), mask_bits
         self.table = byte_table(10).astype(np.uint32)
-        #: Joins whose first repair did not agree.
+        #: Texts in which a first repair did not agree.
         self.widened = 0
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
@@ -265,83 +264,76 @@ class ChunkEncoder:
         at = at[at < len(data)]
         return at[(data[at] & 0xC0) != 0x80]
 
-    @staticmethod
-    def safe(data: np.ndarray) -> np.ndarray:
-        """Positions of safe cuts: a space after a printable ASCII character or a letter of two bytes."""
-        p = np.flatnonzero(data[1:] == 0x20) + 1
-        before, second = data[p - 1], data[np.maximum(p - 2, 0)]
-        plain = (before > 0x20) & (before < 0x7F)
-        return p[plain | ((before >= 0x80) & (second >= 0xC3) & (second <= 0xDF))]
+    def safe(self, data: np.ndarray) -> np.ndarray:
+        return safe_cuts(data)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> Chunks:
         return Chunks(data, offsets, self.cuts(data), self.safe(data))
 
-    def middles(self, chunks: Chunks, wanted: np.ndarray) -> dict[int, bytes]:
-        """Ids between the safe cuts of chunks by number; equal ones are encoded once."""
-        bytes_of = {k: chunks.middle(k) for k in wanted.tolist()}
-        distinct = list(set(bytes_of.values()))
-        coded = dict(zip(distinct, self.coder.many(distinct), strict=True))
-        return {k: coded[x] for k, x in bytes_of.items()}
-
     def encode(self, data: np.ndarray, offsets: np.ndarray, known: Known | None = None) -> list[bytes]:
         """Ids of every text of a batch, as little-endian unsigned 32-bit integers."""
-        chunks = self.chunks(data, offsets)
-        known = known or Known.none()
-        at = known.places(chunks.digests()) if len(known.digests) else np.full(len(chunks.usable), -1)
-        ids = self.middles(chunks, chunks.usable[at < 0])
-        ids.update((k, known.ids(p)) for k, p in zip(chunks.usable.tolist(), at.tolist()) if p >= 0)
-        # Regions between the reused middles, of all texts: (begin, end, cut before, cut after), all of them safe or a text's edge.
-        middles = chunks.usable
-        text = np.searchsorted(offsets, chunks.bounds[middles], "right") - 1
-        begins, ends = chunks.safe[chunks.first[middles]], chunks.safe[chunks.last[middles]]
-        documents, regions = [], []
-        edges = np.searchsorted(text, np.arange(len(offsets))).tolist()
-        starts, stops, names = begins.tolist(), ends.tolist(), middles.tolist()
-        before = chunks.safe[np.maximum(chunks.last[middles] - 1, 0)].tolist()
-        after = chunks.safe[np.minimum(chunks.first[middles] + 1, max(len(chunks.safe) - 1, 0))].tolist() if len(middles) else []
-        for d, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            own = range(edges[d], edges[d + 1])
-            mine, at_, left = [], low, low
-            for m in own:
-                mine.append((at_, starts[m], left, after[m]))
-                at_, left = stops[m], before[m]
-            mine.append((at_, high, left, high))
-            documents.append(own)
-            regions.append(mine)
-        coded = self._repair(chunks.body, [r for mine in regions for r in mine])
-        out, at_ = [], 0
-        for d, (own, mine) in enumerate(zip(documents, regions)):
-            joins = coded[at_ : at_ + len(mine)]
-            at_ += len(mine)
-            if any(j is None for j in joins):
-                out.append(self._widen(chunks, int(offsets[d]), int(offsets[d + 1])))
-                continue
-            parts = [b""] * (2 * len(own) + 1)
-            parts[::2] = joins
-            parts[1::2] = [ids[names[m]] for m in own]
-            out.append(b"".join(parts))
+        chunks, known = self.chunks(data, offsets), known or Known.none()
+        self.coder.known.next()
+        cuts = self.coder.cuts(data)
+        n = len(chunks.usable)
+        begin, end = chunks.middles(np.arange(n))
+        there = known.find(chunks.digests()) if len(known.digests) else np.full(n, -1)
+        anew = np.flatnonzero(there < 0)
+        ids, ends = self.coder.encode(data, cuts, begin[anew], end[anew])
+        # Segments in the order of the texts: a join, then a middle and a join for every chunk. Parts of one pool.
+        text = np.searchsorted(offsets, begin, "right") - 1
+        before = np.searchsorted(text, np.arange(len(offsets)))
+        joins_of = np.diff(before) + 1
+        first_join = np.cumsum(joins_of) - joins_of
+        join_begin, join_end = np.empty(n + len(joins_of), np.int64), np.empty(n + len(joins_of), np.int64)
+        after_middle = np.arange(n) + text + 1
+        join_begin[first_join], join_begin[after_middle] = offsets[:-1], end
+        join_end[after_middle - 1], join_end[first_join + joins_of - 1] = begin, offsets[1:]
+        # One more piece on either side, within the middles.
+        left, right = join_begin.copy(), join_end.copy()
+        left[after_middle] = chunks.safe[chunks.last[chunks.usable] - 1]
+        right[after_middle - 1] = chunks.safe[chunks.first[chunks.usable] + 1]
+        joined, join_ends, agree = self._repair(data, chunks.body, cuts, join_begin, join_end, left, right)
+        pool = np.concatenate([ids, known.pool, joined])
+        place, size = np.empty(2 * n + len(joins_of), np.int64), np.empty(2 * n + len(joins_of), np.int64)
+        # Of join j of a text and all before it, j + its text number middles came before.
+        owner = np.repeat(np.arange(len(joins_of)), joins_of)
+        slot = 2 * np.arange(len(join_begin)) - owner
+        place[slot], size[slot] = len(ids) + len(known.pool) + join_ends[:-1], np.diff(join_ends)
+        slot = 2 * after_middle - text - 1
+        have = there >= 0
+        place[slot[have]], size[slot[have]] = len(ids) + known.place[there[have]], known.size[there[have]]
+        place[slot[anew]], size[slot[anew]] = ends[:-1], np.diff(ends)
+        raw = take(pool, place, size).tobytes()
+        total = np.append(0, np.cumsum(size))
+        edges = (4 * total[np.append(2 * first_join - np.arange(len(joins_of)), len(size))]).tolist()
+        out = [raw[a:b] for a, b in zip(edges, edges[1:])]
+        for d in np.unique(owner[~agree]).tolist():
+            out[d] = self._widen(chunks, int(offsets[d]), int(offsets[d + 1]))
         return out
 
-    def _repair(self, body: bytes, regions: list[tuple[int, int, int, int]]) -> list[bytes | None]:
-        """Ids of each region; None where the ids with one more piece on either side don't agree."""
-        keys = [(body[left:begin], body[begin:end], body[end:right]) for begin, end, left, right in regions]
-        coded: dict[tuple, bytes | None] = {}
-        unknown = []
-        for key in set(keys):
-            ids = self.joins.get(key)
-            if ids is None:
-                unknown.append(key)
-            else:
-                coded[key] = ids
-        pieces = list({p for key in unknown for p in key})
-        ids_of = dict(zip(pieces, self.coder.many(pieces), strict=True))
-        for key, wide in zip(unknown, self.coder.library([b"".join(key) for key in unknown]), strict=True):
-            left, own, right = (ids_of[p] for p in key)
-            agrees = wide == left + own + right
-            coded[key] = own if agrees else None
-            if agrees and sum(map(len, key)) <= 256:
-                self.joins.put(key, own)
-        return [coded[key] for key in keys]
+    def _repair(self, data, body, cuts, begin, end, left, right) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of joins in turn, where each begins and the last one ends, whether the library's ids of left..right begin and
+        end with the ids of the pieces on both sides)."""
+        n = len(begin)
+        sides, at = self.coder.encode(data, cuts, np.concatenate([left, end]), np.concatenate([begin, right]))
+        keys = [(body[w:x], body[x:y], body[y:z]) for w, x, y, z in zip(left.tolist(), begin.tolist(), end.tolist(), right.tolist())]
+        number: dict[tuple, int] = {}
+        which = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, n)
+        coded = self.coder.library([b"".join(k) for k in number])
+        wide_ends = np.append(0, np.cumsum([len(x) for x in coded])).astype(np.int64)
+        wide = np.concatenate([np.zeros(0, np.uint32), *coded])
+        heads, tails = np.diff(at)[:n], np.diff(at)[n:]
+        size = np.diff(wide_ends)[which] - heads - tails
+        agree = size >= 0
+        place = wide_ends[which] + heads
+        for a, b, m in ((wide_ends[which], at[:n], heads), (place + size, at[n:-1], tails)):
+            fine = np.flatnonzero(agree)
+            same = take(wide, a[fine], m[fine]) == take(sides, b[fine], m[fine])
+            wrong = np.repeat(fine, m[fine])[~same]
+            agree[wrong] = False
+        size = np.where(agree, size, 0)
+        return take(wide, place, size), np.append(0, np.cumsum(size)), agree
 
     def _widen(self, chunks: Chunks, low: int, high: int) -> bytes:
         """Ids of one text whose repairs did not all agree: regions take in their neighbours until they do."""
@@ -349,15 +341,14 @@ class ChunkEncoder:
         safe = chunks.safe[(chunks.safe > low) & (chunks.safe < high)]
         edges = np.concatenate([[low], safe, [high]])
         pieces = [chunks.body[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-        alone = self.coder.library(pieces)
         out, at = [], 0
         while at < len(pieces):
             size = 1
             while True:
                 # Pieces at..stop as one region, and with as many behind it: both must agree on what the region gives.
                 stop, more = min(at + size, len(pieces)), min(at + 2 * size, len(pieces))
-                wide = self.coder.library([b"".join(pieces[at:stop]), b"".join(pieces[at:more]), b"".join(pieces[stop:more])])
-                if stop == len(pieces) or wide[1] == wide[0] + wide[2] and wide[1].startswith(alone[at]):
+                wide = [x.tobytes() for x in self.coder.library([b"".join(pieces[at:stop]), b"".join(pieces[at:more]), b"".join(pieces[stop:more])])]
+                if stop == len(pieces) or wide[1] == wide[0] + wide[2]:
                     break
                 size *= 2
             out.append(wide[0])
@@ -447,7 +438,10 @@ def share_chunks(docs: DataFrame, vocabulary: str, mask_bits: int = 8) -> str |
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(load(vocabulary), mask_bits)
         for cell, batch in _by_cell(batches, 4 << 20):
-            found, n = np.unique(encoder.chunks(*utf8(batch.column("text"))).digests(), axis=0, return_counts=True)
+            every = encoder.chunks(*utf8(batch.column("text"))).digests()
+            every = every[np.lexsort((every[:, 1], every[:, 0]))]
+            first = np.flatnonzero(np.append(True, (every[1:] != every[:-1]).any(1))) if len(every) else np.zeros(0, np.int64)
+            found, n = every[first], np.diff(np.append(first, len(every)))
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(np.full(len(found), cell)), pa.array(n.astype(np.int64))], ["a", "b", "cell", "n"])
 
     every = materialize(arrow_map(docs, digests, "a long, b long, cell long, n long"), "chunks")
@@ -465,12 +459,14 @@ def share_chunks(docs: DataFrame, vocabulary: str, mask_bits: int = 8) -> str |
                 now, wanted, seen = cell, Known(keys, [b""] * len(keys)), np.zeros(len(keys), bool)
             chunks = encoder.chunks(*utf8(batch.column("text")))
             digests = chunks.digests()
-            places, first = np.unique(wanted.places(digests), return_index=True)
-            new = (places >= 0) & ~seen[places] if len(seen) else np.zeros(len(places), bool)
-            places, first = places[new], first[new]
-            seen[places] = True
-            ids = encoder.middles(chunks, chunks.usable[first])
-            yield pa.RecordBatch.from_arrays([pa.array(digests[first, 0].copy()), pa.array(digests[first, 1].copy()), pa.array([ids[k] for k in chunks.usable[first].tolist()], pa.binary())], ["a", "b", "ids"])
+            at, first = np.unique(wanted.find(digests), return_index=True)
+            new = (at >= 0) & ~seen[at] if len(seen) else np.zeros(len(at), bool)
+            at, first = at[new], first[new]
+            seen[at] = True
+            encoder.coder.known.next()
+            ids, ends = encoder.coder.encode(chunks.data, encoder.coder.cuts(chunks.data), *chunks.middles(first))
+            raw, edges = ids.tobytes(), (4 * ends).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(digests[first, 0].copy()), pa.array(digests[first, 1].copy()), pa.array([raw[x:y] for x, y in zip(edges, edges[1:])], pa.binary())], ["a", "b", "ids"])
 
     coded = arrow_map(docs, encode, "a long, b long, ids binary")
     coded = materialize(coded.join(shared.drop("first"), ["a", "b"]), "coded-chunks")

@@ -29,7 +29,7 @@ def test_same_as_library(bits):
     joined = "".join(texts).encode()
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     t = B.load(PATH)
-    got = B.ChunkEncoder(t, mask_bits=bits, cached_joins=50).encode(np.frombuffer(joined, np.uint8), offsets)
+    got = B.ChunkEncoder(t, mask_bits=bits, pieces=50).encode(np.frombuffer(joined, np.uint8), offsets)
     ids, text = brute(texts)
     assert [np.frombuffer(g, np.uint32).tolist() for g in got] == ids
     d = B.Decoder(t)
@@ -49,8 +49,7 @@ def test_query_rows(spark):
 class AnySpace(B.ChunkEncoder):
     """Cuts before any space and line's end, also within runs of white space, where pre-tokens do not end."""
 
-    @staticmethod
-    def safe(data):
+    def safe(self, data):
         return np.flatnonzero((data[1:] == 0x20) | (data[1:] == 10)) + 1
 
 
