@@ -8,7 +8,8 @@ in a window. For each window, as WAND does,
 
 1. terms are ordered by their lists' maxima, and those whose maxima together stay below 1 open no block by themselves;
    a window whose maxima sum to less than 1 is skipped whole,
-2. blocks that the other terms reach get the sum of the block maxima of all the window's terms; a block below 1 is skipped,
+2. only blocks that the other terms reach are opened, and of them those skipped whose block maxima of all the window's
+   terms sum to less than 1,
 3. the postings of the remaining blocks are summed by item.
 
 Many windows go through each step together. All items that reach 1 are then verified: of an item's five-word shingles at
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, doc_columns, finish, scratch, slices, small_batches, utf8
+from quillspark.llm.common import arrow_map, distinct, doc_columns, finish, scratch, slices, small_batches, utf8
 from quillspark.llm.files import Reader, Writer
 from quillspark.llm.words import hashed_words
 
@@ -51,7 +52,7 @@ K1, B, OVERLAP, PART_OVERLAP, BLOCK, SHINGLE = 1.5, 0.75, 0.8, 0.5, 16, 5
 SHARD_ITEMS, SHARD_BYTES, HELD = 4096, 8 << 20, 2
 SLICE, WINDOWS = 512 << 10, 2048
 #: Pairs of a block and a term that are worked together, about.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Sums of 64-bit floats are compared with 1 less this.
 SLACK = 1e-9
 PARTS = ("question", "answer", "whole")
@@ -166,7 +167,7 @@ class Index:
         known = np.flatnonzero(self.terms[np.minimum(term, len(self.terms) - 1)] == words)
         a = np.searchsorted(known, begin)
         window, place = expand(a, np.searchsorted(known, end) - a)
-        pair = np.unique(window * np.int64(len(self.terms)) + term[known[place]])
+        pair = distinct(window * np.int64(len(self.terms)) + term[known[place]])
         window, term = pair // len(self.terms), pair % len(self.terms)
         if not len(pair):
             return nothing
@@ -184,33 +185,32 @@ class Index:
             return nothing
         of = np.repeat(np.arange(len(heads)), sizes)
         blocks = np.diff(self.term_blocks)[term]
-        cost = np.minimum(np.bincount(of[heavy], blocks[heavy], len(heads)), self.n_ranges) * sizes
+        most_heavy = np.zeros(len(term), bool)
+        most_heavy[heavy] = True
+        # Windows without a heavy term fall here, the others go on some at a time, so that memory has a bound.
+        going = np.flatnonzero(np.bincount(of[heavy], minlength=len(heads)))
+        cost = np.add.reduceat(blocks, heads)[going]
         found = [nothing]
-        # Some windows at a time, so that memory has a bound.
-        for group in np.split(np.arange(len(heads)), np.flatnonzero(np.diff(np.cumsum(cost) // PAIRS)) + 1):
-            mine = heavy[np.searchsorted(of[heavy], group[0]) : np.searchsorted(of[heavy], group[-1], "right")]
-            if len(mine):
-                found.append(self._blocks(window, term, of, heads, sizes, mine))
+        for group in np.split(going, np.flatnonzero(np.diff(np.cumsum(cost) // PAIRS)) + 1):
+            own, at = expand(heads[group], sizes[group])
+            found.append(self._blocks(window[heads[group]], term[at], own, most_heavy[at], blocks[at]))
         return tuple(np.concatenate(c) for c in zip(*found))
 
-    def _blocks(self, window, term, of, heads, sizes, heavy) -> tuple[np.ndarray, np.ndarray]:
-        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # 2. Blocks of heavy terms, each with the sum of the block maxima of all terms of its window.
-        which, block = expand(self.term_blocks[term[heavy]], np.diff(self.term_blocks)[term[heavy]])
-        opened = np.unique(of[heavy[which]] * np.int64(self.n_ranges) + self.block_key[block] % self.n_ranges)
-        row = opened // self.n_ranges
-        which, place = expand(heads[row], sizes[row])
-        key = term[place] * np.int64(self.n_ranges) + (opened % self.n_ranges)[which]
-        block = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
-        there = np.flatnonzero(self.block_key[block] == key)
-        which, block = which[there], block[there]
-        bound = np.bincount(which, self.block_most[block], len(opened))
-        still = np.flatnonzero((bound >= 1 - SLACK)[which])
-        if not len(still):
-            return nothing
+    def _blocks(self, window, term, of, heavy, blocks) -> tuple[np.ndarray, np.ndarray]:
+        """Steps 2 and 3 for some windows; `of` is each term's window among them."""
+        # 2. Blocks of heavy terms are opened; of the opened ones, the block maxima of all terms are summed.
+        which, block = expand(self.term_blocks[term], blocks)
+        slot = of[which] * self.n_ranges + self.block_key[block] % self.n_ranges
+        bound = np.bincount(slot, self.block_most[block], len(window) * self.n_ranges)
+        still = np.zeros(len(bound), bool)
+        still[slot[heavy[which]]] = True
+        still &= bound >= 1 - SLACK
+        left = np.flatnonzero(still[slot])
+        if not len(left):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         # 3. Postings of what is left.
-        owner, place = expand(self.block_at[block[still]], np.diff(self.block_at)[block[still]])
-        pair, at = np.unique(window[heads[row[which[still]]]][owner] * np.int64(len(self.ids)) + self.items[place], return_inverse=True)
+        owner, place = expand(self.block_at[block[left]], np.diff(self.block_at)[block[left]])
+        pair, at = np.unique(window[of[which[left]]][owner] * np.int64(len(self.ids)) + self.items[place], return_inverse=True)
         full = pair[np.bincount(at, self.impacts[place]) >= 1 - SLACK]
         return full // len(self.ids), full % len(self.ids)
 
@@ -236,7 +236,7 @@ class Passage:
         if not len(own):
             return 1.0
         if size not in self.known:
-            self.known[size] = np.unique(runs(self.words, size))
+            self.known[size] = distinct(runs(self.words, size))
         has = self.known[size]
         return float((has[np.minimum(np.searchsorted(has, own), len(has) - 1)] == own).mean())
 
