@@ -293,7 +293,7 @@ def expand_siblings(spark, sf_dir):
 @query
 def inject_aux(spark, sf_dir):
     hits = P.hits(spark, sf_dir, 20).select("query_id", "rank", F.col("type").alias("norm"), "text")
-    aux = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("norm"), F.concat(F.lit("Auxiliary "), F.col("c_custkey").cast("string")).alias("text"), F.col("c_custkey").alias("ord"))
+    aux = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("norm"), F.concat(F.lit("Auxiliary "), F.col("c_custkey").cast("string")).alias("text"), F.col("c_custkey").alias("ord"))
     return R.inject(hits, aux).select("query_id", "norm", digest("text").alias("digest"), "injected", "rank")
 
 
@@ -319,16 +319,17 @@ def semi_structured(spark, sf_dir):
 @query
 def duplicate_upload_check(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    uploads = part.where("p_partkey % 3 = 0").select("p_partkey", F.concat(F.lower("p_name"), F.when(F.col("p_partkey") % 2 == 0, ".PDF").otherwise(".md")).alias("name"), digest("p_brand").alias("sha256"))
-    known = part.where("p_partkey % 5 = 0").select(F.concat("p_name", F.lit(".pdf")).alias("name"), digest(F.concat(F.lit("x"), F.col("p_partkey").cast("string"))).alias("sha256"))
+    uploads = part.select("p_partkey", F.concat(F.lower("p_name"), F.when(F.col("p_partkey") % 2 == 0, ".PDF").otherwise(".md")).alias("name"), digest("p_brand").alias("sha256"))
+    other = F.when(F.col("p_partkey") % 5 == 0, "").otherwise("old ")
+    known = part.select(F.concat(other, "p_name", F.lit(".pdf")).alias("name"), digest(F.concat(F.lit("x"), F.col("p_partkey").cast("string"))).alias("sha256"))
     return C.duplicates(uploads, known).select("p_partkey", "name")
 
 
 @query
 def catalog_merge(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
-    recorded = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
-    found = customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("v"))
+    recorded = customer.select((F.col("c_custkey") * 2).alias("k"), F.col("c_name").alias("v"))
+    found = customer.select((F.col("c_custkey") * 3).alias("k"), F.col("c_mktsegment").alias("v"))
     return C.merge(recorded, found, "k")
 
 

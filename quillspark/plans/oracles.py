@@ -89,11 +89,11 @@ HITS = CHUNKS + f""",
 hits as (select *, number::bigint % 11 = 0 as priority, {source_id('type', 'number', 'year')} as source_id, path || '|' || chunk as key from (select *, nation as query_id, row_number() over (partition by nation order by balance desc, path, chunk) as rank from chunks) where rank <= 40)
 """
 BM25 = f"""
-bags as (select doc_id, {tokens('text')} as t from documents),
-postings as (select doc_id, term, dl, count(*) as tf from (select doc_id, len(t) as dl, unnest(t) as term from bags) group by 1, 2, 3),
+bags as materialized (select doc_id, {tokens('text')} as t from documents),
+postings as materialized (select doc_id, term, dl, count(*) as tf from (select doc_id, len(t) as dl, unnest(t) as term from bags) group by 1, 2, 3),
 size as (select count(*) as n_docs, avg(len(t)) as avgdl from bags where len(t) > 0),
 rawidf as (select term, count(*) as df, ln((any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) as raw from postings, size group by 1),
-terms as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from rawidf) else raw end as idf from rawidf),
+terms as (select term, df, case when raw < 0 then 0.25 * avg(raw) over () else raw end as idf from rawidf),
 weights as (select doc_id, postings.term, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) as w from postings join terms using (term), size)
 """
 
@@ -108,7 +108,7 @@ def search(name: str, text: str, k: int, where: str = "true", source: str = "ben
 
 KEYWORD_LIST = f"""
 asked as (select distinct item_id as query_id, unnest({keywords('text')}) as word from benchmark),
-kw as (select query_id, doc_id, count(*) as score from asked join (select doc_id, lower(concat_ws(' ', lang, source, left(text, 300))) as t from documents) on contains(t, word) group by 1, 2),
+kw as (select query_id, doc_id, count(*) as score from asked join (select doc_id, lower(concat_ws(' ', lang, source, text)) as t from documents) on contains(t, word) group by 1, 2),
 keyword as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kw qualify rank <= 30)
 """
 FUSED = BM25 + "," + search("full_list", "text", 30) + "," + search("short_list", simplified("text"), 30) + "," + KEYWORD_LIST + """,
@@ -166,12 +166,12 @@ ORACLES: dict[str, str] = {
     "limit_priority": f"with {HITS}, f as (select *, count(*) filter (where priority) over (partition by query_id) as np, row_number() over (partition by query_id, priority order by rank) as place from hits) select query_id, key, row_number() over (partition by query_id order by priority desc, place) as rank from f where priority or place <= 16 - np",
     "limit_quality": f"with {HITS}, g as (select *, count(*) over (partition by query_id) as n, case when priority then 0 when quality = 'structured' then 1 else 2 end as g from hits), p as (select *, row_number() over (partition by query_id order by g, rank) as place, count(*) filter (where g < 2) over (partition by query_id) as kept from g), b as (select *, case when kept >= 16 then 13 else kept end as base from p) select query_id, key, row_number() over (partition by query_id order by case when n <= 16 then rank else place end) as rank from b where n <= 16 or (g < 2 and place <= base) or (g = 2 and place - kept <= 16 - base)",
     "expand_siblings": f"with {HITS}, h as (select * from hits where rank <= 16), sib as (select path, chunk, {'case when ' + has_table('text') + ' then 3.0 else 0.0 end'} + case when {numbers('text')} then 1.5 else 0 end + case quality when 'structured' then 2.0 when 'ocr' then -1.0 else 0 end as s from chunks), seen as (select query_id, path, count(*) as n, min(rank) as first from h group by 1, 2), el as (select *, row_number() over (partition by query_id order by first) as place from seen qualify place = 1 or n >= 2), par as (select *, row_number() over (partition by query_id order by first) as parent from el qualify parent <= 3), c as (select par.query_id, par.path, sib.chunk, s, parent, row_number() over (partition by par.query_id, par.path order by s desc, sib.chunk) as e from par join sib using (path) where s > 0 and not exists (select 1 from h where h.query_id = par.query_id and h.path = sib.path and h.chunk = sib.chunk) qualify e <= 3) select query_id, path, chunk::bigint as chunk, s::double as sibling_score, row_number() over (partition by query_id order by parent, e) as added from c qualify added <= 8",
-    "inject_aux": f"with {HITS}, h as (select query_id, rank, type as norm, text from hits where rank <= 20), aux as (select c_mktsegment as norm, 'Auxiliary ' || c_custkey as text, c_custkey as ord from customer where c_custkey % 10 = 0), seen as (select query_id, norm, min(rank) as first, row_number() over (partition by query_id order by min(rank)) as n from h group by 1, 2 qualify n <= 3), a as (select *, row_number() over (partition by norm order by ord) as m from aux qualify m <= 12), added as (select query_id, norm, text, true as injected, 0 as x, n as y, m as z from seen join a using (norm)), every as (select * from added union all select query_id, norm, text, false, 1, rank, 0 from h where not exists (select 1 from added d where d.query_id = h.query_id and d.text = h.text)) select query_id, norm, md5(text) as digest, injected, row_number() over (partition by query_id order by x, y, z) as rank from every",
+    "inject_aux": f"with {HITS}, h as (select query_id, rank, type as norm, text from hits where rank <= 20), aux as (select c_mktsegment as norm, 'Auxiliary ' || c_custkey as text, c_custkey as ord from customer), seen as (select query_id, norm, min(rank) as first, row_number() over (partition by query_id order by min(rank)) as n from h group by 1, 2 qualify n <= 3), a as (select *, row_number() over (partition by norm order by ord) as m from aux qualify m <= 12), added as (select query_id, norm, text, true as injected, 0 as x, n as y, m as z from seen join a using (norm)), every as (select * from added union all select query_id, norm, text, false, 1, rank, 0 from h where not exists (select 1 from added d where d.query_id = h.query_id and d.text = h.text)) select query_id, norm, md5(text) as digest, injected, row_number() over (partition by query_id order by x, y, z) as rank from every",
     "prioritize_sources": f"with {HITS}, g as (select *, case when quality = 'structured' then 0 when quality = 'ocr' and max((quality = 'structured')::int) over (partition by query_id, path) = 1 then 2 else 1 end as g from hits) select query_id, key, row_number() over (partition by query_id order by g, rank) as rank from g",
     "new_documents_anti": "select doc_id from documents where doc_id not in (select doc_id from labels)",
     "semi_structured": f"with {HITS} select query_id, key from hits where path in (select path from hits where quality = 'structured')",
-    "duplicate_upload_check": "with u as (select p_partkey, lower(p_name) || case when p_partkey % 2 = 0 then '.PDF' else '.md' end as name, md5(p_brand) as sha256 from part where p_partkey % 3 = 0), c as (select p_name || '.pdf' as name, md5('x' || p_partkey) as sha256 from part where p_partkey % 5 = 0) select p_partkey, name from u where lower(name) in (select lower(name) from c) or regexp_replace(lower(name), '\\.[^.]*$', '') in (select regexp_replace(lower(name), '\\.[^.]*$', '') from c) or sha256 in (select sha256 from c)",
-    "catalog_merge": "select coalesce(a.k, b.k) as k, case when a.k is not null then a.v else b.v end as v from (select c_custkey as k, c_name as v from customer where c_custkey % 2 = 0) a full outer join (select c_custkey as k, c_mktsegment as v from customer where c_custkey % 3 = 0) b on a.k = b.k",
+    "duplicate_upload_check": "with u as (select p_partkey, lower(p_name) || case when p_partkey % 2 = 0 then '.PDF' else '.md' end as name, md5(p_brand) as sha256 from part), c as (select case when p_partkey % 5 = 0 then '' else 'old ' end || p_name || '.pdf' as name, md5('x' || p_partkey) as sha256 from part) select p_partkey, name from u where lower(name) in (select lower(name) from c) or regexp_replace(lower(name), '\\.[^.]*$', '') in (select regexp_replace(lower(name), '\\.[^.]*$', '') from c) or sha256 in (select sha256 from c)",
+    "catalog_merge": "select coalesce(a.k, b.k) as k, case when a.k is not null then a.v else b.v end as v from (select c_custkey * 2 as k, c_name as v from customer) a full outer join (select c_custkey * 3 as k, c_mktsegment as v from customer) b on a.k = b.k",
     "type_catalog": f"with {_ENTRIES} select type, name, array_to_string(aliases, ', ') as aliases, n_docs from types",
     "alias_winner": f"with {_ENTRIES} select alias, type from winners",
     "detect_references": f"with {_ENTRIES}, q as (select o_orderkey, 'About ' || c_mktsegment || ' n. ' || o_custkey || '/' || year(o_orderdate) || case when o_orderkey % 2 = 0 then ' and seg ' || (o_orderkey % 6) || ' 1.0' || o_orderkey || ' de 1999' else '' end as question from orders join customer on o_custkey = c_custkey) select o_orderkey, w.type, q.number, q.year from (select o_orderkey, lower(c_mktsegment) as alias, o_custkey::varchar as number, year(o_orderdate)::varchar as year from orders join customer on o_custkey = c_custkey union all select o_orderkey, 'seg ' || (o_orderkey % 6), '10' || o_orderkey, '1999' from orders join customer on o_custkey = c_custkey where o_orderkey % 2 = 0) q join winners w using (alias)",
@@ -186,7 +186,7 @@ ORACLES: dict[str, str] = {
     "latest_job_state": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "stability_check": "select event_id, user_id, coalesce(event_type = lag(event_type) over w, false) as stable from events window w as (partition by user_id order by ts, event_id)",
     "keep_generations": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 2",
-    "coverage": f"with v as (select item_id as case_id, unnest(list_distinct(list_slice({keywords('text')}, 1, 8))) as value from benchmark), t as (select b.item_id as case_id, {collapse(points(fold('d.text')))} as t from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40), f as (select distinct v.case_id, value from v join t using (case_id) where contains(t, {collapse(points(fold('value')))})) select case_id, n_expected, n_found, round(n_found::double / n_expected, 6) as coverage from (select v.case_id, count(*) as n_expected, count(f.value) as n_found from v left join f on v.case_id = f.case_id and v.value = f.value group by 1)",
+    "coverage": f"with v as (select item_id as case_id, unnest(list_distinct({keywords('text')})) as value from benchmark), t as (select {collapse(points(fold('text')))} as t from documents), w as (select distinct value, {collapse(points(fold('value')))} as x from v), k as materialized (select value from w where exists (select 1 from t where contains(t, x))), f as (select distinct case_id, value from v join k using (value)) select case_id, n_expected, n_found, round(n_found::double / n_expected, 6) as coverage from (select v.case_id, count(*) as n_expected, count(f.value) as n_found from v left join f on v.case_id = f.case_id and v.value = f.value group by 1)",
     "case_metrics": f"with {HITS}, c as (select query_id as case_id, arg_min(path, rank) filter (where rank > 30) as doc, (query_id % 3) as m from hits group by 1, 3) select case_id, bool_or(h.rank <= 20 and h.path = c.doc) as hit, count(*) filter (where h.rank <= 20 and quality = 'structured') as n_structured, count(*) filter (where h.rank <= 20 and quality = 'ocr') as n_ocr, bool_or(h.rank <= 20 and h.path = c.doc) and count(*) filter (where h.rank <= 20 and quality = 'structured') >= any_value(m) as ok from c join hits h on h.query_id = c.case_id group by 1",
     "model_report": "select 'm' || (doc_id % 7) as model, round(avg(case when toxic = 0 then quality end), 6) as mean_coverage, round(avg(doc_id % 10), 6) as mean_seconds, count(*) filter (where toxic = 1) as n_errors from labels group by 1",
     "model_ranking": "select model, row_number() over (order by mean_coverage desc, hit_rate desc, mean_seconds, model) as place from (select 'm' || (doc_id % 7) as model, round(avg(quality), 6) as mean_coverage, round(avg(toxic), 6) as hit_rate, round(avg(doc_id % 10), 6) as mean_seconds from labels group by 1)",

@@ -1,37 +1,7 @@
-"""Queries over whole tables and texts, where the SQL kept with them reads less: against that SQL without its cuts, and brute force."""
-
-import duckdb
+"""Coverage and keyword search over whole tables and texts, against brute force."""
 
 from quillspark.operators import evaluate as E
 from quillspark.operators import search as R
-from quillspark.plans import oracles as O
-from quillspark.plans.catalog import QUERIES
-from quillspark.session import TABLES
-from tests.test_oracles import SF, canonical
-
-
-def uncut(name, *cuts):
-    """The query's rows by its SQL, each cut replaced."""
-    sql = O.ORACLES[name]
-    for cut, whole in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, whole)
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    found = c.execute(sql)
-    names = [d[0] for d in found.description]
-    return canonical(found.fetchall(), names)
-
-
-def rows(spark, name):
-    df = QUERIES[name](spark, SF)
-    return canonical([tuple(r) for r in df.collect()], df.columns)
-
-
-def test_coverage_of_all_documents(spark):
-    words = O.keywords("text")
-    assert rows(spark, "coverage") == uncut("coverage", (f"list_slice({words}, 1, 8)", words), ("on d.doc_id % 40 = b.item_id % 40", "on true"))
 
 
 def test_coverage_everywhere(spark):
@@ -41,15 +11,6 @@ def test_coverage_everywhere(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 4, 4, 1.0), (2, 2, 1, 0.5), (3, 0, 0, 1.0), (4, 0, 0, 1.0), (5, 2, 1, 0.5)]
 
 
-def test_keywords_in_whole_texts(spark):
-    assert rows(spark, "keyword_fallback") == uncut("keyword_fallback", ("left(text, 300)", "text"))
-
-
-def test_fused_with_whole_texts(spark):
-    for name in ("rrf_fusion", "hybrid_search", "fallback_ladder"):
-        assert rows(spark, name) == uncut(name, ("left(text, 300)", "text")), name
-
-
 def test_keyword_search_small(spark, monkeypatch):
     monkeypatch.setattr(R, "KEYWORD_BLOCK", 2)
     texts = ["x " * 400 + "transporte", "Porte único", None, "porte and área", "nothing"] + [f"área {n}" for n in range(9)]
