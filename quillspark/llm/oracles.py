@@ -47,7 +47,9 @@ s as (select *, 1 + coalesce(sum(stop::int) over (partition by doc_id order by i
 sents as (select doc_id, sent, min(i) as a, max(i) as b, string_agg(tok, '' order by i) as part from s group by 1, 2),
 lw as (select doc_id, list(translate(word, '{_UPPER}', '{_UPPER.lower()}') order by i) as ws from s group by 1),
 ends as (select x.doc_id, x.sent, x.a, min(y.sent) as last, min(y.b) as b from sents x join sents y on x.doc_id = y.doc_id and y.sent >= x.sent + 1 and y.sent <= x.sent + 40 and y.b - x.a + 1 >= 20 group by 1, 2, 3),
-spans as (select doc_id, sent, last, md5(array_to_string(ws[a:b], ' ')) as h from ends join lw using (doc_id)),
+back as (select y.doc_id, max(x.sent) as sent, max(x.a) as a, y.sent as last, y.b from sents x join sents y on x.doc_id = y.doc_id and y.sent >= x.sent + 1 and y.sent <= x.sent + 40 and y.b - x.a + 1 >= 20 group by y.doc_id, y.sent, y.b),
+edges as (select doc_id, sent, a, last, b from ends union select doc_id, sent, a, last, b from back),
+spans as (select doc_id, sent, last, md5(array_to_string(ws[a:b], ' ')) as h from edges join lw using (doc_id)),
 later as (select * from spans qualify row_number() over (partition by h order by doc_id, sent) > 1),
 gone as (select distinct doc_id, unnest(range(sent, last + 1)) as sent from later),
 k as (select doc_id, count(*) as n_sentences, count(gone.sent) as n_removed, coalesce(string_agg(case when gone.sent is null then part end, '' order by sents.sent), '') as kept from sents left join gone using (doc_id, sent) group by 1)

@@ -1,14 +1,6 @@
 """Repeated runs are covered to their last sentence."""
 
-import duckdb
-
 from quillspark.llm import op07_sentence_spans as S
-from quillspark.llm.queries import ORACLES, QUERIES
-
-SF = "/root/testdata/sf0.001"
-BACK = """back as (select y.doc_id, max(x.sent) as sent, max(x.a) as a, y.sent as last, y.b from sents x join sents y on x.doc_id = y.doc_id and y.sent >= x.sent + 1 and y.sent <= x.sent + 40 and y.b - x.a + 1 >= 20 group by y.doc_id, y.sent, y.b),
-edges as (select doc_id, sent, a, last, b from ends union select doc_id, sent, a, last, b from back),
-spans as ("""
 
 
 def test_last_sentence_of_a_passage(spark):
@@ -17,14 +9,3 @@ def test_last_sentence_of_a_passage(spark):
     docs = spark.createDataFrame([(i, words(f"p{i}x", 15) + passage + words(f"q{i}x", 15)) for i in (1, 2)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_removed, "c4." in r.kept_text) for r in S.deduplicate(docs, ends=True).collect())
     assert got == [(1, 0, True), (2, 3, False)]
-
-
-def test_same_as_sql_with_ends(spark):
-    sql = ORACLES["op7_sentence_spans"]
-    assert "spans as (" in sql and "from ends join lw" in sql
-    c = duckdb.connect()
-    c.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
-    want = c.execute(sql.replace("spans as (", BACK).replace("from ends join lw", "from edges join lw"))
-    names = [d[0] for d in want.description]
-    df = QUERIES["op7_sentence_spans"](spark, SF)
-    assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, want.fetchall()))
