@@ -6,8 +6,8 @@ ReLU. Every filter is max-pooled and mean-pooled within the chunk, and the chunk
 by mean and by maximum. A logistic layer on these gives one probability. The tables, filters and the logistic layer
 are trained together by gradient descent with Adam on a bounded sample of labelled rows.
 
-Bounds of the sample (parameters): `max_rows` labelled documents, those with the smallest hashes of their doc_id, and
-`max_chunks` chunks of each, evenly spread over the whole text. Scoring covers every byte of every text.
+Bound of the sample (a parameter): `max_rows` labelled documents, those with the smallest hashes of their doc_id, whole.
+Scoring covers every byte of every text.
 
 Inputs of a score are the text's bytes alone. Defined cases: null or empty text is scored from zero pools (the bias
 alone); rows with a null doc_id are scored; repeated rows give repeated rows; labels that are null or other than 0 and
@@ -30,7 +30,9 @@ CHUNK, WIDTH, FILTERS = 256, 5, 16
 STEP = CHUNK - WIDTH + 1
 FEATURES = 4 * FILTERS
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
-MAX_ROWS, MAX_CHUNKS, EPOCHS, BATCH, RATE, DECAY = 2400, 12, 8, 32, 0.01, 1e-4
+MAX_ROWS, EPOCHS, BATCH, RATE, DECAY = 2400, 5, 32, 0.01, 1e-4
+#: Chunks whose filter responses are held at once.
+HELD = 512
 
 
 def cut(data: np.ndarray) -> np.ndarray:
@@ -102,7 +104,9 @@ class Network:
                 self.tables[:, 256] = 0
 
     def gradients(self, rows, begins, labels, weight) -> list[np.ndarray]:
-        x, high, mean = self.pools(rows)
+        parts = [slice(k, min(k + HELD, len(rows))) for k in range(0, len(rows), HELD)]
+        pooled = [self.pools(rows[p]) for p in parts] if len(parts) == 1 else [(None, *self.pools(rows[p])[1:]) for p in parts]
+        high, mean = (np.concatenate([x[k] for x in pooled]) for k in (1, 2))
         n = np.diff(np.append(begins, len(rows)))
         doc = np.repeat(np.arange(len(begins)), n)
         features = self.combine(high, mean, begins)
@@ -112,27 +116,30 @@ class Network:
         to_high = (a / n[:, None])[doc]
         to_mean = (c / n[:, None])[doc]
         # The maximum over chunks passes its gradient to the first chunk that has it.
-        for pooled, grad, to in ((high, b, to_high), (mean, d, to_mean)):
-            top = np.maximum.reduceat(pooled, begins)[doc]
-            is_top = pooled == top
+        for own, grad, to in ((high, b, to_high), (mean, d, to_mean)):
+            top = np.maximum.reduceat(own, begins)[doc]
+            is_top = own == top
             seen = np.cumsum(is_top, 0)
             base = np.concatenate([np.zeros((1, FILTERS), seen.dtype), seen])[begins][doc]
             to += np.where(is_top & (seen - base == 1), grad[doc], 0)
-        count = np.clip((rows != 256).sum(1) - WIDTH + 1, 1, STEP)
-        g = np.where(x > 0, (to_mean / count[:, None])[:, None, :], np.float32(0))
-        place = x.argmax(1)
-        k, f = np.indices(place.shape)
-        g[k, place, f] += np.where(high > 0, to_high, 0)
-        tables = np.zeros_like(self.tables)
-        flat = g.reshape(-1, FILTERS)
-        for j in range(WIDTH):
-            values = rows[:, j : j + STEP].reshape(-1)
-            for f in range(FILTERS):
-                tables[j, :, f] = np.bincount(values, flat[:, f], 257)
+        tables, bias = np.zeros_like(self.tables), np.zeros(FILTERS, np.float32)
+        for p, (x, *_) in zip(parts, pooled):
+            x = self.pools(rows[p])[0] if x is None else x
+            count = np.clip((rows[p] != 256).sum(1) - WIDTH + 1, 1, STEP)
+            g = np.where(x > 0, (to_mean[p] / count[:, None])[:, None, :], np.float32(0))
+            place = x.argmax(1)
+            k, f = np.indices(place.shape)
+            g[k, place, f] += np.where(high[p] > 0, to_high[p], 0)
+            flat = g.reshape(-1, FILTERS)
+            for j in range(WIDTH):
+                values = rows[p, j : j + STEP].reshape(-1)
+                for f in range(FILTERS):
+                    tables[j, :, f] += np.bincount(values, flat[:, f], 257)
+            bias += flat.sum(0)
         centred = (features - self.at) / self.spread
-        return [tables + DECAY * self.tables, flat.sum(0), (error @ centred) + DECAY * self.weights, error.sum(keepdims=True)]
+        return [tables + DECAY * self.tables, bias, (error @ centred) + DECAY * self.weights, error.sum(keepdims=True)]
 
-    def score(self, data: np.ndarray, offsets: np.ndarray, block: int = 256) -> np.ndarray:
+    def score(self, data: np.ndarray, offsets: np.ndarray, block: int = 128) -> np.ndarray:
         """Scores of whole texts that lie one after the other in `data`."""
         sizes = np.diff(offsets)
         n = np.maximum(1, -(-np.maximum(sizes - WIDTH + 1, 0) // STEP))
@@ -156,7 +163,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chunks: int = MAX_CHUNKS, label_col: str = "quality", fold=held_out) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label_col: str = "quality", fold=held_out) -> Network | None:
     """Fits a network on a bounded sample of labelled documents outside the held-out fold; None without any."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     usable = usable.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold(F.col("doc_id")))
@@ -164,23 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chun
     hashed = usable.withColumn("h", F.xxhash64("doc_id")).distinct()
     picked = hashed.where("label = 1").orderBy("h", "doc_id").limit(max_rows // 2).unionByName(hashed.where("label = 0").orderBy("h", "doc_id").limit(max_rows // 2))
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, ends = utf8(batch.column("text"))
-            out = []
-            for a, b in zip(ends[:-1], ends[1:]):
-                rows = cut(data[a:b])
-                if len(rows) > max_chunks:
-                    rows = rows[np.linspace(0, len(rows) - 1, max_chunks).astype(int)]
-                out.append(rows.astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "rows"])
-
-    sample = arrow_map(doc_columns(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label"), chunks, "doc_id long, label int, rows binary")
-    got = sorted(sample.limit(2 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, r.rows))
+    sample = doc_columns(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    got = sorted(sample.limit(2 * max_rows).collect(), key=lambda r: (r.doc_id, r.label, r.text))
     if not got:
         return None
     network = Network()
-    texts = [np.frombuffer(r.rows, "<i2").reshape(-1, CHUNK) for r in got]
+    texts = [cut(np.frombuffer(r.text, np.uint8)) for r in got]
     network.fit(texts, np.array([r.label for r in got], np.float32))
     ones, every = usable.agg(F.sum("label"), F.count("*")).first()
     network.shift += np.float32(np.log((ones + 1) / (every - ones + 1)))

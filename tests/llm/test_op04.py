@@ -27,7 +27,9 @@ def test_scores_cover_the_whole_text():
     assert net.score(longer, np.array([0, len(longer)]))[0] != got[-1]
 
 
-def test_gradient():
+@pytest.mark.parametrize("held", [512, 2])
+def test_gradient(monkeypatch, held):
+    monkeypatch.setattr(Q, "HELD", held)
     net, r = Q.Network(), np.random.default_rng(1)
     net.tables, net.weights = net.tables.astype(np.float64), net.weights.astype(np.float64)
     rows = np.concatenate([Q.cut(r.integers(0, 256, n).astype(np.uint8)) for n in (600, 40)])
@@ -58,7 +60,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "long " * 50_000), (3, "a"), (3, "a")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (3, "long " * 50_000), (3, "a"), (3, "a")], "doc_id long, text string").selectExpr("*", "'x' as held_out", "1 as score", "'y' as label", "2 as quality")
     labels = spark.createDataFrame([(1, None), (2, 1), (None, 0), (3, 5)], "doc_id long, quality int")
     for network in (Q.train(docs, labels), None):
         rows = Q.classify(docs, network).collect()
