@@ -44,8 +44,8 @@ FOOTER = "<QQQ8s"
 NO_ID = -(1 << 63)
 #: The dictionary is trained on at most this many texts, and is at most this large.
 SAMPLE_ROWS, DICTIONARY_BYTES = 1000, 32 << 10
-#: At most so many bytes of a text go into the training sample.
-SAMPLE_BYTES = 4096
+#: A sampled text gives so many spans of ids, evenly spread over the whole text, of so many bytes each at most.
+SAMPLE_SPANS, SPAN_BYTES = 4, 1024
 LEVEL = 1
 #: Words of ASCII and Latin-1 letters; a line's end separates words as a space does.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -149,17 +149,32 @@ def id_width(tokenizer) -> np.dtype:
     return np.dtype("<u2") if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
 
 
+def spread_spans(ids: bytes, width: int) -> list[bytes]:
+    """Spans of a text's ids from its begin to its end; all ids of a short one."""
+    if len(ids) <= SAMPLE_SPANS * SPAN_BYTES:
+        return [ids]
+    last = (len(ids) - SPAN_BYTES) // width
+    begins = [last * k // (SAMPLE_SPANS - 1) * width for k in range(SAMPLE_SPANS)]
+    return [ids[b : b + SPAN_BYTES] for b in begins]
+
+
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
-    """A dictionary from the id arrays of a bounded sample: the texts with the smallest hashes of their doc_id."""
+    """A dictionary from id arrays of a bounded sample: the texts with the smallest hashes of their doc_id, encoded whole,
+    of which spans are taken."""
     rows = doc_columns(docs).select("text", F.xxhash64("doc_id").alias("h"))
+    width = id_width(load(vocabulary))
+    tail = np.array([end_id], width).tobytes()
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(vocabulary)
+        for batch in slices(batches, 8 << 20):
+            flat, ends = encoder.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([spread_spans(flat[a:b].tobytes() + tail, width.itemsize) for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.binary()))], ["spans"])
+
     # Only hashes are sorted; texts come up to the largest hash of the sample, and rows that repeat it are cut off.
     least = [r.h for r in rows.select("h").orderBy("h").limit(SAMPLE_ROWS).collect()]
-    taken = rows.where(F.col("h") <= least[-1]).select(F.left("text", F.lit(SAMPLE_BYTES)).alias("text")).limit(SAMPLE_ROWS).collect() if least else []
-    tokenizer = load(vocabulary)
-    width = id_width(tokenizer)
-    tail = np.array([end_id], width).tobytes()
-    ids, ends = WordEncoder(tokenizer, width).encode(pa.array([r.text for r in taken], pa.string()))
-    samples = [ids[a:b].tobytes() + tail for a, b in zip(ends[:-1], ends[1:])]
+    taken = arrow_map(rows.where(F.col("h") <= least[-1]).select("text"), spans, "spans array<binary>").limit(SAMPLE_ROWS).collect() if least else []
+    samples = [bytes(x) for x in sorted(x for r in taken for x in r.spans)]
     total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), samples, level=LEVEL).as_bytes()
