@@ -245,7 +245,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     rows, ranges = _rows(docs), None
     parts = partitions(docs.sparkSession)
     for width in CELLS:
-        found = _repeated(_blocks(rows, length) if width is None else _cells(rows, found, width, length))
+        found = _repeated(_blocks(rows, length) if width is None else materialize(_cells(rows, found, width, length), "cells"))
         copies = materialize(found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER, "n")).alias("first")), "copies")
         differ = materialize(copies.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("c").alias("every")), "anchors")
         wide = differ.where(F.col("different") > DIFFERENT)
@@ -269,7 +269,9 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
         ranges = taken if ranges is None else ranges.unionByName(taken)
         if not several:
             break
-        found = join_counted(found, wide.withColumnRenamed("every", "c"), ["anchor"], list(ORDER)).drop("different", "c")
+        found = materialize(join_counted(found, wide.withColumnRenamed("every", "c"), ["anchor"], list(ORDER)).drop("different", "c"), "wide")
+        # The next turns need no other texts.
+        rows = materialize(_with_text(rows, found.select("doc_id", "row").distinct()), "texts")
     return ranges
 
 
