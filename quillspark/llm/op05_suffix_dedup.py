@@ -14,10 +14,11 @@ windows with the same anchor are a block. Steps:
    their suffixes are ranked by prefix doubling to `length` bytes, and previous and next smaller positions in suffix order
    tell which windows have an earlier (or, from the other end, a later) match of `length` bytes or more. A block of weight
    two or more takes part with two positions. All copies of a block get what was found for it.
-3. Anchors with more different blocks than `DIFFERENT` don't fit one suffix array. Their blocks are cut by the place of the
-   anchor in the window into cells of CELLS[1] windows, later of one, and each cell gets a longer key: all bytes that its
-   windows share. Equal windows have equal keys, so cells go through steps 1 and 2 like blocks; a cell of one window has
-   a key of `length` bytes, under which nothing differs.
+3. Anchors with more different blocks than `DIFFERENT` don't fit one suffix array. One copy of each of their blocks is cut
+   by the place of the anchor in the window into cells of CELL windows, under a longer key: all bytes that a cell's windows
+   share. Equal windows have equal keys, so cells go through step 2 like blocks, with their blocks' weights. Where a key
+   still has too many different cells, they are cut into single windows, whose key is all of their bytes: nothing differs
+   under such a key, and its weight alone is the number of its positions.
 
 Copies of a hot block, and blocks of a hot anchor, are joined in parts (`join_counted`). Ranges go back to their texts by
 one join. Defined cases: null text is the empty text and has nothing to remove; rows are told apart by doc_id and
@@ -46,8 +47,8 @@ PLACE_BITS = 22
 PIECE = 1 << 21
 #: Different blocks of an anchor that one suffix array takes: about 1 MB of bytes.
 DIFFERENT = 4096
-#: Windows of a cell by turn; the first turn takes whole blocks.
-CELLS = (None, 11, 1)
+#: Windows of a cell.
+CELL = 11
 BUCKET_BYTES = 1 << 20
 #: `at`: how far behind the first window's begin the anchor lies.
 BLOCKS = "anchor long, digest long, doc_id long, row long, begin long, n int, at int"
@@ -131,24 +132,20 @@ def cells(begin: np.ndarray, n: np.ndarray, at: np.ndarray, width: int) -> tuple
     return block, begin[block] + at[block] - first, first - last + 1, first, cell
 
 
-def _cells(rows: DataFrame, found: DataFrame, width: int, length: int) -> DataFrame:
-    """BLOCKS of the cells of blocks, under keys of all bytes that a cell's windows share."""
-    per_row = found.groupBy("doc_id", "row").agg(*(F.collect_list(c).alias(c) for c in ("begin", "n", "at")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512 << 10):
-            data, offsets = utf8(batch.column("text"))
-            body = data.tobytes()
-            lists = [batch.column(c) for c in ("begin", "n", "at")]
-            begin, n, at = (x.flatten().to_numpy().astype(np.int64) for x in lists)
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists[0]).to_numpy())
-            block, first, size, place, cell = cells(begin + offsets[owner], n, at, width)
-            anchor = first + place
-            shared = anchor - cell * width, anchor + length - np.minimum((cell + 1) * width - 1, length - GRAM)
-            key = np.fromiter((xxhash.xxh3_64_intdigest(body[a:b], c) for a, b, c in zip(*(x.tolist() for x in (*shared, cell)))), np.uint64, len(cell))
-            yield _batch(key, body, first, size, place, length, owner[block], offsets, batch)
-
-    return arrow_map(_with_text(rows, per_row, "begin", "n", "at"), run, BLOCKS)
+def cut_cells(blocks: list[dict], width: int, length: int) -> pa.RecordBatch:
+    """Rows of PARTS: the cells of blocks (with their bytes), under keys of all bytes that a cell's windows share."""
+    begin = np.zeros(len(blocks), np.int64)
+    n, at = (np.array([b[k] for b in blocks], np.int64) for k in ("n", "at"))
+    block, first, size, place, cell = cells(begin, n, at, width)
+    low = first + place - cell * width
+    high = first + place + length - np.minimum((cell + 1) * width - 1, length - GRAM)
+    out = []
+    for k, a, m, p, x, y, c in zip(*(v.tolist() for v in (block, first, size, place, low, high, cell))):
+        b = blocks[k]
+        body = b["bytes"]
+        part = body[a : a + m + length - 1]
+        out.append((xxhash.xxh3_64_intdigest(body[x:y], c) - (1 << 63), xxhash.xxh3_64_intdigest(part, 5) - (1 << 63), b["c"], b["doc_id"], b["row"], b["begin"] + a, m, p, part, b["block_anchor"], b["block_digest"], b["off"] + a))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([],) * len(PART_TYPES), PART_TYPES)], PART_NAMES)
 
 
 def _with_text(rows: DataFrame, per_row: DataFrame, *columns: str) -> DataFrame:
@@ -158,15 +155,18 @@ def _with_text(rows: DataFrame, per_row: DataFrame, *columns: str) -> DataFrame:
 
 
 ORDER = ("doc_id", "row", "begin")
-FETCHED = "anchor long, digest long, c long, doc_id long, row long, begin long, bytes binary"
+#: Blocks or their cells with bytes: key, content, weight, place in a text, windows, the anchor's place, and of which block
+#: they are which part. The key of a block is its anchor.
+PARTS = "anchor long, digest long, c long, doc_id long, row long, begin long, n int, at int, bytes binary, block_anchor long, block_digest long, off int"
+PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+PART_TYPES = (pa.int64(),) * 6 + (pa.int32(),) * 2 + (pa.binary(),) + (pa.int64(),) * 2 + (pa.int32(),)
 HITS = "anchor long, digest long, c long, begins array<int>, ends array<int>"
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted blocks."""
-    per_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "digest", "c", "begin", "n")).alias("blocks"))
-    kinds = (pa.int64(),) * 6 + (pa.binary(),)
-    names = [x.split()[0] for x in FETCHED.split(", ")]
+    """(PARTS, hot) of the wanted blocks."""
+    fields = ("anchor", "digest", "c", "begin", "n", "at", "hot")
+    per_row = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*fields)).alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512 << 10):
@@ -174,14 +174,23 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             lists = batch.column("blocks")
             owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
             flat = lists.flatten()
-            anchor, digest, c, begin, n = (flat.field(k) for k in range(5))
+            anchor, digest, c, begin, n, at, hot = (flat.field(k) for k in range(len(fields)))
             first = begin.to_numpy() + offsets[owner]
-            body = data.tobytes()
+            body, of = data.tobytes(), pa.array(owner)
             bytes_of = pa.array([body[a:b] for a, b in zip(first.tolist(), (first + n.to_numpy() + length - 1).tolist())], pa.binary())
-            of = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip((anchor, digest, c, batch.column("doc_id").take(of), batch.column("row").take(of), begin, bytes_of), kinds)], names)
+            columns = (anchor, digest, c, batch.column("doc_id").take(of), batch.column("row").take(of), begin, n, at, bytes_of, anchor, digest, pa.array(np.zeros(len(owner), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(x.cast(k) for x, k in zip(columns, PART_TYPES)), hot], [*PART_NAMES, "hot"])
+
+    return arrow_map(_with_text(rows, per_row, "blocks"), run, PARTS + ", hot boolean")
+
+
+def _cut(parts: DataFrame, width: int, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                yield cut_cells(batch.slice(begin, 512).to_pylist(), width, length)
 
-    return arrow_map(_with_text(rows, per_row, "blocks"), run, FETCHED)
+    return arrow_map(parts.select(*PART_NAMES), run, PARTS)
 
 
 def repeated_windows(texts: list[bytes], weights: list[int], length: int, keep: str) -> list[np.ndarray]:
@@ -232,47 +241,85 @@ def _suffixes(length: int, keep: str):
     return run
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """The blocks whose anchor occurs twice or more."""
-    counts = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
-    return materialize(join_counted(found, counts, ["anchor"], list(ORDER)).drop("c"), "blocks")
+def _other(c: str = "first"):
+    """Whether a row is another copy than the first."""
+    return ~F.struct(*ORDER).eqNullSafe(F.struct(*(F.col(f"{c}.{x}") for x in ORDER)))
+
+
+def _ranges(taken: DataFrame, length: int, keep: str) -> DataFrame:
+    """`begins` and `ends` of a part's removed ranges from those of its content's first copy: other copies go whole with "first"."""
+    if keep == "none":
+        return taken
+    whole = F.col("first").isNotNull() & _other()
+    return taken.withColumns({"begins": F.when(whole, F.array(F.lit(0))).otherwise(F.col("begins")), "ends": F.when(whole, F.array(F.col("n") + (length - 1))).otherwise(F.col("ends"))})
+
+
+def _hits(parts: DataFrame, length: int, keep: str) -> DataFrame:
+    n = partitions(parts.sparkSession)
+    return arrow_map(parts.repartition(n, "anchor").sortWithinPartitions("anchor", *ORDER), _suffixes(length, keep), HITS)
+
+
+def _wide_hits(blocks: DataFrame, length: int, keep: str) -> DataFrame:
+    """HITS of blocks whose anchors have too many different ones, by cells and single windows."""
+    found, parts = None, blocks
+    for width in (CELL, 1):
+        parts = materialize(_cut(parts, width, length), "cells")
+        copies = parts.groupBy("anchor", "digest").agg(F.sum("c").alias("weight"), F.count("*").alias("c"), F.min(F.struct(*ORDER)).alias("first"))
+        copies = materialize(copies, "cell-copies")
+        if width == 1:
+            # Under a key of a whole window nothing differs.
+            twice = F.col("weight") > 1 if keep == "none" else F.lit(False)
+            whole = F.when(twice, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+            hits = copies.select("anchor", "digest", "c", "first", whole.alias("begins"), F.transform(whole, lambda x: x + length).alias("ends"))
+            wide = None
+        else:
+            differ = materialize(copies.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("c").alias("every")), "cell-keys")
+            wide = differ.where(F.col("different") > DIFFERENT).select("anchor", F.col("every").alias("c"))
+            few = join_counted(copies, differ.drop("every"), ["anchor"], ["digest"], "different").where(F.col("different") <= DIFFERENT)
+            # The bytes of one cell of each content.
+            firsts = join_counted(parts.drop("c"), few.select("anchor", "digest", "c", "weight", "first"), ["anchor", "digest"], list(ORDER)).where(~_other())
+            hits = _hits(firsts.withColumn("c", F.col("weight")).dropDuplicates(["anchor", "digest"]), length, keep).drop("c").join(few.select("anchor", "digest", "c", "first"), ["anchor", "digest"], "right" if keep == "first" else "inner")
+            hits = hits.withColumns({x: F.coalesce(x, F.array().cast("array<int>")) for x in ("begins", "ends")})
+        hits = materialize(hits, "cell-hits")
+        taken = _ranges(join_counted(parts.drop("bytes", "c"), hits, ["anchor", "digest"], list(ORDER)), length, keep).where(F.size("begins") > 0)
+        move = lambda c: F.transform(c, lambda x: x + F.col("off"))
+        taken = taken.select(F.col("block_anchor").alias("anchor"), F.col("block_digest").alias("digest"), move("begins").alias("begins"), move("ends").alias("ends"))
+        found = taken if found is None else found.unionByName(taken)
+        if wide is None or wide.isEmpty():
+            break
+        parts = join_counted(parts.withColumnRenamed("c", "weight"), wide, ["anchor"], list(ORDER)).withColumn("c", F.col("weight")).select(*PART_NAMES)
+    # A block's cells are as many as its windows at most.
+    found = found.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return found.join(blocks.select("anchor", "digest", "c"), ["anchor", "digest"]).select("anchor", "digest", "c", "begins", "ends")
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
     """(doc_id, row, begin, end) of bytes to remove; ranges may overlap."""
     if keep not in ("none", "first") or length < 2 * GRAM:
         raise ValueError(f'keep is "none" or "first", length at least {2 * GRAM}')
-    rows, ranges = _rows(docs), None
-    parts = partitions(docs.sparkSession)
-    for width in CELLS:
-        found = _repeated(_blocks(rows, length) if width is None else materialize(_cells(rows, found, width, length), "cells"))
-        copies = materialize(found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER, "n")).alias("first")), "copies")
-        differ = materialize(copies.groupBy("anchor").agg(F.count("*").alias("different"), F.sum("c").alias("every")), "anchors")
-        wide = differ.where(F.col("different") > DIFFERENT)
-        several = width != CELLS[-1] and not wide.isEmpty()
-        wanted = copies
-        if several:
-            wanted = join_counted(copies, differ, ["anchor"], ["digest"], "different").where(F.col("different") <= DIFFERENT)
-        fetched = _fetch(rows, wanted.select("anchor", "digest", "c", "first.*"), length)
-        hits = arrow_map(fetched.repartition(parts, "anchor").sortWithinPartitions("anchor", *ORDER), _suffixes(length, keep), HITS)
-        hits = materialize(hits, "hits")
-        if keep == "first":
-            hits = hits.join(copies.where("c > 1").select("anchor", "digest", "first"), ["anchor", "digest"], "left")
-        taken = join_counted(found, hits, ["anchor", "digest"], list(ORDER))
-        begins, ends = F.col("begins"), F.col("ends")
-        if keep == "first":
-            other = F.col("first").isNotNull() & ~F.struct(*ORDER).eqNullSafe(F.struct(*(F.col(f"first.{c}") for c in ORDER)))
-            begins = F.when(other, F.array(F.lit(0))).otherwise(begins)
-            ends = F.when(other, F.array(F.col("n") + (length - 1))).otherwise(ends)
-        taken = taken.select("doc_id", "row", "begin", F.explode(F.arrays_zip(begins.alias("b"), ends.alias("e"))).alias("r"))
-        taken = taken.select("doc_id", "row", (F.col("begin") + F.col("r.b")).alias("begin"), (F.col("begin") + F.col("r.e")).alias("end"))
-        ranges = taken if ranges is None else ranges.unionByName(taken)
-        if not several:
-            break
-        found = materialize(join_counted(found, wide.withColumnRenamed("every", "c"), ["anchor"], list(ORDER)).drop("different", "c"), "wide")
-        # The next turns need no other texts.
-        rows = materialize(_with_text(rows, found.select("doc_id", "row").distinct()), "texts")
-    return ranges
+    rows = _rows(docs)
+    found = _blocks(rows, length)
+    counts = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    found = materialize(join_counted(found, counts, ["anchor"], list(ORDER)).drop("c"), "blocks")
+    copies = materialize(found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER, "n", "at")).alias("first")), "copies")
+    differ = materialize(copies.groupBy("anchor").agg(F.count("*").alias("different")), "anchors")
+    wanted = join_counted(copies, differ, ["anchor"], ["digest"], "different")
+    wanted = wanted.select("anchor", "digest", "c", "first.*", (F.col("different") > DIFFERENT).alias("hot"))
+    fetched = _fetch(rows, wanted, length)
+    several = not differ.where(F.col("different") > DIFFERENT).isEmpty()
+    fetched = materialize(fetched, "fetched") if several else fetched
+    # Rows that repeat both doc_id and text give their blocks once each; one of them is enough.
+    hits = _hits(fetched.where("not hot"), length, keep)
+    if several:
+        hits = hits.unionByName(_wide_hits(fetched.where("hot").drop("hot").dropDuplicates(["anchor", "digest"]), length, keep))
+    hits = hits.groupBy("anchor", "digest", "c").agg(F.first("begins").alias("begins"), F.first("ends").alias("ends"))
+    if keep == "first":
+        hits = hits.join(copies.where("c > 1").select("anchor", "digest", F.col("c").alias("copies"), "first"), ["anchor", "digest"], "full")
+        hits = hits.select("anchor", "digest", F.coalesce("c", "copies").alias("c"), "first", *(F.coalesce(x, F.array().cast("array<int>")).alias(x) for x in ("begins", "ends")))
+    hits = materialize(hits, "hits")
+    taken = _ranges(join_counted(found, hits, ["anchor", "digest"], list(ORDER)), length, keep)
+    taken = taken.select("doc_id", "row", "begin", F.explode(F.arrays_zip(F.col("begins").alias("b"), F.col("ends").alias("e"))).alias("r"))
+    return taken.select("doc_id", "row", (F.col("begin") + F.col("r.b")).alias("begin"), (F.col("begin") + F.col("r.e")).alias("end"))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
