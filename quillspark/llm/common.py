@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -175,14 +175,15 @@ def places(n: int, *parts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mask)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB (one longer row stays whole), so workers hold little besides their own state."""
-    now = str(spark.conf.get(BATCH_CONF))
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Arrow batches of at most `limit` bytes (one longer row stays whole), so that executors hold little beside their own
+    state; a smaller setting of the session stays."""
+    now = str(spark.conf.get(BATCH_CONF)).rstrip("b")
+    if not now.isdigit() or int(now) >= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(limit))
 
 
-def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Only id and text, so that further columns of any name do no harm."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, batch_bytes)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

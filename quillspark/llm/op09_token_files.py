@@ -47,6 +47,8 @@ SAMPLE_ROWS, DICTIONARY_BYTES = 1000, 32 << 10
 #: A sampled text gives so many spans of ids, evenly spread over the whole text, of so many bytes each at most.
 SAMPLE_SPANS, SPAN_BYTES = 4, 1024
 LEVEL = 1
+#: Bytes of text that go through the word tables together.
+TOGETHER = 8 << 20
 #: Words of ASCII and Latin-1 letters; a line's end separates words as a space does.
 PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 SPACES = bytes.maketrans(b"\n", b" ")
@@ -161,13 +163,13 @@ def spread_spans(ids: bytes, width: int) -> list[bytes]:
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
     """A dictionary from id arrays of a bounded sample: the texts with the smallest hashes of their doc_id, encoded whole,
     of which spans are taken."""
-    rows = doc_columns(docs).select("text", F.xxhash64("doc_id").alias("h"))
+    rows = doc_columns(docs, batch_bytes=TOGETHER).select("text", F.xxhash64("doc_id").alias("h"))
     width = id_width(load(vocabulary))
     tail = np.array([end_id], width).tobytes()
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, TOGETHER):
             flat, ends = encoder.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array([spread_spans(flat[a:b].tobytes() + tail, width.itemsize) for a, b in zip(ends[:-1], ends[1:])], pa.list_(pa.binary()))], ["spans"])
 
@@ -195,7 +197,7 @@ def _bounds(docs: DataFrame, shards: int) -> list[int]:
 def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Writes the shards; returns the manifest (shard, uri, n_docs, n_ids, dictionary), itself kept in the shared folder."""
     spark = docs.sparkSession
-    docs = doc_columns(docs)
+    docs = doc_columns(docs, batch_bytes=TOGETHER)
     shards = shards or partitions(spark)
     width = id_width(load(vocabulary))
     dictionary = train_dictionary(docs, vocabulary, end_id)
@@ -213,7 +215,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = No
         shared.precompute_compress(level=LEVEL)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         tail = np.array([end_id], width).tobytes()
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, TOGETHER):
             flat, ends = encoder.encode(batch.column("text"))
             ids = [flat[a:b].tobytes() + tail for a, b in zip(ends[:-1], ends[1:])]
             key = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
