@@ -85,16 +85,18 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 HOT_SHARES, HOT_ROWS = 1000, 1000
 
 
-def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], count: str = "c") -> DataFrame:
-    """Inner join of rows with a table of one row for each key, whose column `count` has the key's number of rows.
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], count: str = "c", counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose column `count` has the key's number of rows; with
+    `counts`, that table has them, and `per_key` may have several rows a key.
 
-    Rows of hot keys are dealt out by `spread_by`, and the key's one row is repeated for each part, so no task gets more
-    than about a thousandth of the rows of one key. Only the hot keys are broadcast. `per_key` is read several times, so it
-    should be a written table.
+    Rows of hot keys are dealt out by `spread_by`, and the key's own rows are repeated for each part, so no task gets more
+    than about a thousandth of the rows of one key. Only the hot keys are broadcast. The table of counts is read several
+    times, so it should be a written one.
     """
-    total = per_key.agg(F.sum(count)).first()[0] or 0
+    counts = per_key if counts is None else counts
+    total = counts.agg(F.sum(count)).first()[0] or 0
     limit = max(total // HOT_SHARES, HOT_ROWS)
-    hot = per_key.where(F.col(count) > limit).select(*keys, F.ceil(F.col(count) / limit).cast("int").alias("__parts"))
+    hot = counts.where(F.col(count) > limit).select(*keys, F.ceil(F.col(count) / limit).cast("int").alias("__parts"))
     if hot.isEmpty():
         return rows.join(per_key, keys)
     part = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("__parts")), F.lit(0)).cast("int")

@@ -199,7 +199,8 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, roots: DataFrame, percent
     few = rows.join(most, "token").where("root != most").select("token", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("root").alias("to"))
     least = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent) - 1e-9)
     reach = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= least
-    return few.join(rows, "token").where((F.col("root") != F.col("to")) & _sizes_fit(F.col("n"), F.col("m"), percent) & reach).select(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")).distinct()
+    counts = materialize(rows.groupBy("token").agg(F.count("*").alias("c")), "open-counts")
+    return join_counted(rows, few, ["token"], ["rep"], counts=counts).where((F.col("root") != F.col("to")) & _sizes_fit(F.col("n"), F.col("m"), percent) & reach).select(F.least("other", "rep").alias("a"), F.greatest("other", "rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
