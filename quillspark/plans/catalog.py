@@ -14,6 +14,7 @@ from quillspark.operators import evaluate as E
 from quillspark.operators import search as R
 from quillspark.plans import corpus as P
 from quillspark.session import spread, table
+from quillspark.streaming import ingest as I
 
 QUERIES = {}
 
@@ -432,6 +433,33 @@ def latest_job_state(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(last.alias("s")).select("user_id", "s.*")
 
 
+@query
+def job_states(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return I.latest_states(log).select("job_id", "status", shown("updated_at"), shown("created_at"))
+
+
+@query
+def not_indexed(spark, sf_dir):
+    """Files whose name, markdown name or content the manifest doesn't know."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    content = lambda n: digest(F.concat(F.lit("content "), n.cast("string")))
+    files = part.select(F.concat(F.lit("File "), key.cast("string"), F.when(key % 2 == 0, ".PDF").otherwise(".docx")).alias("name"), content(key).alias("sha256"))
+    manifest = part.select(F.concat(F.lit("file "), (key * 3).cast("string"), F.when(key % 4 == 0, ".pdf").otherwise(".md")).alias("name"), F.when(key % 5 == 0, "").otherwise(content(key * 7)).alias("sha256"))
+    return I.not_indexed(files, manifest).select("name", "sha256")
+
+
+@query
+def header_fields(spark, sf_dir):
+    """Act, number and year that a document's head names."""
+    key = F.col("o_orderkey")
+    act = F.when(key % 4 == 0, "INSTRUÇÃO  NORMATIVA").when(key % 4 == 1, "Resolução").when(key % 4 == 2, "Nota Técnica SEI").otherwise("Anything")
+    number = F.when(key % 3 == 0, F.concat(F.lit("1."), F.lpad((key % 1000).cast("string"), 3, "0"))).otherwise(key.cast("string"))
+    text = F.concat(F.lit("Ministry\n"), act, F.lit(" No "), number, F.lit(", de "), F.year("o_orderdate").cast("string"), F.lit(" for all"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(C.header_act(text), F.lit("")).alias("act"), C.header_number(text).alias("number"), C.header_year(text).alias("year"))
+
+
 @query
 def stability_check(spark, sf_dir):
     before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -483,6 +511,14 @@ def run_summary(spark, sf_dir):
     return E.run_summary(results, ["lang"])
 
 
+@query
+def reference_text(spark, sf_dir):
+    key = F.col("doc_id")
+    expected = F.array(F.lit("a"), key.cast("string"))
+    doc = F.when(key % 3 != 0, F.concat(F.lit("DOC "), key.cast("string")))
+    return table(spark, sf_dir, "labels").select("doc_id", E.reference_text(expected, doc).alias("reference"))
+
+
 # Minor operators
 
 

@@ -184,6 +184,10 @@ ORACLES: dict[str, str] = {
     "failure_classes": "select event_id, case when contains(m, '401') or contains(m, 'unauthorized') or contains(m, 'invalid api key') or contains(m, 'no auth credentials') then 'credential' when contains(m, '402') or contains(m, 'payment required') or contains(m, 'more credits') or contains(m, 'insufficient credits') or contains(m, 'insufficient_quota') or contains(m, 'billing') then 'credit' when contains(m, '429') or contains(m, 'rate limit') or contains(m, 'too many requests') or contains(m, 'quota exceeded') then 'rate_limit' when contains(m, 'context length') or contains(m, 'context_length_exceeded') or contains(m, 'maximum context') or contains(m, 'prompt tokens limit') or contains(m, 'too many tokens') then 'too_long' when contains(m, 'timeout') or contains(m, 'timed out') or contains(m, 'connection') or contains(m, 'network') or contains(m, 'unreachable') or contains(m, 'temporarily unavailable') or contains(m, '503') or contains(m, '502') then 'communication' else 'unknown' end as cause from (select event_id, lower('Error ' || event_id || ' ' || event_type || case event_id % 5 when 0 then ' Timed out' when 1 then ' Billing' when 2 then ' Rate limit' else '' end) as m from events)",
     "history_window": f"select conv_id, string_agg(role || ': ' || left(coalesce(text, ''), 1000), {NL} order by back desc) as history from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as back from conversations) where back <= 8 group by 1",
     "latest_job_state": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
+    "job_states": "select user_id as job_id, arg_max(event_type, struct_pack(u := ts, s := event_type)) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as updated_at, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as created_at from events group by 1",
+    "not_indexed": r"with f as (select 'File ' || p_partkey || case when p_partkey % 2 = 0 then '.PDF' else '.docx' end as name, md5('content ' || p_partkey) as sha256 from part), m as (select 'file ' || (p_partkey * 3) || case when p_partkey % 4 = 0 then '.pdf' else '.md' end as name, case when p_partkey % 5 = 0 then '' else md5('content ' || (p_partkey * 7)) end as sha256 from part) select name, sha256 from f where lower(name) not in (select lower(name) from m) and regexp_replace(lower(name), '\.[^.]*$', '.md') not in (select lower(name) from m) and sha256 not in (select sha256 from m where sha256 <> '')",
+    "header_fields": "select o_orderkey, case o_orderkey % 4 when 0 then 'instrucao normativa' when 1 then 'resolucao' when 2 then 'nota tecnica sei' else '' end as act, case when o_orderkey % 3 = 0 then '1' || lpad((o_orderkey % 1000)::varchar, 3, '0') else o_orderkey::varchar end as number, year(o_orderdate)::varchar as year from orders",
+    "reference_text": "select doc_id, 'Expected: a, ' || doc_id || '.' || case when doc_id % 3 <> 0 then ' Document: DOC ' || doc_id || '.' else '' end as reference from labels",
     "stability_check": "select event_id, user_id, coalesce(event_type = lag(event_type) over w, false) as stable from events window w as (partition by user_id order by ts, event_id)",
     "keep_generations": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 2",
     "coverage": f"with v as (select item_id as case_id, unnest(list_distinct({keywords('text')})) as value from benchmark), t as (select {collapse(points(fold('text')))} as t from documents), w as (select distinct value, {collapse(points(fold('value')))} as x from v), k as materialized (select value from w where exists (select 1 from t where contains(t, x))), f as (select distinct case_id, value from v join k using (value)) select case_id, n_expected, n_found, round(n_found::double / n_expected, 6) as coverage from (select v.case_id, count(*) as n_expected, count(f.value) as n_found from v left join f on v.case_id = f.case_id and v.value = f.value group by 1)",
