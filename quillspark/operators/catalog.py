@@ -16,6 +16,25 @@ ACT_NUMBER = r"(?:^|\s)n(?:o|\.)?\s*(\d{1,3}(?:\.\d{3})+|\d+)\b"
 ACT_YEAR = r"\b((?:19|20)\d{2})\b"
 PROCESS = r"^\d{5}\.\d{7}"
 HEADER_CHARS, NUMBER_CHARS = 4000, 1500
+# The folder of new files, the mark of technical notes, the type without a folder.
+ENTRY_FOLDER, NOTE_MARK, NO_FOLDER = "entrada", "nota_tecnica", "DOC"
+# Sections of an answer that cite, and what a citation looks like; the first group is the citation.
+CITED_SECTIONS = (
+    r"(?idU)TRECHOS DOS DOCUMENTOS CITADOS:([\s\S]+?)(?:$|(?:###|\*\*\*))",
+    r"(?idU)FONTES CONSULTADAS:([\s\S]+?)(?:$|(?:###|\*\*\*))",
+)
+CITED_WORD = "[A-Za-zçÇáàâãéèêíìîóòôõúùûÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛ]+"
+CITED_NUMBER = r"(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4}"
+CITED_ACTS = (("a", r"instrução\s+normativa"), ("a", "resolução"), ("o", "voto"), ("a", "deliberação"), ("a", "portaria"))
+CITATIONS = (
+    rf"Documento:\s*({CITED_WORD}\s+\d+\/\d{{4}})",
+    rf"Documento:\s*({CITED_WORD}\s+\d+\s+de\s+\d{{4}})",
+    r"TRECHOS DOS DOCUMENTOS CITADOS:[\s\S]*?(?:\*\*)?Documento:\s*([^\n\"]*\d{4})(?:\*\*)?",
+    rf"TRECHOS[\s\S]+?(?:\*\*)?({CITED_WORD}\s+\d+\/\d{{4}})(?:\*\*)?",
+    *(rf"(?:^|\s)(?:{article}\s+)?({act}\s+{CITED_NUMBER})" for article, act in CITED_ACTS),
+    rf"({CITED_WORD}\s+0+(?:\d+)\/\d{{4}})",
+    r"FONTES CONSULTADAS[\s\S]*?(?:\*\*)?([^\n\"]*\d{4})(?:\*\*)?",
+)
 
 
 def file_name(path: Column) -> Column:
@@ -34,6 +53,30 @@ def infer_type(path: Column) -> Column:
     return F.coalesce(F.nullif(parse_file_name(path)["type"], F.lit("")), F.get(parts, F.lit(0)))
 
 
+def file_entry(path: Column, text: Column, by_act: Column, allowed: Column, suggested: Column | None = None) -> Column:
+    """Struct (title, type, number, year) of a document by its file name, or by what stands in for one.
+
+    TYPE-number-year names say all; a process number is of type SEI, a technical note NT, both with the stem as number; a new
+    file is classified by its text; any other takes its folder's name as type.
+    """
+    name = file_name(path)
+    stem, folder = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.coalesce(F.try_element_at(F.split(path, "/"), F.lit(-2)), F.lit(""))
+    regular, new = parse_file_name(path), F.lower(folder) == ENTRY_FOLDER
+    by_name = F.when(stem.rlike(PROCESS), F.lit("SEI")).when(F.contains(F.lower(stem), F.lit(NOTE_MARK)), F.lit("NT"))
+    by_folder = F.when(folder != "", F.upper(folder)).otherwise(NO_FOLDER)
+    text = F.coalesce(text, F.lit(""))
+    numbered = lambda kind, number, year: F.concat(kind, F.lit(" "), number, F.when(year != "", F.concat(F.lit("/"), year)).otherwise(""))
+    plain_title = F.translate(stem, "_-", " /")
+    entry = lambda title, kind, number, year: F.struct(title.alias("title"), kind.alias("type"), number.alias("number"), year.alias("year"))
+    kind, number, year = classify(path, text, by_act, allowed, suggested), header_number(text), header_year(text)
+    classified = entry(F.when(number != "", numbered(kind, number, year)).otherwise(plain_title), kind, number, year)
+    return (
+        F.when(regular["type"] != "", entry(numbered(regular["type"], regular["number"], regular["year"]), regular["type"], regular["number"], regular["year"]))
+        .when(by_name.isNull() & new, classified)
+        .otherwise(entry(plain_title, F.coalesce(by_name, by_folder), stem, F.lit("")))
+    )
+
+
 def header_act(text: Column) -> Column:
     return F.nullif(F.regexp_extract(T.collapse(T.search_normal(F.substring(text, 1, HEADER_CHARS))), ACT_NAME, 1), F.lit(""))
 
@@ -112,7 +155,18 @@ def valid_years(years: DataFrame, column: str = "year") -> DataFrame:
     return years.select(F.trim(F.col(column).cast("string")).alias("year")).where(F.col("year").rlike(r"^(?:19|20)\d{2}$")).distinct()
 
 
-def citations(text: Column, patterns: list[str]) -> Column:
-    """Distinct matches in order, without emphasis marks."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns)))
+def citations(text: Column, patterns: list[str] | None = None) -> Column:
+    """Distinct citations in order, without emphasis marks: those of the citing sections, or of the whole text if they have none.
+
+    With `patterns`, their whole matches anywhere in the text.
+    """
+
+    def within(part: Column) -> Column:
+        every = [F.regexp_extract_all(part, F.lit(p), F.lit(0)) for p in patterns] if patterns else [F.regexp_extract_all(part, F.lit(f"(?imdU){p}"), F.lit(1)) for p in CITATIONS]
+        return F.filter(F.flatten(F.array(*every)), lambda x: F.trim(x) != "")
+
+    found = within(text)
+    if not patterns:
+        cited = F.concat(*(within(F.regexp_extract(text, section, 1)) for section in CITED_SECTIONS))
+        found = T.let(cited, lambda c: F.when(F.size(c) > 0, c).otherwise(found))
     return F.array_distinct(F.filter(F.transform(found, lambda x: T.collapse(F.translate(x, "*_`", ""))), lambda x: x != ""))

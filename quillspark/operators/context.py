@@ -175,6 +175,53 @@ def hit_view(text: Column, length: int = 500) -> Column:
     return F.substring(F.coalesce(text, F.lit("")), 1, length)
 
 
+def hit_rows(hits: DataFrame, length: int = 500) -> DataFrame:
+    """(query_id, rank, type, number, year, excerpt, path, relevance): texts as excerpts, what is missing empty or 0."""
+    shown = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in ("type", "number", "year")]
+    known = F.col("score").cast("double") if "score" in hits.columns else F.lit(None).cast("double")
+    return hits.select("query_id", "rank", *shown, hit_view(F.col("text"), length).alias("excerpt"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce(known, F.lit(0.0)).alias("relevance"))
+
+
+def plain(hits: DataFrame) -> DataFrame:
+    """(query_id, context): texts by rank with an empty line between them."""
+    rows = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("t")))).alias("l"))
+    return rows.select("query_id", F.array_join(F.transform("l", lambda s: s["t"]), "\n\n").alias("context"))
+
+
+def summary_line(place: Column, text: Column, quality: Column, marks: dict[str, Column], name: Column, section: Column, chunk: Column, total: Column) -> Column:
+    """Three lines for a log: what a chunk is with its marks, its section, the start of its text without a context prefix."""
+    text = F.coalesce(text, F.lit(""))
+    body = F.regexp_replace(text, r"^\[[^\n]*\]\n", "")
+    named = [F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for m, c in marks.items()]
+    named += [F.when(T.has_table(text), F.lit("table")), F.when(quality != "document", quality)]
+    flags = F.concat_ws(", ", *named)
+    unknown = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    head = F.concat(F.lit("chunk["), place.cast("string"), F.lit("] "), unknown(name), F.lit(" part "), unknown(chunk), F.lit("/"), unknown(total), F.lit(" ("), F.length(text).cast("string"), F.lit(" chars)"), F.when(flags != "", F.concat(F.lit(" ["), flags, F.lit("]"))).otherwise(""))
+    where = F.substring(F.coalesce(F.nullif(section, F.lit("")), F.lit("-")), 1, 140)
+    return F.concat_ws("\n", head, F.concat(F.lit("  section: "), where), F.concat(F.lit("  text: "), F.replace(F.substring(body, 1, 120), F.lit("\n"), F.lit(" ")), F.lit("...")))
+
+
+def by_source(hits: DataFrame, opened: int = 3) -> DataFrame:
+    """(query_id, source_id, first, n, parts, open): a result list by source in order of first sight, the first ones open."""
+    part = F.struct("rank", "chunk", F.col("total_chunks").alias("total"), "text")
+    rows = hits.groupBy("query_id", "source_id").agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.sort_array(F.collect_list(part)).alias("parts"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("first"))
+    return rows.withColumn("open", place <= opened)
+
+
+def filter_options(rows: DataFrame, fields: list[str], every: str = "Todos") -> DataFrame:
+    """(field, value): the distinct values of each field in one pass, and one value for all of them."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))
+    found = rows.select(F.inline(pairs)).where("coalesce(value, '') != ''").distinct()
+    return found.unionByName(rows.sparkSession.createDataFrame([(c, every) for c in fields], "field string, value string"))
+
+
+def retained(turns: DataFrame, failed: Column, last: int = 10) -> DataFrame:
+    """The last turns of each conversation; those that failed aren't kept and don't count."""
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
+    return turns.where(~F.coalesce(failed, F.lit(False))).withColumn("__back", back).where(F.col("__back") <= last).drop("__back")
+
+
 def history(turns: DataFrame, last: int = 8, length: int = 1000) -> DataFrame:
     """(conv_id, history): the last turns, each cut, in order."""
     rows = turns.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))).where(F.col("back") <= last)

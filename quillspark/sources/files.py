@@ -2,8 +2,10 @@
 
 import datetime
 import io
+import re
 import zipfile
 from collections.abc import Callable
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from quillspark.functions import text as T
+from quillspark.functions.ocr import best_reading, cache_entry
 
 AUXILIARY, INBOX = "auxiliary_tables", "inbox"
 IGNORED = (AUXILIARY, ".git", "__pycache__")
@@ -270,3 +273,50 @@ def write_report(summary: DataFrame, path: str, title: str) -> DataFrame:
     cells = F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in summary.columns))
     rows = summary.select(cells.alias("c")).agg(F.sort_array(F.collect_list("c")).alias("r"))
     return rows.select(F.concat(F.lit(f"# {title}\n\n"), T.markdown_table(F.concat(F.array(F.array(*map(F.lit, summary.columns))), "r"))).alias("markdown"))
+
+
+def write_sections(sections: dict[str, DataFrame], path: str, title: str) -> DataFrame:
+    """Writes each section's rows as JSON lines in its own folder; one row with a markdown report that has a table a section."""
+    parts = []
+    for n, (name, rows) in enumerate(sections.items()):
+        body = write_report(rows, f"{path}/{re.sub(r'[^a-z0-9]+', '_', name.lower()).strip('_')}", name)
+        parts.append(body.select(F.lit(n).alias("n"), F.concat(F.lit("#"), "markdown").alias("part")))
+    every = reduce(DataFrame.unionByName, parts).agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("l"))
+    return every.select(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform("l", lambda s: s["part"]), "\n\n")).alias("markdown"))
+
+
+def _reader(prepared: Callable[[bytes], bytes], engine: Callable[[bytes], str]) -> Callable[[str], Column]:
+    def one(image):
+        try:
+            return engine(prepared(bytes(image)))
+        except Exception:  # other variants and engines may read it
+            return None
+
+    @F.pandas_udf("string")
+    def read(content: pd.Series) -> pd.Series:
+        return content.map(one).astype("object")
+
+    return read
+
+
+def recognise(images: DataFrame, prepare: list[Callable[[bytes], bytes]], engines: list[Callable[[bytes], str]], enough: float = 0.85, version: str = OCR_VERSION) -> DataFrame:
+    """(key, version, quality, text) of images (key, content): each variant of the image with each engine, the best reading kept.
+
+    Preparation and engines are hooks. A round is one variant with one engine; images whose reading scores `enough` take part
+    in no further round, and an engine that fails on an image gives it no reading. What a round read is checkpointed, so no
+    engine runs twice on an image. Scoring and repair are native.
+    """
+    left, found = images.select("key", "content"), []
+    for n, (prepared, engine) in enumerate((p, e) for p in prepare for e in engines):
+        texts = left.select("key", _reader(prepared, engine)("content").alias("read")).where("read is not null").checkpoint()
+        scored = texts.select(F.lit(n).alias("n"), cache_entry(F.col("key"), F.col("read"), version).alias("e")).select("n", "e.*").checkpoint()
+        found.append(scored)
+        left = left.join(scored.where(F.col("quality") >= enough).select("key"), "key", "left_anti")
+    best = best_reading(F.struct("version", "quality", "text"), F.col("quality"), F.col("n"), enough)
+    return reduce(DataFrame.unionByName, found).groupBy("key").agg(best.alias("b")).select("key", "b.*")
+
+
+def update_cache(cache: DataFrame, readings: DataFrame) -> DataFrame:
+    """The cache with new readings (key, version, quality, text) in the place of entries with their keys; old and poor ones go."""
+    good = cache.where((F.col("version") == OCR_VERSION) & (F.col("quality") >= OCR_LEAST))
+    return good.join(readings.select("key"), "key", "left_anti").unionByName(readings.select("key", "version", "quality", "text"))

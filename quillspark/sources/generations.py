@@ -52,11 +52,18 @@ class Generations:
             return json.load(f)
 
     def read(self, spark: SparkSession, name: str = "chunks") -> DataFrame | None:
+        """A table of the active generation: its own part and those it was committed onto."""
         generation = self.current()
-        return None if generation is None else spark.read.parquet(os.path.join(self.folder(generation), name))
+        if generation is None:
+            return None
+        parts = [*self.manifest().get("parts", []), generation]
+        found = [p for p in (os.path.join(self.folder(g), name) for g in parts) if os.path.exists(p)]
+        return spark.read.option("mergeSchema", True).parquet(*found)
+
+    def commit(self, tables: dict[str, DataFrame], provider: str, model: str, documents: list[dict], batch: int | None = None, partition_by: tuple[str, ...] = (), onto: str | None = None) -> str:
+        """Writes a new generation and makes it the current one; with `onto`, its tables add to those of that generation, which stay as they are.
 
-    def commit(self, tables: dict[str, DataFrame], provider: str, model: str, documents: list[dict], batch: int | None = None, partition_by: tuple[str, ...] = ()) -> str:
-        """Writes a new generation and makes it the current one; `batch` marks a stream's batch, so a replay adds nothing."""
+        `batch` marks a stream's batch, so a replay adds nothing."""
         if batch is not None and self.manifest().get("batch") == batch:
             return self.current()
         # Names sort by time, also within a second.
@@ -66,7 +73,7 @@ class Generations:
             for name, table in tables.items():
                 writer = table.write.mode("errorifexists")
                 (writer.partitionBy(*partition_by) if partition_by and name == "chunks" else writer).parquet(os.path.join(folder, name))
-            manifest = {"schema_version": SCHEMA_VERSION, "generation": generation, "created_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "embedding_provider": provider, "embedding_model": model, "documents": documents, "batch": batch}
+            manifest = {"schema_version": SCHEMA_VERSION, "generation": generation, "created_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "embedding_provider": provider, "embedding_model": model, "documents": documents, "batch": batch, "parts": self.parts(onto)}
             replace(os.path.join(folder, "manifest.json"), manifest)
         except BaseException:
             shutil.rmtree(folder, ignore_errors=True)
@@ -81,11 +88,22 @@ class Generations:
             return now
         return self.commit({"chunks": spark.read.parquet(chunks), "catalog": spark.read.parquet(catalog)}, provider, model, manifest_documents(spark.read.parquet(catalog)))
 
+    def parts(self, generation: str | None) -> list[str]:
+        """The generations whose tables make up this one, oldest first, itself included."""
+        if generation is None:
+            return []
+        path = os.path.join(self.folder(generation), "manifest.json")
+        if not os.path.exists(path):
+            return [generation]
+        with open(path) as f:
+            return [*json.load(f).get("parts", []), generation]
+
     def prune(self, keep: int = KEPT) -> None:
-        """Drops all but the current and the newest generations."""
+        """Drops all but the current and the newest generations, and what these are made of."""
         held = sorted(os.listdir(os.path.join(self.root, "generations")), reverse=True)
+        needed = {p for g in {*held[:keep], self.current()} for p in self.parts(g)}
         for old in held[keep:]:
-            if old != self.current():
+            if old not in needed:
                 shutil.rmtree(self.folder(old), ignore_errors=True)
 
     def check_model(self, provider: str, model: str) -> None:

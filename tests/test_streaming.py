@@ -67,3 +67,46 @@ def test_jobs(spark):
     assert I.next_job(log).first().job_id == "c"
     busy = log.unionByName(spark.createDataFrame([("c", "running", 9)], "job_id string, status string, t int").select("job_id", "status", F.timestamp_seconds("t").alias("updated_at")))
     assert I.next_job(busy).count() == 0 and [r.job_id for r in I.interrupted(busy).collect()] == ["c"]
+
+
+def test_worker(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = [("a", "queued", 1), ("b", "queued", 2), ("c", "queued", 0), ("c", "running", 3), ("d", "queued", 4)]
+    spark.createDataFrame(rows, "job_id string, status string, t int").select("job_id", "status", F.timestamp_seconds("t").alias("updated_at")).write.parquet(log)
+    seen = []
+
+    def job(name):
+        seen.append(name)
+        if name == "b":
+            raise ValueError
+        return ["odd"] if name == "d" else []
+
+    assert I.work(spark, log, job) == 3 and seen == ["a", "b", "d"]
+    states = {r.job_id: r.status for r in I.latest_states(spark.read.parquet(log)).collect()}
+    assert states == {"a": "succeeded", "b": "failed", "c": "failed", "d": "succeeded_with_warnings"}
+
+
+def test_rebuild(spark, tmp_path):
+    root, store = tmp_path / "docs" / "RES", Generations(str(tmp_path / "store"))
+    root.mkdir(parents=True)
+    (root / "RES-0007-2020.md").write_text("seven")
+    (root / "RES-0008-2021.pdf").write_bytes(b"eight")
+    documents = I.documents_of(spark, str(tmp_path / "docs"), {"pdf": lambda b: b.decode() * 20})
+    types = lambda catalog: catalog.groupBy("type").agg(F.count("*").alias("n"))
+    generation = I.rebuild(spark, store, documents, chunk, M.embed, types, "hash", "64")
+    assert store.current() == generation and store.read(spark).count() == 2
+    more = spark.createDataFrame([("x/b.md", "b.md", "2", "beta")], DOC)
+    files = set(os.listdir(store.folder(generation) + "/chunks"))
+    for k in range(3):
+        I.add_documents(spark, store, more.withColumn("name", F.lit(f"{k}.md")).withColumn("sha256", F.lit(f"s{k}")), **settings())
+    # The parts that later generations are made of stay, unwritten.
+    assert store.read(spark).count() == 5 and set(os.listdir(store.folder(generation) + "/chunks")) == files
+    assert len(os.listdir(store.root + "/generations")) == 4 and len(store.manifest()["documents"]) == 5
+    again = I.rebuild(spark, store, documents, chunk, M.embed, types, "other", "32")
+    assert store.read(spark).count() == 2 and store.read(spark, "types").count() >= 1 and store.manifest()["embedding_provider"] == "other"
+    assert store.parts(again) == [again]
+
+
+def test_settled(spark):
+    polls = spark.createDataFrame([("a", 1, 1, 0), ("a", 1, 1, 1), ("a", 2, 1, 2), ("b", 1, 1, 0)], I.POLLS)
+    assert sorted((r.path, r.poll, r.stable) for r in I.settled(polls).collect()) == [("a", 0, False), ("a", 1, True), ("a", 2, False), ("b", 0, False)]
