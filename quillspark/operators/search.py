@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import structure as S
 from quillspark.functions import text as T
+from quillspark.session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, RRF_WEIGHTS = 60, (1.0, 0.7, 1.0)
 CAP = 40
-#: Query vectors that are held in one block.
-QUERY_BLOCK = 2048
+#: Query vectors that meet a batch of vectors at once, and bytes of them that are broadcast for one scan.
+QUERY_BLOCK, QUERY_BYTES = 512, 128 << 20
 #: Questions whose keywords are held in one block, and words that a worker remembers.
 KEYWORD_BLOCK, KNOWN_WORDS = 512, 200_000
 
@@ -78,34 +79,41 @@ def metadata_filter(**fields) -> Column:
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", include_self: bool = False) -> DataFrame:
-    """Exact inner-product search of normalised vectors, queries in blocks of bounded size.
+    """Exact inner-product search of normalised vectors.
 
-    Each partition keeps its own k best of every query, so k rows a query and partition are shuffled.
+    Query vectors are broadcast, up to QUERY_BYTES of them for a scan of the vectors; more take further scans. They meet the
+    vectors in blocks of QUERY_BLOCK. Each partition keeps its own k best of every query, so k rows a query and partition are
+    shuffled.
     """
     queries = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q"))
     total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    width = queries.agg(F.max(F.size("q"))).first()[0] or 1
+    blocks = max(1, -(-total * width * 8 // QUERY_BYTES))
     out = []
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
         if not rows:
             continue
-        ids, matrix = np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64)
-
-        def search(frames, ids=ids, matrix=matrix):
+        held = vectors.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.q for r in rows], np.float64)))
+
+        def best_of(frame, ids, matrix):
+            score = matrix @ np.stack(frame["v"].to_numpy()).T.astype(np.float64)
+            own = frame[key].to_numpy()
+            if not include_self:
+                score[ids[:, None] == own[None, :]] = -np.inf
+            n = min(k, score.shape[1])
+            best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.broadcast_to(np.arange(n), score.shape)
+            # Candidates that tie with the last one stay, so that ties go by key.
+            edge = np.take_along_axis(score, best, 1).min(1)
+            i, j = np.nonzero((score >= edge[:, None] - 1e-9) & (score > -np.inf))
+            return pd.DataFrame({"query_id": ids[i], key: own[j], "score": score[i, j].round(6)})
+
+        def search(frames, held=held, best_of=best_of):
+            ids, matrix = held.value
             kept = pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "score": np.zeros(0)})
             for frame in frames:
-                score = matrix @ np.stack(frame["v"].to_numpy()).T.astype(np.float64)
-                own = frame[key].to_numpy()
-                if not include_self:
-                    score[ids[:, None] == own[None, :]] = -np.inf
-                n = min(k, score.shape[1])
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.broadcast_to(np.arange(n), score.shape)
-                # Candidates that tie with the last one stay, so that ties go by key.
-                edge = np.take_along_axis(score, best, 1).min(1)
-                i, j = np.nonzero((score >= edge[:, None] - 1e-9) & (score > -np.inf))
-                found = pd.DataFrame({"query_id": ids[i], key: own[j], "score": score[i, j].round(6)})
-                kept = pd.concat([kept, found]).sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id").head(k)
+                found = [best_of(frame, ids[b : b + QUERY_BLOCK], matrix[b : b + QUERY_BLOCK]) for b in range(0, len(ids), QUERY_BLOCK)]
+                kept = pd.concat([kept, *found]).sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id").head(k)
             yield kept
 
         out.append(vectors.select(F.col(key).cast("long").alias(key), F.col(vector).alias("v")).where(F.col("v").isNotNull()).mapInPandas(search, f"query_id long, {key} long, score double"))
@@ -201,20 +209,26 @@ def expand_siblings(hits: DataFrame, chunks: DataFrame, parents: int = 3, each:
     seen = seen.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("first")))
     seen = seen.where((F.col("place") == 1) | (F.col("n") >= least))
     seen = seen.withColumn("parent", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("parent") <= parents)
+    # Of a path's chunks only the best can come in: those that are added and those that a list below CAP holds already.
+    best = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("sibling_score"), "chunk"))
+    chunks = chunks.where("sibling_score > 0").withColumn("__best", best).where(F.col("__best") <= each + CAP).drop("__best")
     room = hits.groupBy("query_id").agg(F.greatest(F.least(F.lit(total), CAP - F.count("*")), F.lit(0)).alias("room"))
-    found = seen.join(chunks.where("sibling_score > 0"), "path").join(hits.select("query_id", "path", "chunk"), ["query_id", "path", "chunk"], "left_anti")
+    found = seen.join(chunks, "path").join(hits.select("query_id", "path", "chunk"), ["query_id", "path", "chunk"], "left_anti")
     found = found.withColumn("n_each", F.row_number().over(Window.partitionBy("query_id", "path").orderBy(F.desc("sibling_score"), "chunk"))).where(F.col("n_each") <= each)
     found = found.withColumn("added", F.row_number().over(Window.partitionBy("query_id").orderBy("parent", "n_each"))).join(room, "query_id").where(F.col("added") <= F.col("room"))
     return found.select("query_id", "path", "chunk", "sibling_score", "added")
 
 
-def inject(hits: DataFrame, auxiliary: DataFrame, norms: int = 3, each: int = 12) -> DataFrame:
-    """Auxiliary chunks of the first norms in front; originals with one of their texts go: (query_id, rank, norm, text, injected)."""
+def inject(hits: DataFrame, auxiliary: DataFrame, norms: int = 3, each: int = 12, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Auxiliary chunks of the first norms in front; originals with one of their texts go: (query_id, rank, norm, text, injected).
+
+    Columns in `carry`, which both sides have, stay too.
+    """
     seen = hits.where("norm is not null").groupBy("query_id", "norm").agg(F.min("rank").alias("first"))
     seen = seen.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where(F.col("n") <= norms)
     aux = auxiliary.withColumn("m", F.row_number().over(Window.partitionBy("norm").orderBy("ord"))).where(F.col("m") <= each)
-    added = seen.join(aux, "norm").select("query_id", "norm", "text", F.lit(True).alias("injected"), F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.col("m").alias("c")).alias("o"))
-    kept = hits.join(added.select("query_id", "text").distinct(), ["query_id", "text"], "left_anti").select("query_id", "norm", "text", F.lit(False).alias("injected"), F.struct(F.lit(1).alias("a"), F.col("rank").alias("b"), F.lit(0).alias("c")).alias("o"))
+    added = seen.join(aux, "norm").select("query_id", "norm", "text", *carry, F.lit(True).alias("injected"), F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.col("m").alias("c")).alias("o"))
+    kept = hits.join(added.select("query_id", "text").distinct(), ["query_id", "text"], "left_anti").select("query_id", "norm", "text", *carry, F.lit(False).alias("injected"), F.struct(F.lit(1).alias("a"), F.col("rank").alias("b"), F.lit(0).alias("c")).alias("o"))
     return ranked(added.unionByName(kept), None, [F.col("o")]).drop("o")
 
 
@@ -226,6 +240,39 @@ def prioritize_sources(hits: DataFrame, quality: str = "quality", norm: str = "n
     return ranked(rows, None, [F.col("__g"), F.col("__before")]).drop("__g", "__before")
 
 
+def full_search(questions: DataFrame, chunks: DataFrame, lists: list[DataFrame], named: DataFrame, auxiliary: DataFrame, k: int = 16, weights: tuple[float, ...] = RRF_WEIGHTS, fallbacks: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """(query_id, rank, key, norm, text, quality, priority, injected): the whole search, at most CAP chunks a question.
+
+    questions: query_id, text; chunks: key, path, chunk, text, quality, norm; lists: ranked candidates (query_id, key, rank), as
+    dense, MMR and BM25 search give them; named: query_id, path of documents that the question names; auxiliary: norm, text, ord,
+    key. Named documents come in whole as priority, then the fused lists; a question with fewer than two chunks takes the first
+    of `fallbacks` (ranked lists) that has two. The list is reranked, cut to k, widened by tabular siblings, given the norms'
+    auxiliary tables, put in the order of sources and cut to CAP. Keys alone travel until the list is cut; the fused list, the
+    kept one and the widened one are written once, as later steps read each of them several times.
+    """
+    fused = cut(fuse(lists, "key", weights))
+    whole = named.join(chunks.select("path", "key", "chunk"), "path").select("query_id", "key", F.lit(True).alias("priority"), F.struct(F.lit(0).alias("a"), F.col("path").alias("b"), F.col("chunk").cast("long").alias("c")).alias("o"))
+    rest = fused.select("query_id", "key", F.lit(False).alias("priority"), F.struct(F.lit(1).alias("a"), F.lit("").alias("b"), F.col("rank").cast("long").alias("c")).alias("o"))
+    found = ranked(first_by(whole.unionByName(rest), ["query_id", "key"], [F.col("o")]), None, [F.col("o")]).drop("o")
+    if fallbacks:
+        found = with_fallback(found, [x.select("query_id", "key", F.lit(False).alias("priority"), "rank") for x in fallbacks]).drop("step")
+    words = questions.select("query_id", F.array_distinct(T.keywords(F.col("text"))).alias("words"))
+    rows = found.withColumnRenamed("rank", "prior").join(fused.select("query_id", "key", "score_rrf"), ["query_id", "key"], "left")
+    rows = rows.join(chunks, "key").join(words, "query_id")
+    score = rerank_score(F.col("text"), F.col("words"), F.col("quality"), F.col("priority"), F.col("score_rrf"), T.has_table(F.col("text")))
+    scored = rows.select("query_id", "key", "path", "chunk", "priority", "prior", F.round(score, 6).alias("score"))
+    kept = cut(limit_priority(ranked(scored, None, [F.desc("score"), F.col("prior")]), k, "key").select("query_id", "rank", "key", "path", "chunk", "priority"))
+    siblings = chunks.select("path", "chunk", sibling_score(F.col("text"), F.lit(""), F.col("quality")).alias("sibling_score"))
+    n = kept.groupBy("query_id").agg(F.max("rank").alias("n"))
+    added = expand_siblings(kept, siblings).join(n, "query_id").join(chunks.select("path", "chunk", "key"), ["path", "chunk"])
+    every = kept.select("query_id", "rank", "key", "priority").unionByName(added.select("query_id", (F.col("n") + F.col("added")).cast("int").alias("rank"), "key", F.lit(False).alias("priority")))
+    every = cut(every.join(chunks.select("key", "norm", "text", "quality"), "key"))
+    tables = auxiliary.select("norm", "text", "ord", "key", F.lit(False).alias("priority"), F.lit("structured").alias("quality"))
+    ordered = prioritize_sources(inject(every, tables, carry=("key", "priority", "quality")))
+    ordered = ordered.withColumn("structured", F.col("injected") | (F.col("quality") == "structured"))
+    return limit_quality(ordered, CAP, "key").select("query_id", "rank", "key", "norm", "text", "quality", "priority", "injected")
+
+
 class Holders(dict):
     """Word -> places of the terms that lie within it; terms have no blanks."""
 

@@ -251,6 +251,46 @@ def hybrid_search(spark, sf_dir):
     return R.ranked(rows.withColumn("score", F.round(score, 6)), 30, [F.desc("score"), F.col("prior")]).select("query_id", "doc_id", "score", "rank")
 
 
+def parted(spark, sf_dir):
+    """Documents as chunks: eight neighbours are one path."""
+    key = F.col("doc_id")
+    quality = F.when(F.col("source") == "src1", "structured").when(F.col("source") == "src2", "ocr").otherwise("document")
+    path = F.concat(F.lit("doc-"), F.floor(key / 8).cast("string"))
+    return docs(spark, sf_dir).select(key.alias("key"), path.alias("path"), (key % 8 + 1).alias("chunk"), "text", quality.alias("quality"), path.alias("norm"))
+
+
+@query
+def full_search(spark, sf_dir):
+    """Dense and BM25 lists, named documents, rerank, limits, siblings, auxiliary tables and source order in one plan."""
+    asked, chunks, vectors = questions(spark, sf_dir), parted(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    lexical = R.bm25_search(asked, weights(spark, sf_dir), "doc_id", R.candidate_count(16)).withColumnRenamed("doc_id", "key")
+    asking = vectors.join(asked.select("query_id"), F.col("vec_id") == F.col("query_id"), "left_semi")
+    known = vectors.join(docs(spark, sf_dir).select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+    dense = R.dense_search(known, asking, R.candidate_count(16), include_self=True).withColumnRenamed("vec_id", "key")
+    named = asked.where("query_id % 5 = 0").select("query_id", F.concat(F.lit("doc-"), F.floor(F.col("query_id") / 8).cast("string")).alias("path"))
+    key = F.col("doc_id")
+    aux = table(spark, sf_dir, "labels").select(F.concat(F.lit("doc-"), F.floor(key / 8).cast("string")).alias("norm"), F.concat(F.lit("Auxiliary "), key.cast("string")).alias("text"), key.alias("ord"), (-key - 1).alias("key"))
+    found = R.full_search(asked, chunks, [dense, lexical], named, aux, 16, (1.0, 1.0))
+    return found.select("query_id", "rank", "key", digest("text").alias("digest"), "priority", "injected")
+
+
+@query
+def plain_context(spark, sf_dir):
+    return K.plain(P.hits(spark, sf_dir)).select("query_id", digest("context").alias("digest"))
+
+
+@query
+def log_lines(spark, sf_dir):
+    name = F.concat(F.col("type"), F.lit(" "), F.col("number"), F.lit("/"), F.col("year"))
+    line = K.summary_line(F.col("rank"), F.col("text"), F.col("quality"), {"priority": F.col("priority")}, name, F.lit(""), F.col("chunk"), F.col("total_chunks"))
+    return P.hits(spark, sf_dir).select("query_id", "rank", digest(line).alias("digest"))
+
+
+@query
+def hit_projection(spark, sf_dir):
+    return K.hit_rows(P.hits(spark, sf_dir)).select("query_id", "rank", "type", "number", "year", digest("excerpt").alias("excerpt"), "path", "relevance")
+
+
 @query
 def fallback_ladder(spark, sf_dir):
     full, short, words = fused_lists(spark, sf_dir)
@@ -462,8 +502,9 @@ def header_fields(spark, sf_dir):
 
 @query
 def stability_check(spark, sf_dir):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.coalesce(F.col("event_type") == before, F.lit(False)).alias("stable"))
+    """Events as polls of a user's file, its size the length of the event's type."""
+    polls = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.length("event_type").alias("size"), F.lit(0).alias("mtime"), F.struct("ts", "event_id").alias("poll"))
+    return I.settled(polls).select(F.col("poll.event_id").alias("event_id"), F.col("path").alias("user_id"), "stable")
 
 
 @query
@@ -524,21 +565,44 @@ def reference_text(spark, sf_dir):
 
 @query
 def group_hits(spark, sf_dir):
-    part = F.concat(F.col("chunk").cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), F.lit(" "), "text")
-    rows = P.hits(spark, sf_dir).groupBy("query_id", "source_id").agg(F.min("rank").alias("first"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rank", part.alias("p")))).alias("l"))
-    return rows.select("query_id", "source_id", "first", "n", digest(F.array_join(F.transform("l", lambda s: s["p"]), "\n")).alias("digest"))
+    shown = F.transform("parts", lambda p: F.concat(p["chunk"].cast("string"), F.lit("/"), p["total"].cast("string"), F.lit(" "), p["text"]))
+    return K.by_source(P.hits(spark, sf_dir)).select("query_id", "source_id", "first", "n", digest(F.array_join(shown, "\n")).alias("digest"), "open")
 
 
 @query
 def filter_options(spark, sf_dir):
-    rows = P.corpus(spark, sf_dir)
-    return spark.range(1).select(F.explode(F.array(F.lit("type"), F.lit("year"))).alias("field"), F.lit("Todos").alias("value")).unionByName(rows.select(F.lit("type").alias("field"), F.col("type").alias("value")).distinct()).unionByName(rows.select(F.lit("year").alias("field"), F.col("year").alias("value")).distinct())
+    return K.filter_options(P.corpus(spark, sf_dir), ["type", "year"])
 
 
 @query
 def conversation_retention(spark, sf_dir):
-    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
-    return table(spark, sf_dir, "conversations").withColumn("n", back).where("n <= 10").select("conv_id", "turn", "role")
+    """The last turns of each conversation; those whose text is empty or tells of a failure go."""
+    turns = table(spark, sf_dir, "conversations")
+    return K.retained(turns, K.is_failure_notice(F.col("text"), ("error", "the"))).select("conv_id", "turn", "role")
+
+
+@query
+def file_entries(spark, sf_dir):
+    """Names of each kind that a file may have, and what they say."""
+    key = F.col("p_partkey")
+    number = key.cast("string")
+    path = (
+        F.when(key % 5 == 0, F.concat(F.lit("in/RES-000"), number, F.lit("-2024.md"))).when(key % 5 == 1, F.concat(F.lit("in/50500.0124472-"), number, F.lit(".md")))
+        .when(key % 5 == 2, F.concat(F.lit("in/A"), number, F.lit("_Nota_Tecnica.md"))).when(key % 5 == 3, F.concat(F.lit("entrada/x_"), number, F.lit(".md"))).otherwise(F.concat(F.lit("extra/a-"), number, F.lit(".md")))
+    )
+    text = F.concat(F.lit("Resolução No "), number, F.lit(", de 2023"))
+    entry = C.file_entry(path, text, F.create_map(F.lit("resolucao"), F.lit("RES")), F.array(F.lit("RES")))
+    return table(spark, sf_dir, "part").select("p_partkey", entry.alias("e")).select("p_partkey", "e.*")
+
+
+@query
+def citations(spark, sf_dir):
+    """What answers cite: in their section of sources, or anywhere without one."""
+    key = F.col("o_orderkey").cast("string")
+    free = F.concat(F.lit("Segundo a Resolução "), key, F.lit("/2020, e Documento: RES "), key, F.lit("/2021."))
+    section = F.concat(F.lit("A Resolução 5/2020.\nTRECHOS DOS DOCUMENTOS CITADOS: Documento: INM "), key, F.lit("/2023\n### fim"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, free).otherwise(section)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(C.citations(text), "; ").alias("cited"))
 
 
 # Recognised text
@@ -572,5 +636,6 @@ def ocr_quality(spark, sf_dir):
 
 @query
 def best_of_n(spark, sf_dir):
-    best = F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey")))
+    """Orders as readings of their customer: the first that is good enough, else the best."""
+    best = O.best_reading(F.col("o_orderkey"), F.col("o_totalprice") / 500000, F.col("o_orderkey"))
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(best.alias("best"))

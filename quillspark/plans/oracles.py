@@ -111,6 +111,42 @@ asked as (select distinct item_id as query_id, unnest({keywords('text')}) as wor
 kw as (select query_id, doc_id, count(*) as score from asked join (select doc_id, lower(concat_ws(' ', lang, source, text)) as t from documents) on contains(t, word) group by 1, 2),
 keyword as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from kw qualify rank <= 30)
 """
+FULL_SEARCH = f"""
+qv as (select item_id as query_id, embedding::double[] as q from benchmark join embeddings on vec_id = item_id),
+dn as (select query_id, vec_id as doc_id, round(list_inner_product(q, embedding::double[]), 6) as score from qv, embeddings where vec_id in (select doc_id from documents)),
+dense as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from dn qualify rank <= 48),
+lists as (select query_id, doc_id, rank, 0 as l from dense union all select query_id, doc_id, rank, 1 from lex),
+rrf as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as rrf, min(struct_pack(l := l, r := rank)) as seen from lists group by 1, 2),
+fz as (select *, row_number() over (partition by query_id order by rrf desc, seen) as c from rrf),
+ck as (select doc_id, 'doc-' || (doc_id // 8) as path, doc_id % 8 + 1 as chunk, text, case source when 'src1' then 'structured' when 'src2' then 'ocr' else 'document' end as quality, {has_table('text')} as has, {numbers('text')} as num from documents),
+res as (select item_id as query_id, doc_id, true as priority, 0 as a, chunk as c from benchmark join ck on path = 'doc-' || (item_id // 8) where item_id % 5 = 0 union all select query_id, doc_id, false, 1, c from fz),
+ded as (select * from res qualify row_number() over (partition by query_id, doc_id order by a, c) = 1),
+pr as (select *, row_number() over (partition by query_id order by a, c) as prior from ded),
+qk as (select item_id as query_id, list_distinct({keywords('text')}) as ks from benchmark),
+sc as (select pr.query_id, pr.doc_id, path, chunk, priority, prior, len(list_filter(ks, lambda w: contains(lower(text), w))) as h, len(ks) as nk, least(len(regexp_extract_all(text, '(?i)\\bArt\\.\\s*\\d+')) * 0.3, 2.0) + case when has then 4 else 0 end + case quality when 'structured' then 5 when 'ocr' then -2 else 0 end + case when priority then 10 else 0 end + 100 * coalesce(rrf, 0) as more from pr join ck using (doc_id) join qk on qk.query_id = pr.query_id left join rrf on rrf.query_id = pr.query_id and rrf.doc_id = pr.doc_id),
+rk as (select *, row_number() over (partition by query_id order by round(h + case when nk > 0 then 3.0 * h / nk else 0 end + more, 6) desc, prior) as r0 from sc),
+np as (select *, count(*) filter (where priority) over (partition by query_id) as np, row_number() over (partition by query_id, priority order by r0) as place from rk),
+lp as (select query_id, doc_id, path, chunk, priority, row_number() over (partition by query_id order by priority desc, place) as rank from np where priority or place <= 16 - np),
+seen as (select query_id, path, count(*) as n, min(rank) as first from lp group by 1, 2),
+el as (select *, row_number() over (partition by query_id order by first) as place from seen qualify place = 1 or n >= 2),
+par as (select *, row_number() over (partition by query_id order by first) as parent from el qualify parent <= 3),
+sib as (select doc_id, path, chunk, case when has then 3.0 else 0.0 end + case when num then 1.5 else 0 end + case quality when 'structured' then 2.0 when 'ocr' then -1.0 else 0 end as s from ck),
+ex as (select par.query_id, sib.doc_id, parent, row_number() over (partition by par.query_id, par.path order by s desc, sib.chunk) as e from par join sib using (path) where s > 0 and not exists (select 1 from lp where lp.query_id = par.query_id and lp.doc_id = sib.doc_id) qualify e <= 3),
+cnt as (select query_id, count(*) as n from lp group by 1),
+ad as (select ex.query_id, doc_id, row_number() over (partition by ex.query_id order by parent, e) as added, n from ex join cnt using (query_id) qualify added <= greatest(least(8, 40 - n), 0)),
+ev as (select query_id, doc_id, priority, rank from lp union all select query_id, doc_id, false, n + added from ad),
+hv as (select query_id, ev.doc_id as key, priority, rank, path as norm, text, quality from ev join ck using (doc_id)),
+nm as (select query_id, norm, row_number() over (partition by query_id order by min(rank)) as n from hv group by 1, 2 qualify n <= 3),
+ax as (select 'doc-' || (doc_id // 8) as norm, 'Auxiliary ' || doc_id as text, -doc_id - 1 as key, row_number() over (partition by doc_id // 8 order by doc_id) as m from labels qualify m <= 12),
+inj as (select query_id, key, false as priority, norm, text, 'structured' as quality, true as injected, 0 as x, n as y, m as z from nm join ax using (norm)),
+al as (select * from inj union all select query_id, key, priority, norm, text, quality, false, 1, rank, 0 from hv where not exists (select 1 from inj where inj.query_id = hv.query_id and inj.text = hv.text)),
+gr as (select *, case when quality = 'structured' then 0 when quality = 'ocr' and max((quality = 'structured')::int) over (partition by query_id, norm) = 1 then 2 else 1 end as g from al),
+od as (select *, row_number() over (partition by query_id order by g, x, y, z) as rank, count(*) over (partition by query_id) as total, case when priority then 0 when injected or quality = 'structured' then 1 else 2 end as q from gr),
+lq as (select *, row_number() over (partition by query_id order by q, rank) as place, count(*) filter (where q < 2) over (partition by query_id) as kept from od),
+lb as (select *, case when kept >= 40 then 32 else kept end as base from lq)
+select query_id, key, md5(text) as digest, priority, injected, row_number() over (partition by query_id order by case when total <= 40 then rank else place end) as rank from lb where total <= 40 or (q < 2 and place <= base) or (q = 2 and place - kept <= 40 - base)
+"""
+
 FUSED = BM25 + "," + search("full_list", "text", 30) + "," + search("short_list", simplified("text"), 30) + "," + KEYWORD_LIST + """,
 lists as (select query_id, doc_id, rank, 0 as list, 1.0 as weight from full_list union all select query_id, doc_id, rank, 1, 0.7 from short_list union all select query_id, doc_id, rank, 2, 1.0 from keyword),
 merged as (select query_id, doc_id, round(sum(weight::double / (60 + rank)), 9) as score_rrf, min(list * 1000 + rank) as seen from lists group by 1, 2),
@@ -188,20 +224,26 @@ ORACLES: dict[str, str] = {
     "not_indexed": r"with f as (select 'File ' || p_partkey || case when p_partkey % 2 = 0 then '.PDF' else '.docx' end as name, md5('content ' || p_partkey) as sha256 from part), m as (select 'file ' || (p_partkey * 3) || case when p_partkey % 4 = 0 then '.pdf' else '.md' end as name, case when p_partkey % 5 = 0 then '' else md5('content ' || (p_partkey * 7)) end as sha256 from part) select name, sha256 from f where lower(name) not in (select lower(name) from m) and regexp_replace(lower(name), '\.[^.]*$', '.md') not in (select lower(name) from m) and sha256 not in (select sha256 from m where sha256 <> '')",
     "header_fields": "select o_orderkey, case o_orderkey % 4 when 0 then 'instrucao normativa' when 1 then 'resolucao' when 2 then 'nota tecnica sei' else '' end as act, case when o_orderkey % 3 = 0 then '1' || lpad((o_orderkey % 1000)::varchar, 3, '0') else o_orderkey::varchar end as number, year(o_orderdate)::varchar as year from orders",
     "reference_text": "select doc_id, 'Expected: a, ' || doc_id || '.' || case when doc_id % 3 <> 0 then ' Document: DOC ' || doc_id || '.' else '' end as reference from labels",
-    "stability_check": "select event_id, user_id, coalesce(event_type = lag(event_type) over w, false) as stable from events window w as (partition by user_id order by ts, event_id)",
+    "stability_check": "select event_id, user_id, coalesce(length(event_type) = lag(length(event_type)) over w, false) as stable from events window w as (partition by user_id order by ts, event_id)",
+    "plain_context": f"with {HITS} select query_id, md5(string_agg(text, {NL} || {NL} order by rank)) as digest from hits group by 1",
+    "log_lines": f"with {HITS}, f as (select *, concat_ws(', ', case when priority then 'priority' end, case when {has_table('text')} then 'table' end, case when quality <> 'document' then quality end) as flags from hits) select query_id, rank, md5('chunk[' || rank || '] ' || type || ' ' || number || '/' || year || ' part ' || chunk || '/' || total_chunks || ' (' || length(text) || ' chars)' || case when flags <> '' then ' [' || flags || ']' else '' end || {NL} || '  section: -' || {NL} || '  text: ' || replace(left(text, 120), {NL}, ' ') || '...') as digest from f",
+    "hit_projection": f"with {HITS} select query_id, rank, type, number, year, md5(left(text, 500)) as excerpt, path, 0.0::double as relevance from hits",
+    "file_entries": "select p_partkey, case m when 0 then 'RES ' || n || '/2024' when 1 then '50500.0124472/' || n when 2 then 'A' || n || ' Nota Tecnica' when 3 then 'RES ' || n || '/2023' else 'a/' || n end as title, case m when 1 then 'SEI' when 2 then 'NT' when 4 then 'EXTRA' else 'RES' end as type, case m when 0 then n when 1 then '50500.0124472-' || n when 2 then 'A' || n || '_Nota_Tecnica' when 3 then n else 'a-' || n end as number, case m when 0 then '2024' when 3 then '2023' else '' end as year from (select p_partkey, p_partkey % 5 as m, p_partkey::varchar as n from part)",
+    "citations": "select o_orderkey, case when o_orderkey % 2 = 0 then 'RES ' || o_orderkey || '/2021; Resolução ' || o_orderkey || '/2020' else 'INM ' || o_orderkey || '/2023' end as cited from orders",
+    "full_search": f"with {BM25}, {search('lex', 'text', 48)}, {FULL_SEARCH}",
     "keep_generations": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 2",
     "coverage": f"with v as (select item_id as case_id, unnest(list_distinct({keywords('text')})) as value from benchmark), t as (select {collapse(points(fold('text')))} as t from documents), w as (select distinct value, {collapse(points(fold('value')))} as x from v), k as materialized (select value from w where exists (select 1 from t where contains(t, x))), f as (select distinct case_id, value from v join k using (value)) select case_id, n_expected, n_found, round(n_found::double / n_expected, 6) as coverage from (select v.case_id, count(*) as n_expected, count(f.value) as n_found from v left join f on v.case_id = f.case_id and v.value = f.value group by 1)",
     "case_metrics": f"with {HITS}, c as (select query_id as case_id, arg_min(path, rank) filter (where rank > 30) as doc, (query_id % 3) as m from hits group by 1, 3) select case_id, bool_or(h.rank <= 20 and h.path = c.doc) as hit, count(*) filter (where h.rank <= 20 and quality = 'structured') as n_structured, count(*) filter (where h.rank <= 20 and quality = 'ocr') as n_ocr, bool_or(h.rank <= 20 and h.path = c.doc) and count(*) filter (where h.rank <= 20 and quality = 'structured') >= any_value(m) as ok from c join hits h on h.query_id = c.case_id group by 1",
     "model_report": "select 'm' || (doc_id % 7) as model, round(avg(case when toxic = 0 then quality end), 6) as mean_coverage, round(avg(doc_id % 10), 6) as mean_seconds, count(*) filter (where toxic = 1) as n_errors from labels group by 1",
     "model_ranking": "select model, row_number() over (order by mean_coverage desc, hit_rate desc, mean_seconds, model) as place from (select 'm' || (doc_id % 7) as model, round(avg(quality), 6) as mean_coverage, round(avg(toxic), 6) as hit_rate, round(avg(doc_id % 10), 6) as mean_seconds from labels group by 1)",
     "run_summary": "select lang, count(*) as n_cases, round(avg(quality), 6) as mean_coverage, round(avg(case when toxic = 1 then (n_chars > 1000)::int end), 6) as hit_rate, round(avg(case when quality = 1 then n_chars / 1000.0 end), 6) as mean_completeness from labels join documents using (doc_id) group by 1",
-    "group_hits": f"with {HITS} select query_id, source_id, min(rank) as first, count(*) as n, md5(string_agg(chunk || '/' || total_chunks || ' ' || text, {NL} order by rank)) as digest from hits group by 1, 2",
+    "group_hits": f"with {HITS} select query_id, source_id, min(rank) as first, count(*) as n, md5(string_agg(chunk || '/' || total_chunks || ' ' || text, {NL} order by rank)) as digest, row_number() over (partition by query_id order by min(rank)) <= 3 as open from hits group by 1, 2",
     "filter_options": f"with {CORPUS} select 'type' as field, 'Todos' as value union all select distinct 'type', type from corpus union all select 'year', 'Todos' union all select distinct 'year', year from corpus",
-    "conversation_retention": "select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc, role desc, text desc) <= 10",
+    "conversation_retention": "select conv_id, turn, role from conversations where trim(coalesce(text, '')) <> '' and not contains(lower(text), 'error') and not contains(lower(text), 'the') qualify row_number() over (partition by conv_id order by turn desc, role desc, text desc) <= 10",
     "clean_cells": r"select p_partkey, case when v = '' or lower(v) = 'none' or (length(v) <= 2 and not regexp_matches(v, '^[0-9]+$')) or regexp_matches(v, '^(?:None|\(?\s*[A-Z]\s*\)?|[\d]+[-\s]*[A-Z]{1,4}[a-z]{0,2}[A-Z]*|\W+)$') then '' else v end as cell from (select p_partkey, case p_partkey % 8 when 0 then 'None' when 1 then '(A)' when 2 then '1- EXProD' when 3 then p_name || ' x' when 4 then '7' when 5 then 'ab' when 6 then '--' else p_brand end as v from part)",
     "scientific_repair": "select l_orderkey, l_linenumber, v, case when regexp_matches(v, '^[0-9]{6,8}$') and regexp_matches(v, '0[6-9]$') then left(v, 1) || ',' || substr(v, 2, 2) || 'E+' || right(v, 2) else v end as repaired from (select l_orderkey, l_linenumber, l_partkey || '000' || (l_linenumber + 4) as v from lineitem)",
     "decimal_repair": "select p_partkey, case when p_size > 10 then left(p_size::varchar, 1) || ',' || right(p_size::varchar, 1) else p_size::varchar end || ' m/km; ' || (p_size * 100 + 1) // 10 || ' units >0,5' as fixed from part",
-    "best_of_n": "select o_custkey, arg_min(o_orderkey, struct_pack(s := -o_totalprice, o := o_orderkey)) as best from orders group by 1",
+    "best_of_n": "select o_custkey, coalesce(min(o_orderkey) filter (where o_totalprice / 500000 >= 0.85), arg_min(o_orderkey, struct_pack(s := -o_totalprice, o := o_orderkey))) as best from orders group by 1",
     "image_extraction": "select p_partkey, 'https://host/' || p_partkey || '.png' as url, left(sha256('https://host/' || p_partkey || '.png'), 16) as key from part",
     "parse_headings": f"with {LINES} select lv::bigint as level, coalesce(marker, '') as marker, count(*) as n, min(nullif(title, '')) as first_title from marked where lv > 0 or marker is not null group by 1, 2",
     "breadcrumbs": f"with {TRAILS} select path, chunk::bigint as chunk, trail, header, continues from trails",

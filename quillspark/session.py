@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -21,3 +23,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Deals a table that comes in fewer parts than there are cores to all of them; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and written to the session's checkpoint folder, so that what follows doesn't plan them again.
+
+    A folder of our own serves only where the session names none and all is one machine.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="quillspark-"))
+    return df.checkpoint()

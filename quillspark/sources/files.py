@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType
 
 from quillspark.functions import text as T
 from quillspark.functions.ocr import best_reading, cache_entry
+from quillspark.session import cut
 
 AUXILIARY, INBOX = "auxiliary_tables", "inbox"
 IGNORED = (AUXILIARY, ".git", "__pycache__")
@@ -308,8 +309,8 @@ def recognise(images: DataFrame, prepare: list[Callable[[bytes], bytes]], engine
     """
     left, found = images.select("key", "content"), []
     for n, (prepared, engine) in enumerate((p, e) for p in prepare for e in engines):
-        texts = left.select("key", _reader(prepared, engine)("content").alias("read")).where("read is not null").checkpoint()
-        scored = texts.select(F.lit(n).alias("n"), cache_entry(F.col("key"), F.col("read"), version).alias("e")).select("n", "e.*").checkpoint()
+        texts = cut(left.select("key", _reader(prepared, engine)("content").alias("read")).where("read is not null"))
+        scored = cut(texts.select(F.lit(n).alias("n"), cache_entry(F.col("key"), F.col("read"), version).alias("e")).select("n", "e.*"))
         found.append(scored)
         left = left.join(scored.where(F.col("quality") >= enough).select("key"), "key", "left_anti")
     best = best_reading(F.struct("version", "quality", "text"), F.col("quality"), F.col("n"), enough)
