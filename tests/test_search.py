@@ -101,3 +101,32 @@ def test_sources_rise(spark):
     assert [(r.norm, r.quality) for r in R.prioritize_sources(hits).orderBy("rank").collect()] == [("a", "structured"), ("b", "ocr"), ("c", "document"), ("a", "ocr")]
     assert R.candidate_count(10) == 45 and R.candidate_count(30) == 90
     assert hits.select(F.max("rank")).first()[0] == 4
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(n, [float(x) for x in v / np.linalg.norm(v)]) for n, v in enumerate(rng.normal(size=(60, 4)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 6 = 0")
+    show = lambda df: sorted(map(tuple, df.select("query_id", "vec_id", "rank").collect()))
+    whole = show(R.dense_search(vectors, queries, 5))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(R, "QUERY_BYTES", 4 * 4 * 8)
+    assert show(R.dense_search(vectors, queries, 5)) == whole and len(whole) == 50
+
+
+def test_full_search_falls_back(spark):
+    chunks = spark.createDataFrame([(n, f"p{n // 2}", n % 2 + 1, f"word{n} of text", "document", f"p{n // 2}") for n in range(8)], "key long, path string, chunk int, text string, quality string, norm string")
+    asked = spark.createDataFrame([(1, "word0"), (2, "word5"), (3, "none")], "query_id long, text string")
+    ranked = lambda rows: spark.createDataFrame(rows, "query_id long, key long, rank int")
+    lists = [ranked([(1, 0, 1), (1, 3, 2), (2, 5, 1)])]
+    named = spark.createDataFrame([(3, "p3")], "query_id long, path string")
+    aux = spark.createDataFrame([("p0", "table of p0", 1, -1)], "norm string, text string, ord int, key long")
+    found = R.full_search(asked, chunks, lists, named, aux, 4, (1.0,), (ranked([(2, 4, 1), (2, 5, 2), (1, 7, 1), (1, 6, 2)]),))
+    keys = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        keys.setdefault(r.query_id, []).append((r.key, r.priority, r.injected))
+    # Question 1 has two chunks, an auxiliary table and a sibling with digits, 2 takes the other list, 3 the document that it names.
+    assert keys[1] == [(-1, False, True), (0, False, False), (3, False, False), (1, False, False)]
+    assert {k for k, _, _ in keys[2]} == {4, 5} and keys[2][0][0] == 5
+    assert keys[3] == [(6, True, False), (7, True, False)]
