@@ -222,13 +222,13 @@ ORACLES: dict[str, str] = {
     "latest_job_state": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "job_states": "select user_id as job_id, arg_max(event_type, struct_pack(u := ts, s := event_type)) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as updated_at, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as created_at from events group by 1",
     "not_indexed": r"with f as (select 'File ' || p_partkey || case when p_partkey % 2 = 0 then '.PDF' else '.docx' end as name, md5('content ' || p_partkey) as sha256 from part), m as (select 'file ' || (p_partkey * 3) || case when p_partkey % 4 = 0 then '.pdf' else '.md' end as name, case when p_partkey % 5 = 0 then '' else md5('content ' || (p_partkey * 7)) end as sha256 from part) select name, sha256 from f where lower(name) not in (select lower(name) from m) and regexp_replace(lower(name), '\.[^.]*$', '.md') not in (select lower(name) from m) and sha256 not in (select sha256 from m where sha256 <> '')",
-    "header_fields": "select o_orderkey, case o_orderkey % 4 when 0 then 'instrucao normativa' when 1 then 'resolucao' when 2 then 'nota tecnica sei' else '' end as act, case when o_orderkey % 3 = 0 then '1' || lpad((o_orderkey % 1000)::varchar, 3, '0') else o_orderkey::varchar end as number, year(o_orderdate)::varchar as year from orders",
+    "header_fields": "select o_orderkey, case o_orderkey % 4 when 0 then 'instrucao normativa' when 1 then 'resolucao' when 2 then 'nota tecnica sei' else '' end as act, case when o_orderkey % 3 = 0 then '1' || lpad((o_orderkey % 1000)::varchar, 3, '0') else o_orderkey::varchar end as number, case when o_orderkey % 3 <> 0 and regexp_matches(o_orderkey::varchar, '^(19|20)[0-9]{2}$') then o_orderkey::varchar else year(o_orderdate)::varchar end as year from orders",
     "reference_text": "select doc_id, 'Expected: a, ' || doc_id || '.' || case when doc_id % 3 <> 0 then ' Document: DOC ' || doc_id || '.' else '' end as reference from labels",
     "stability_check": "select event_id, user_id, coalesce(length(event_type) = lag(length(event_type)) over w, false) as stable from events window w as (partition by user_id order by ts, event_id)",
     "plain_context": f"with {HITS} select query_id, md5(string_agg(text, {NL} || {NL} order by rank)) as digest from hits group by 1",
     "log_lines": f"with {HITS}, f as (select *, concat_ws(', ', case when priority then 'priority' end, case when {has_table('text')} then 'table' end, case when quality <> 'document' then quality end) as flags from hits) select query_id, rank, md5('chunk[' || rank || '] ' || type || ' ' || number || '/' || year || ' part ' || chunk || '/' || total_chunks || ' (' || length(text) || ' chars)' || case when flags <> '' then ' [' || flags || ']' else '' end || {NL} || '  section: -' || {NL} || '  text: ' || replace(left(text, 120), {NL}, ' ') || '...') as digest from f",
     "hit_projection": f"with {HITS} select query_id, rank, type, number, year, md5(left(text, 500)) as excerpt, path, 0.0::double as relevance from hits",
-    "file_entries": "select p_partkey, case m when 0 then 'RES ' || n || '/2024' when 1 then '50500.0124472/' || n when 2 then 'A' || n || ' Nota Tecnica' when 3 then 'RES ' || n || '/2023' else 'a/' || n end as title, case m when 1 then 'SEI' when 2 then 'NT' when 4 then 'EXTRA' else 'RES' end as type, case m when 0 then n when 1 then '50500.0124472-' || n when 2 then 'A' || n || '_Nota_Tecnica' when 3 then n else 'a-' || n end as number, case m when 0 then '2024' when 3 then '2023' else '' end as year from (select p_partkey, p_partkey % 5 as m, p_partkey::varchar as n from part)",
+    "file_entries": "select p_partkey, case m when 0 then 'RES ' || n || '/2024' when 1 then '50500.0124472/' || n when 2 then 'A' || n || ' Nota Tecnica' when 3 then 'RES ' || n || '/' || y else 'a/' || n end as title, case m when 1 then 'SEI' when 2 then 'NT' when 4 then 'EXTRA' else 'RES' end as type, case m when 0 then n when 1 then '50500.0124472-' || n when 2 then 'A' || n || '_Nota_Tecnica' when 3 then n else 'a-' || n end as number, case m when 0 then '2024' when 3 then y else '' end as year from (select p_partkey, p_partkey % 5 as m, p_partkey::varchar as n, case when regexp_matches(p_partkey::varchar, '^(19|20)[0-9]{2}$') then p_partkey::varchar else '2023' end as y from part)",
     "citations": "select o_orderkey, case when o_orderkey % 2 = 0 then 'RES ' || o_orderkey || '/2021; Resolução ' || o_orderkey || '/2020' else 'INM ' || o_orderkey || '/2023' end as cited from orders",
     "full_search": f"with {BM25}, {search('lex', 'text', 48)}, {FULL_SEARCH}",
     "keep_generations": "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 2",
