@@ -23,16 +23,17 @@ CITED_SECTIONS = (
     r"(?idU)TRECHOS DOS DOCUMENTOS CITADOS:([\s\S]+?)(?:$|(?:###|\*\*\*))",
     r"(?idU)FONTES CONSULTADAS:([\s\S]+?)(?:$|(?:###|\*\*\*))",
 )
-CITED_WORD = "[A-Za-zçÇáàâãéèêíìîóòôõúùûÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛ]+"
-CITED_NUMBER = r"(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4}"
-CITED_ACTS = (("a", r"instrução\s+normativa"), ("a", "resolução"), ("o", "voto"), ("a", "deliberação"), ("a", "portaria"))
 CITATIONS = (
-    rf"Documento:\s*({CITED_WORD}\s+\d+\/\d{{4}})",
-    rf"Documento:\s*({CITED_WORD}\s+\d+\s+de\s+\d{{4}})",
+    r"Documento:\s*([A-Za-zçÇáàâãéèêíìîóòôõúùûÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛ]+\s+\d+\/\d{4})",
+    r"Documento:\s*([A-Za-zçÇáàâãéèêíìîóòôõúùûÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛ]+\s+\d+\s+de\s+\d{4})",
     r"TRECHOS DOS DOCUMENTOS CITADOS:[\s\S]*?(?:\*\*)?Documento:\s*([^\n\"]*\d{4})(?:\*\*)?",
-    rf"TRECHOS[\s\S]+?(?:\*\*)?({CITED_WORD}\s+\d+\/\d{{4}})(?:\*\*)?",
-    *(rf"(?:^|\s)(?:{article}\s+)?({act}\s+{CITED_NUMBER})" for article, act in CITED_ACTS),
-    rf"({CITED_WORD}\s+0+(?:\d+)\/\d{{4}})",
+    r"TRECHOS[\s\S]+?(?:\*\*)?([A-Za-zçÇáàâãéèêíìîóòôõúùûÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛ]+\s+\d+\/\d{4})(?:\*\*)?",
+    r"(?:^|\s)(?:a\s+)?([Ii]nstrução\s+[Nn]ormativa\s+(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4})",
+    r"(?:^|\s)(?:a\s+)?([Rr]esolução\s+(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4})",
+    r"(?:^|\s)(?:o\s+)?([Vv]oto\s+(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4})",
+    r"(?:^|\s)(?:a\s+)?([Dd]eliberação\s+(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4})",
+    r"(?:^|\s)(?:a\s+)?([Pp]ortaria\s+(?:n[°º\.]?\s*)?\d+\/?\d*\s*(?:de\s*)?\d{4})",
+    r"([A-Za-zçÇáàâãéèêíìîóòôõúùûÁÀÂÃÉÈÊÍÌÎÓÒÔÕÚÙÛ]+\s+0+(\d+)\/\d{4})",
     r"FONTES CONSULTADAS[\s\S]*?(?:\*\*)?([^\n\"]*\d{4})(?:\*\*)?",
 )
 
