@@ -11,8 +11,8 @@ windows with the same anchor are a block. Steps:
 1. Anchors that occur once drop out. Equal blocks become one with a weight, the number of its copies (by a digest of 64
    bits beside the anchor's 64).
 2. The bytes of one copy of every block whose anchor repeats are fetched. Buckets of anchors become texts of bounded size;
-   their suffixes are ranked by prefix doubling to `length` bytes, and previous and next smaller positions in suffix order
-   tell which windows have an earlier (or, from the other end, a later) match of `length` bytes or more. A block of weight
+   their suffixes are ranked by prefix doubling to `length` bytes, as far as windows lead to them, and previous and next
+   smaller positions in suffix order tell which windows have an earlier (or, from the other end, a later) match of `length` bytes or more. A block of weight
    two or more takes part with two positions. All copies of a block get what was found for it.
 3. Anchors with more different blocks than `DIFFERENT` don't fit one suffix array. One copy of each of their blocks is cut
    by the place of the anchor in the window into cells of CELL windows, under a longer key: all bytes that a cell's windows
@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import arrow_map, byte_table, doc_columns, finish, join_counted, materialize, partitions, slices, utf8
-from quillspark.llm.suffixes import has_earlier, prefix_ranks
+from quillspark.llm.suffixes import has_other, prefix_ranks
+from quillspark.llm.words import spans
 
 LENGTH, GRAM = 200, 32
 #: Bits of a window key that hold the place; texts are worked in pieces of less than this.
@@ -49,7 +50,8 @@ PIECE = 1 << 21
 DIFFERENT = 4096
 #: Windows of a cell.
 CELL = 11
-BUCKET_BYTES = 1 << 20
+#: Anchors share a suffix array up to this size: below 64 KB it is sorted in the fewest turns and stays in the cache.
+BUCKET_BYTES = 56 << 10
 #: `at`: how far behind the first window's begin the anchor lies.
 BLOCKS = "anchor long, digest long, doc_id long, row long, begin long, n int, at int"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -76,17 +78,17 @@ def window_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
 def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, windows, anchor's place behind the first window) of the blocks of texts that lie one after the other."""
     hashes, begins, sizes, places = [], [], [], []
+    n = np.maximum(np.diff(offsets) - length + 1, 0)
+    whole = np.repeat(np.tile([True, False], len(n)), np.stack([n, np.diff(offsets) - n], 1).ravel())
     for at in range(0, max(1, len(data) - length + 1), piece):
         part = data[at : at + piece + length - 1]
         if len(part) < length:
             break
         h, anchor = window_anchors(part, length)
-        start = np.arange(at, at + len(anchor))
-        end = offsets[np.searchsorted(offsets, start, "right")]
-        inside = np.flatnonzero(start + length <= end)
+        inside = np.flatnonzero(whole[at : at + len(anchor)])
         if not len(inside):
             continue
-        anchor, start = anchor[inside], start[inside]
+        anchor, start = anchor[inside], inside + at
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)))
         hashes.append(h[anchor[new]])
         begins.append(start[new])
@@ -120,6 +122,16 @@ def _blocks(rows: DataFrame, length: int) -> DataFrame:
     return arrow_map(rows, run, BLOCKS)
 
 
+def _anchors(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor) of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512 << 10):
+            yield pa.RecordBatch.from_arrays([pa.array(blocks(*utf8(batch.column("text")), length)[0].view(np.int64))], ["anchor"])
+
+    return arrow_map(rows.select("text"), run, "anchor long")
+
+
 def cells(begin: np.ndarray, n: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """(block, first window, windows, anchor's place, cell) of the cells of blocks; in a cell the anchor's place, divided by `width`, is one."""
     low, high = (at - n + 1) // width, at // width
@@ -193,50 +205,51 @@ def _cut(parts: DataFrame, width: int, length: int) -> DataFrame:
     return arrow_map(parts.select(*PART_NAMES), run, PARTS)
 
 
-def repeated_windows(texts: list[bytes], weights: list[int], length: int, keep: str) -> list[np.ndarray]:
-    """For each text, which of its windows also occurs elsewhere among them (`none`) or earlier (`first`); with `none` a
-    text of weight two or more is there twice."""
-    sizes = np.array([len(t) for t in texts])
-    begin = np.cumsum(sizes) - sizes
-    n = np.maximum(sizes - length + 1, 0)
-    place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    rank = prefix_ranks(np.frombuffer(b"".join(texts), np.uint8), length)[place]
+def repeated_windows(body: np.ndarray, offsets: np.ndarray, weights: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """(which windows of texts that lie one after the other also occur elsewhere among them (`none`) or earlier (`first`),
+    where each text's windows begin and the last one's end); with `none` a text of weight two or more is there twice."""
+    n = np.maximum(np.diff(offsets) - length + 1, 0)
+    ends = np.append(0, np.cumsum(n))
+    place = np.repeat(offsets[:-1] - ends[:-1], n) + np.arange(ends[-1])
+    rank = prefix_ranks(body, length, place)
     if keep == "first":
-        hit = has_earlier(rank, place)
-    else:
-        twice = np.flatnonzero(np.repeat(np.array(weights) > 1, n))
-        ranks, places = np.append(rank, rank[twice]), np.append(place, place[twice] + int(sizes.sum()))
-        hit = (has_earlier(ranks, places) | has_earlier(ranks, -places))[: len(rank)]
-    return np.split(hit, np.cumsum(n)[:-1])
+        return has_other(rank)[0], ends
+    # Second positions lie behind all others.
+    earlier, later = has_other(np.append(rank, rank[np.repeat(weights > 1, n)]))
+    return (earlier | later)[: len(rank)], ends
 
 
 def _suffixes(length: int, keep: str):
     """HITS of blocks that come sorted by anchor and place; ranges count from the block's begin."""
-    kinds = (pa.int64(),) * 3 + (pa.list_(pa.int32()),) * 2
     names = [x.split()[0] for x in HITS.split(", ")]
 
-    def work(rows: list[dict]) -> pa.RecordBatch:
-        out = []
-        for r, hit in zip(rows, repeated_windows([r["bytes"] for r in rows], [r["c"] for r in rows], length, keep), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            if len(edge) or r["c"] > 1:
-                out.append((r["anchor"], r["digest"], r["c"], edge[::2], edge[1::2] + length - 1))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([],) * 5, kinds)], names)
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        weights = rows.column("c").to_numpy()
+        hit, ends = repeated_windows(*utf8(rows.column("bytes")), weights, length, keep)
+        first, last = spans(hit, ends)
+        of = np.searchsorted(ends, first, "right") - 1
+        count = np.bincount(of, minlength=len(weights))
+        told = np.flatnonzero((count > 0) | (weights > 1))
+        offsets = pa.array(np.append(0, np.cumsum(count[told])).astype(np.int32))
+        ranges = [pa.ListArray.from_arrays(offsets, pa.array((x - ends[of]).astype(np.int32))) for x in (first, last + (length - 1))]
+        return pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(told)) for c in names[:3]), *ranges], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, group, size, anchor = [], [], 0, None
+        held, size, before = [], 0, None
         for batch in batches:
-            for r in batch.select(["anchor", "digest", "c", "bytes"]).to_pylist():
-                if r["anchor"] != anchor:
-                    held += group
-                    if size > BUCKET_BYTES:
-                        yield work(held)
-                        held, size = [], 0
-                    group, anchor = [], r["anchor"]
-                group.append(r)
-                size += len(r["bytes"])
-        if held or group:
-            yield work(held + group)
+            if not batch.num_rows:
+                continue
+            batch = batch.select(["anchor", "digest", "c", "bytes"])
+            anchor, ends, begin = batch.column("anchor").to_numpy(), utf8(batch.column("bytes"))[1], 0
+            for k in np.flatnonzero(np.append(before not in (None, anchor[0]), anchor[1:] != anchor[:-1])).tolist():
+                if size + ends[k] - ends[begin] > BUCKET_BYTES:
+                    yield work([*held, batch.slice(begin, k - begin)])
+                    held, size, begin = [], 0, k
+            held.append(batch.slice(begin))
+            size, before = size + ends[-1] - ends[begin], anchor[-1]
+        if held:
+            yield work(held)
 
     return run
 
@@ -298,9 +311,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     if keep not in ("none", "first") or length < 2 * GRAM:
         raise ValueError(f'keep is "none" or "first", length at least {2 * GRAM}')
     rows = _rows(docs)
-    found = _blocks(rows, length)
-    counts = materialize(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
-    found = materialize(join_counted(found, counts, ["anchor"], list(ORDER)).drop("c"), "blocks")
+    counts = materialize(_anchors(rows, length).groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    found = materialize(join_counted(_blocks(rows, length), counts, ["anchor"], list(ORDER)).drop("c"), "blocks")
     copies = materialize(found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min(F.struct(*ORDER, "n", "at")).alias("first")), "copies")
     differ = materialize(copies.groupBy("anchor").agg(F.count("*").alias("different")), "anchors")
     wanted = join_counted(copies, differ, ["anchor"], ["digest"], "different")

@@ -103,3 +103,30 @@ def test_text_above_a_megabyte_and_hot_groups(spark, monkeypatch):
     assert len(rows[0][1]) > 1 << 20
     for keep in ("none", "first"):
         assert sorted(map(tuple, D.digests(D.deduplicate(docs, keep=keep)).collect()), key=str) == brute(rows, 200, keep)
+
+
+def test_windows_of_a_bucket_take_few_sorted_suffixes(monkeypatch):
+    """Blocks as buckets hold them, about 240 bytes with 40 windows: right for both rules, and below 4.5 sorted words a byte."""
+    r = random.Random(5)
+    prose = lambda n: "".join(r.choices("abcd ", k=n)).encode()
+    texts = [prose(r.randrange(199, 300)) for _ in range(60)]
+    texts += [t[:k] + b"#" + t[k + 1 :] for t in texts for k in (20, 230)] + texts[:9] + [b"", b"x" * 150]
+    weights = np.array([1 + (k % 7 == 0) for k in range(len(texts))])
+    sorted_words, sort, argsort = [], np.sort, np.argsort
+    monkeypatch.setattr(np, "sort", lambda x, *a, **k: sorted_words.append(len(x)) or sort(x, *a, **k))
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_words.append(len(x)) or argsort(x, *a, **k))
+    body, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    windows = [t[i : i + 200] for t in texts for i in range(len(t) - 199)]
+    of = [k for k, t in enumerate(texts) for _ in range(len(t) - 199)]
+    times = {}
+    for w, k in zip(windows, of):
+        times[w] = times.get(w, 0) + int(weights[k])
+    hit, ends = D.repeated_windows(body, offsets, weights, 200, "none")
+    assert hit.tolist() == [times[w] > 1 for w in windows] and ends[-1] == len(windows)
+    assert sum(sorted_words) < 4.5 * len(body)
+    assert D.repeated_windows(body, offsets, weights, 200, "first")[0].tolist() == [w in windows[:k] for k, w in enumerate(windows)]
+    # Beyond 2 ** 21 bytes no word has room for two ranks and a place.
+    large = np.concatenate([body, np.random.default_rng(2).integers(0, 256, 1 << 21).astype(np.uint8), body])
+    place = np.append(np.arange(1000), np.arange(len(large) - len(body), len(large) - len(body) + 1000))
+    got, small = X.prefix_ranks(large, 200, place), X.prefix_ranks(body, 200)[:1000]
+    assert got[:1000].tolist() == got[1000:].tolist() and (got[:1000, None] == got[None, :1000]).tolist() == (small[:, None] == small).tolist()
