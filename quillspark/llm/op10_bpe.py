@@ -12,6 +12,8 @@ Only digests and ids of repeated chunks move, never texts. A cell is a file and
 a table that doesn't come straight from files is written first. Should Spark split the files otherwise the next time, the
 folders don't fit and chunks are encoded anew: the result is the same.
 
+Pieces and joins between safe cuts go to the library as longer texts; ids are dealt back by the bytes they stand for.
+
 Of a chunk, the ids between its first and its last safe cut are reused. Joins are repaired by re-encoding everything from
 the last safe cut before a join to the first one after it, together with one more piece on either side: the library's
 ids must begin and end with the ids of these pieces. Where they don't, the region takes in its neighbours, twice as many
@@ -30,6 +32,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ LETTER = byte_mask([*range(65, 91), *range(97, 123)])
 LATIN = byte_mask([*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)])
 PRINTED = byte_mask(range(0x21, 0x7F))
 WINDOW = 16
+#: Bytes of parts that go to the library as one text.
+TOGETHER = 1 << 12
 
 
 def default_vocabulary(name: str) -> str:
@@ -104,6 +109,15 @@ def take(pool: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     return pool[at]
 
 
+def token_bytes(tokenizer) -> dict[int, bytes]:
+    """The bytes that each id of a byte-level BPE stands for."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    known = byte_of.keys()
+    return {k: bytes(map(byte_of.__getitem__, text)) if known >= set(text) else text.encode() for text, k in tokenizer.get_vocab(with_added_tokens=True).items()}
+
+
 class Words:
     """Ids of pieces by two 64-bit hashes: sorted arrays of bounded length, so a piece takes some tens of bytes."""
 
@@ -122,10 +136,9 @@ class Words:
         self.used[at[at >= 0]] = self.turn
         return at
 
-    def add(self, key: np.ndarray, second: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Adds pieces that are not there, in order of key."""
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        new = np.concatenate([np.zeros(0, np.uint32), *ids])
+    def add(self, key: np.ndarray, second: np.ndarray, new: np.ndarray, size: np.ndarray) -> None:
+        """Adds pieces that are not there, in order of key; `new` has their ids in turn."""
+        size = size.astype(np.int32)
         while self.end + len(new) > len(self.pool):
             self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
         self.pool[self.end : self.end + len(new)] = new
@@ -151,11 +164,33 @@ class PieceEncoder:
     once for as long as it is remembered."""
 
     def __init__(self, tokenizer, limit: int = 600_000):
-        self.tokenizer, self.known = tokenizer, Words(limit)
-
-    def library(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.tokenizer, self.known, self.sizes = tokenizer, Words(limit), None
+
+    def library(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts that lie one after the other, where each text's begin and the last one's end). Where a text ends with a
+        printed character and the next begins with a space, a safe cut lies between them, so both go as one, and their ids
+        are told apart by the bytes they stand for."""
+        if self.sizes is None:
+            tokens = token_bytes(self.tokenizer)
+            self.sizes = np.zeros(max(tokens, default=0) + 1, np.int64)
+            self.sizes[list(tokens)] = [len(x) for x in tokens.values()]
+        filled, inner = np.diff(edges) > 0, edges[1:-1]
+        joined = filled[:-1] & filled[1:] & (inner // TOGETHER == edges[:-2] // TOGETHER)
+        near = np.flatnonzero(joined)
+        joined[near] = PRINTED[data[inner[near] - 1]] & (data[inner[near]] == 0x20)
+        at, body = np.concatenate([edges[:1], inner[~joined], edges[-1:]]).tolist(), data.tobytes()
+        coded = self.tokenizer.encode_batch_fast([body[a:b].decode() for a, b in zip(at, at[1:])], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(c.ids for c in coded), np.uint32)
+        ends = np.append(0, np.cumsum(self.sizes[ids]))
+        found = np.searchsorted(ends, edges)
+        if ends[-1] != edges[-1] or (ends[found] != edges).any():
+            raise ValueError("an id reaches over a safe cut")
+        return ids, found
+
+    def alone(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text by itself."""
         coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(c.ids, np.uint32) for c in coded]
+        return [np.array(c.ids, np.uint32).tobytes() for c in coded]
 
     @staticmethod
     def cuts(data: np.ndarray) -> np.ndarray:
@@ -187,9 +222,13 @@ class PieceEncoder:
         found = self.known.find(distinct, second[where])
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            a, b = start[where[missing]].tolist(), stop[where[missing]].tolist()
-            body = data.tobytes()
-            self.known.add(distinct[missing], second[where[missing]], self.library([body[x:y] for x, y in zip(a, b)]))
+            a, b = start[where[missing]], stop[where[missing]]
+            # Those that can go together come first.
+            turn = np.argsort(~(PRINTED[data[b - 1]] & (data[a] == 0x20)), kind="stable")
+            new, edges = self.library(take(data, a[turn], (b - a)[turn]), np.append(0, np.cumsum((b - a)[turn])))
+            back = np.argsort(turn)
+            sizes = np.diff(edges)[back]
+            self.known.add(distinct[missing], second[where[missing]], take(new, edges[:-1][back], sizes), sizes)
             found = self.known.find(distinct, second[where])
         size = self.known.size[found][index].astype(np.int64)
         ids = take(self.known.pool, self.known.place[found][index], size)
@@ -320,9 +359,8 @@ class ChunkEncoder:
         keys = [(body[w:x], body[x:y], body[y:z]) for w, x, y, z in zip(left.tolist(), begin.tolist(), end.tolist(), right.tolist())]
         number: dict[tuple, int] = {}
         which = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, n)
-        coded = self.coder.library([b"".join(k) for k in number])
-        wide_ends = np.append(0, np.cumsum([len(x) for x in coded])).astype(np.int64)
-        wide = np.concatenate([np.zeros(0, np.uint32), *coded])
+        joined = [b"".join(k) for k in number]
+        wide, wide_ends = self.coder.library(np.frombuffer(b"".join(joined), np.uint8), np.append(0, np.cumsum([len(x) for x in joined], dtype=np.int64)))
         heads, tails = np.diff(at)[:n], np.diff(at)[n:]
         size = np.diff(wide_ends)[which] - heads - tails
         agree = size >= 0
@@ -347,7 +385,7 @@ class ChunkEncoder:
             while True:
                 # Pieces at..stop as one region, and with as many behind it: both must agree on what the region gives.
                 stop, more = min(at + size, len(pieces)), min(at + 2 * size, len(pieces))
-                wide = [x.tobytes() for x in self.coder.library([b"".join(pieces[at:stop]), b"".join(pieces[at:more]), b"".join(pieces[stop:more])])]
+                wide = self.coder.alone([b"".join(pieces[at:stop]), b"".join(pieces[at:more]), b"".join(pieces[stop:more])])
                 if stop == len(pieces) or wide[1] == wide[0] + wide[2]:
                     break
                 size *= 2
@@ -360,16 +398,21 @@ class Decoder:
     """ids -> text, as the library's byte-level decoder: bytes of all ids in turn, then UTF-8 with replacement."""
 
     def __init__(self, tokenizer):
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(visible)]
-        byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        self.token = {}
-        for text, k in tokenizer.get_vocab(with_added_tokens=True).items():
-            known = all(c in byte_of for c in text)
-            self.token[k] = bytes(byte_of[c] for c in text) if known else text.encode()
+        tokens = token_bytes(tokenizer)
+        self.size, self.place = np.zeros((2, max(tokens, default=0) + 1), np.int64)
+        self.size[list(tokens)] = [len(x) for x in tokens.values()]
+        self.place[list(tokens)] = np.append(0, np.cumsum(self.size[list(tokens)]))[:-1]
+        self.pool = np.frombuffer(b"".join(tokens.values()), np.uint8)
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """The texts of many texts' ids."""
+        every = np.frombuffer(b"".join(ids), np.uint32)
+        body = take(self.pool, self.place[every], self.size[every]).tobytes()
+        ends = np.append(0, np.cumsum(self.size[every]))[np.append(0, np.cumsum([len(x) // 4 for x in ids], dtype=np.int64))].tolist()
+        return [body[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
 def exact(path: str) -> bool:
@@ -436,7 +479,7 @@ def share_chunks(docs: DataFrame, vocabulary: str, mask_bits: int = 8) -> str |
     """Encodes every chunk that occurs twice or more once; a folder with a cell's chunks and ids. None: no chunk repeats."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(load(vocabulary), mask_bits)
+        encoder = ChunkEncoder(None, mask_bits)
         for cell, batch in _by_cell(batches, 4 << 20):
             every = encoder.chunks(*utf8(batch.column("text"))).digests()
             every = every[np.lexsort((every[:, 1], every[:, 0]))]
@@ -503,7 +546,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         raise ValueError(f"{vocabulary} is no byte-level BPE, whose decoder is known here; encode() takes it")
 
     def digests(doc_id, ids, decoder):
-        back = [hashlib.sha256(decoder.decode(x).encode()).hexdigest() for x in ids]
+        back = [hashlib.sha256(x.encode()).hexdigest() for x in decoder.decode_all(ids)]
         return pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _coded(docs, vocabulary, digests, SCHEMA)

@@ -106,3 +106,27 @@ def test_text_above_a_megabyte(spark):
     got = {r.doc_id: r.ids for r in B.encode(docs, PATH).collect()}
     ids = brute([text])[0][0]
     assert got[1] == got[3] == np.array(ids, np.uint32).tobytes() and len(got) == 3
+
+
+def test_pieces_go_to_the_library_together():
+    """Parts between safe cuts share a call's text: far fewer texts than parts, with each part's own ids."""
+    r = random.Random(6)
+    parts = [" " + "".join(r.choices("abcdefgé", k=r.randrange(1, 9))) + r.choice("xyz.!") for _ in range(3000)] + [" a\n", "\n", "b", "", " é", " <|endoftext|>", " z", "日本", " ok"] * 3
+    t = B.load(PATH)
+    texts = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+        def encode_batch_fast(self, given, **options):
+            texts.extend(given)
+            return t.encode_batch_fast(given, **options)
+
+    edges = np.append(0, np.cumsum([len(p.encode()) for p in parts]))
+    ids, at = B.PieceEncoder(Counting()).library(np.frombuffer("".join(parts).encode(), np.uint8), edges)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == brute(parts)[0]
+    assert len(texts) < 60
+    d = B.Decoder(t)
+    every = [np.array(x, np.uint32).tobytes() for x in brute(ODD)[0]]
+    assert d.decode_all(every) == [d.decode(x) for x in every] == ODD and d.decode_all([]) == []
